@@ -174,7 +174,7 @@ oracle("total_length", f"WITH {SEG}, {LENGTH} SELECT round(sum(length), 3) + 0.0
 oracle("class_name", f"WITH {PC} SELECT point_id, {names_case('classification * 3')} AS name FROM pc")
 
 oracle("center_points", f"""WITH {SEG} SELECT seg_id, point_id,
-{', '.join(f"round({c} - avg({c}) OVER (PARTITION BY seg_id), 5) + 0.0 AS {c}" for c in 'xyz')} FROM seg""")
+{', '.join(f"round({c} - avg({c}) OVER (PARTITION BY seg_id), 8) + 0.0 AS {c}" for c in 'xyz')} FROM seg""")
 
 oracle("rotate_z", f"""WITH {PC}, a AS (SELECT *, radians(classification * 36.5) AS t FROM pc)
 SELECT point_id, {r('x * cos(t) - y * sin(t)', 6, 'x')}, {r('x * sin(t) + y * cos(t)', 6, 'y')}, {r('z')} FROM a""")
@@ -207,7 +207,7 @@ SELECT k AS seg_id, n::BIGINT AS n, CASE WHEN n < 10 THEN 10.0 ELSE round(sqrt(s
 oracle("polyfit_order", f"""WITH {SEG}, s AS (SELECT seg_id, avg(x) AS mx, stddev_samp(x) AS sd FROM seg GROUP BY seg_id),
 l AS (SELECT seg_id, regr_slope(z, (x - mx) / sd) AS p0, regr_intercept(z, (x - mx) / sd) AS p1 FROM seg JOIN s USING (seg_id) GROUP BY seg_id),
 e AS (SELECT seg_id, sqrt(sum(pow(z - p0 * (x - mx) / sd - p1, 2))) AS normr FROM seg JOIN s USING (seg_id) JOIN l USING (seg_id) GROUP BY seg_id)
-SELECT seg_id, {r('p0', 5)}, {r('p1', 5)}, {r('normr', 4)}, 1 AS n_order FROM l JOIN e USING (seg_id)""")
+SELECT seg_id, {r('p0', 5)}, {r('p1', 8)}, {r('normr', 4)}, 1 AS n_order FROM l JOIN e USING (seg_id)""")
 
 oracle("size_guards", f"""WITH base AS (SELECT * FROM (WITH {SEG} SELECT * FROM seg) WHERE z < 1), seg AS (SELECT * FROM base),
 num AS (SELECT seg_id, count(*) AS n FROM seg GROUP BY seg_id),
@@ -247,7 +247,7 @@ FROM lots GROUP BY cloud_id, classification""")
 oracle("z_histogram", f"""WITH {LOTS}, span AS (SELECT cloud_id, min(z) AS z0, (max(z) - min(z)) / 50.0 AS w FROM lots GROUP BY cloud_id),
 binned AS (SELECT cloud_id, greatest(1, least(50, ceil((z - z0) / w)))::INT AS bin FROM lots JOIN span USING (cloud_id)),
 grid AS (SELECT cloud_id, g.bin::INT AS bin, z0 + (g.bin - 0.5) * w AS center FROM span CROSS JOIN range(1, 51) g(bin))
-SELECT cloud_id, bin, {r('any_value(center)', 5, 'center')}, count(binned.bin) AS n FROM grid LEFT JOIN binned USING (cloud_id, bin) GROUP BY cloud_id, bin""")
+SELECT cloud_id, bin, {r('any_value(center)', 8, 'center')}, count(binned.bin) AS n FROM grid LEFT JOIN binned USING (cloud_id, bin) GROUP BY cloud_id, bin""")
 oracle("modal_bin", f"WITH {PC}, {threshold('pc')} SELECT bin, n, {r('threshold')} FROM thr")
 
 oracle("principal_axis", f"WITH {SEG}, {axis()} SELECT seg_id, n, {r('l1', 4)}, {r('ex', 4)}, {r('ey', 4)}, {r('ez', 4)}, {r('angle', 4)} FROM axis")
@@ -265,7 +265,7 @@ SELECT * FROM c JOIN b USING (cloud_id)""")
 
 oracle("lowest_point", f"""WITH {SEG} SELECT seg_id, {r('x', 5)}, {r('y', 5)}, {r('z', 5)} FROM seg
 QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY seg.z, point_id) = 1""")
-oracle("segment_means", f"""WITH {SEG} SELECT seg_id, count(*) AS n, {r('avg(x)', 5, 'mean_x')}, {r('avg(y)', 5, 'mean_y')}, {r('avg(z)', 5, 'mean_z')}
+oracle("segment_means", f"""WITH {SEG} SELECT seg_id, count(*) AS n, {r('avg(x)', 8, 'mean_x')}, {r('avg(y)', 8, 'mean_y')}, {r('avg(z)', 8, 'mean_z')}
 FROM seg GROUP BY seg_id""")
 oracle("max_abs_residual", f"""WITH {SEG}, {axis()}, {ALIGNED}, {fit('al', 'seg_id', 'u', 'v')},
 pr AS (SELECT axis.seg_id AS a, b.seg_id AS b, fit.*, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s
@@ -314,7 +314,7 @@ SELECT seg_id::INT AS wire_id, sample, {r('mean_x + (t - span / 2.0) * ux', 4, '
 oracle("interpolate_curve", f"""WITH {SEG}, {XY}, e AS (SELECT seg_id, min(tt) AS t0, max(tt) AS t1 FROM pj GROUP BY seg_id),
 g AS (SELECT u.*, t0, i::INT AS sample, CASE WHEN i = 299 THEN t1 ELSE t0 + i * ((t1 - t0) / 299.0) END AS tt
       FROM u JOIN e USING (seg_id), LATERAL (SELECT unnest(range(0, 300)) AS i)),
-lo AS (SELECT g.seg_id, sample, g.tt, mean_x, mean_y, ux, uy, l.tt AS lt, l.z AS lz FROM g ASOF JOIN pt_ l ON g.seg_id = l.seg_id AND g.tt >= l.tt),
-hi AS (SELECT lo.*, h.tt AS ht, h.z AS hz FROM lo ASOF JOIN pt_ h ON lo.seg_id = h.seg_id AND lo.tt <= h.tt)
-SELECT seg_id::INT AS wire_id, sample, {r('mean_x + tt * ux', 3, 'x')}, {r('mean_y + tt * uy', 3, 'y')},
-{r('CASE WHEN ht > lt THEN lz + (tt - lt) / (ht - lt) * (hz - lz) ELSE hz END', 3, 'z')} FROM hi""".replace("pt_", "pj"))
+lo AS (SELECT g.seg_id, sample, g.tt, g.mean_x, g.mean_y, g.ux, g.uy, l.tt AS lt, l.z AS lz FROM g ASOF JOIN pt_ l ON g.seg_id = l.seg_id AND g.tt >= l.tt),
+hi AS (SELECT lo.seg_id, sample, lo.tt, lo.mean_x, lo.mean_y, lo.ux, lo.uy, lt, lz, h.tt AS ht, h.z AS hz FROM lo ASOF JOIN pt_ h ON lo.seg_id = h.seg_id AND lo.tt <= h.tt)
+SELECT seg_id::INT AS wire_id, sample, {r('mean_x + tt * ux', 4, 'x')}, {r('mean_y + tt * uy', 4, 'y')},
+{r('CASE WHEN ht > lt THEN lz + (tt - lt) / (ht - lt) * (hz - lz) ELSE hz END', 4, 'z')} FROM hi""".replace("pt_", "pj"))

@@ -107,7 +107,7 @@ def class_name(spark, sf):
 
 @query
 def center_points(spark, sf):
-    return rounded(seg_ops.center_points(segments(spark, sf), SEG), 5, "x", "y", "z").select("seg_id", "point_id", "x", "y", "z")
+    return rounded(seg_ops.center_points(segments(spark, sf), SEG), 8, "x", "y", "z").select("seg_id", "point_id", "x", "y", "z")
 
 
 @query
@@ -201,7 +201,7 @@ def class_dimension_join(spark, sf):
 
 @query
 def z_histogram(spark, sf):
-    return rounded(ground.z_histogram(lots(spark, sf)), 5, "center")
+    return rounded(ground.z_histogram(lots(spark, sf)), 8, "center")
 
 
 @query
@@ -303,7 +303,7 @@ def lowest_point(spark, sf):
 
 @query
 def segment_means(spark, sf):
-    return rounded(seg_ops.segment_means(segments(spark, sf)), 5, "mean_x", "mean_y", "mean_z").drop("cloud_id")
+    return rounded(seg_ops.segment_means(segments(spark, sf)), 8, "mean_x", "mean_y", "mean_z").drop("cloud_id")
 
 
 @query
@@ -433,7 +433,7 @@ def evaluate_models(spark, sf):
 @query
 def polyfit_order(spark, sf):
     f = fit.polyfit_order(segments(spark, sf), SEG, degree=1)
-    return f.select("seg_id", *[r(F.col("p")[i], 5).alias(f"p{i}") for i in range(2)], r("normr", 4).alias("normr"), "n_order")
+    return f.select("seg_id", *[r(F.col("p")[i], (5, 8)[i]).alias(f"p{i}") for i in range(2)], r("normr", 4).alias("normr"), "n_order")
 
 
 @query
@@ -462,7 +462,7 @@ def sample_curve(spark, sf):
 @query
 def interpolate_curve(spark, sf):
     c = generate.interpolate_curve(wires(spark, sf), 300, WIRE)
-    return rounded(c, 3, "x", "y", "z").drop("cloud_id")
+    return rounded(c, 4, "x", "y", "z").drop("cloud_id")
 
 
 @query

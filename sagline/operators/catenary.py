@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagline import session
-from sagline.functions.geometry import clamp, real_points
+from sagline.functions.geometry import real_points
 from sagline.operators.fit import polyfit2
 from sagline.operators.shape import xy_axis
 
@@ -32,89 +32,94 @@ ACCEPT = 1.05
 MAX_ROUNDS = 60
 SUMS = ("ahh", "ahs", "ahk", "ass", "ask", "akk", "gh", "gs", "gk", "err")
 
-
-def _curve(u: Column, h: Column, s: Column, k: Column) -> dict[str, Column]:
-    """Value and derivatives by h, s, k at offset ``u``; the limit k -> 0 is the straight line."""
-    a = F.asinh(s)
-    half = k * u / 2.0
-    ratio = F.when(F.abs(half) < 1e-8, 1.0).otherwise(F.sinh(half) / half)
-    small = F.abs(k * u) < 1e-3
-    # dk by its series near zero, where the closed form cancels
-    series = u * u / 2.0 * F.cosh(a) + k * u * u * u / 3.0 * F.sinh(a) + k * k * u * u * u * u / 8.0 * F.cosh(a)
-    closed = u / k * (F.sinh(k * u + a) - ratio * F.sinh(a + half))
-    return {"f": h + u * ratio * F.sinh(a + half),
-            "s": u * ratio * F.cosh(a + half) / F.sqrt(1.0 + s * s),
-            "k": F.when(small, series).otherwise(closed)}
-
-
-def _sums(data: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """The ten sums at each group's trial parameters."""
-    trial = state.where(~F.col("done")).select(*by, "tm", "th", "ts", "tk")
-    d = session.attach(data, trial, by).withColumn("_u", F.col("t") - F.col("tm"))
-    curve = _curve(F.col("_u"), F.col("th"), F.col("ts"), F.col("tk"))
-    d = d.withColumns({"_f": curve["f"], "_s": curve["s"], "_k": curve["k"]}).withColumn("_r", F.col("z") - F.col("_f"))
-    s, k, r = F.col("_s"), F.col("_k"), F.col("_r")
-    terms = dict(zip(SUMS, (F.lit(1.0), s, k, s * s, s * k, k * k, r, s * r, k * r, r * r)))
-    return d.groupBy(*by).agg(*[F.sum(c).alias(f"new_{n}") for n, c in terms.items()])
-
-
-def _step(state: DataFrame, bounded: bool) -> DataFrame:
-    """Next trial from the normal equations in the row, with the diagonal raised by ``lam``."""
-    up = 1.0 + F.col("lam")
-    a, b, c = F.col("ahh") * up, F.col("ahs"), F.col("ahk")
-    d, e, f = F.col("ass") * up, F.col("ask"), F.col("akk") * up
-    gh, gs, gk = F.col("gh"), F.col("gs"), F.col("gk")
-    state = state.withColumn("_det", a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c))
-    det = F.when(F.col("_det") != 0, F.col("_det"))
-    state = state.withColumns({
-        "_dh": (gh * (d * f - e * e) - b * (gs * f - e * gk) + c * (gs * e - d * gk)) / det,
-        "_ds": (a * (gs * f - e * gk) - gh * (b * f - e * c) + c * (b * gk - gs * c)) / det,
-        "_dk": (a * (d * gk - gs * e) - b * (b * gk - gs * c) + gh * (b * e - d * c)) / det})
-    state = state.withColumns({"th": F.col("h") + F.col("_dh"), "ts": F.col("s") + F.col("_ds"), "tk": F.col("k") + F.col("_dk")})
-    if bounded:
-        state = _bounded(state)
-    still = ((F.abs(F.col("th") - F.col("h")) <= 1e-13 * (1.0 + F.abs("h")))
-             & (F.abs(F.col("ts") - F.col("s")) <= 1e-13 * (1.0 + F.abs("s")))
-             & (F.abs(F.col("tk") - F.col("k")) <= 1e-12 * F.abs("k")))
-    return state.withColumn("done", F.col("done") | F.coalesce(still, F.lit(True))).drop("_det", "_dh", "_ds", "_dk")
-
-
-def _bounded(state: DataFrame) -> DataFrame:
-    """Bring the trial back into the box of a, b and c."""
-    state = state.withColumn("tk", clamp(F.col("tk"), 1.0 / A_RANGE[1], 1.0 / A_RANGE[0]))
-    b = F.col("tm") - F.asinh("ts") / F.col("tk")
-    kept = F.when(b < F.col("blo"), F.col("blo")).when(b > F.col("bhi"), F.col("bhi"))
-    state = state.withColumn("_b", kept)
-    state = state.withColumn("ts", F.when(F.col("_b").isNotNull(), F.sinh(F.col("tk") * (F.col("tm") - F.col("_b")))).otherwise(F.col("ts")))
-    arm = F.sqrt(1.0 + F.col("ts") * F.col("ts")) / F.col("tk")
-    return state.withColumn("th", clamp(F.col("th") - arm, *C_RANGE) + arm).drop("_b")
+# The rounds below run the same expressions many times, so they are parsed from text, once.
+# Value and derivatives by h, s, k at offset u. Near k u = 0 the derivative by k is taken from its
+# series, where the closed form cancels.
+CURVE = (
+    {"u": "t - tm", "arc": "asinh(ts)"},
+    {"half": "tk * u / 2"},
+    {"ratio": "if(abs(half) < 1e-8, 1.0, sinh(half) / half)"},
+    {"rise": "u * ratio * sinh(arc + half)"},
+    {"js": "u * ratio * cosh(arc + half) / sqrt(1 + ts * ts)",
+     "jk": "if(abs(tk * u) < 1e-3, "
+           "u * u / 2 * cosh(arc) + tk * u * u * u / 3 * sinh(arc) + tk * tk * u * u * u * u / 8 * cosh(arc), "
+           "(u * sinh(tk * u + arc) - rise) / tk)",
+     "res": "z - th - rise"},
+)
+TERMS = ("1D", "js", "jk", "js * js", "js * jk", "jk * jk", "res", "js * res", "jk * res", "res * res")
+
+# Accept or reject the trial.
+JUDGE = (
+    {"usable": "new_err is not null and not isnan(new_err) and new_err < double('infinity')"},
+    {"better": "not done and usable and (err is null or new_err <= err)"},
+    {"done": "done or (better and (new_err = 0 or coalesce(err - new_err <= 1e-14 * err, false)"
+             " or (lam < 1e-2 and coalesce(err - new_err <= 1e-11 * err, false))))"
+             " or (not better and (err is null or lam > 1e9))",
+     "lam": "if(better, greatest(lam / 10, 1e-8), lam * 10)",
+     **{c: f"if(better, t{c}, {c})" for c in "hsk"}, **{c: f"if(better, new_{c}, {c})" for c in SUMS}},
+)
+# Next trial: k from the damped normal equations, then s and h for that k.
+STEP = (
+    {"d0": "ahh * (1 + lam)", "d1": "ass * (1 + lam)", "d2": "akk * (1 + lam)"},
+    {"det": "d0 * (d1 * d2 - ask * ask) - ahs * (ahs * d2 - ask * ahk) + ahk * (ahs * ask - d1 * ahk)"},
+    {"tk": "k + (d0 * (d1 * gk - gs * ask) - ahs * (ahs * gk - gs * ahk) + gh * (ahs * ask - d1 * ahk)) / nullif(det, 0)"},
+)
+SOLVE = (
+    {"ts": "s + (d0 * (gs - ask * (tk - k)) - ahs * (gh - ahk * (tk - k))) / nullif(d0 * d1 - ahs * ahs, 0)"},
+    {"th": "h + (gh - ahk * (tk - k) - ahs * (ts - s)) / d0"},
+)
+CLAMP = ({"tk": f"case when tk < {1 / A_RANGE[1]!r} then {1 / A_RANGE[1]!r} when tk > {1 / A_RANGE[0]!r} then {1 / A_RANGE[0]!r} else tk end"},)
+# Bounds of b. A trial that leaves them is moved back; when the present curve is already on the
+# bound, the step is taken along it.
+EDGE = (
+    {"b1": "tm - asinh(ts) / tk", "b0": "tm - asinh(s) / k"},
+    {"bb": "case when b1 < blo then blo when b1 > bhi then bhi end"},
+    {"on": "coalesce(abs(b0 - bb) <= 1e-9 * (1 + abs(bb)), false)", "w": "(tm - bb) * sqrt(1 + s * s)"},
+    {"tk": "if(on, k + (d0 * (gk + w * gs) - (ahk + w * ahs) * gh)"
+           " / nullif(d0 * (akk + 2 * w * ask + w * w * ass) * (1 + lam) - (ahk + w * ahs) * (ahk + w * ahs), 0), tk)"},
+)
+EDGE_BACK = (
+    {"th": "if(on, h + (gh - (ahk + w * ahs) * (tk - k)) / d0, th)", "ts": "if(bb is null, ts, sinh(tk * (tm - bb)))"},
+    {"arm": "sqrt(1 + ts * ts) / tk"},
+    {"th": f"case when th - arm < {C_RANGE[0]!r} then {C_RANGE[0]!r} + arm when th - arm > {C_RANGE[1]!r} then {C_RANGE[1]!r} + arm else th end"},
+)
+STOP = ({"done": "done or coalesce(abs(th - h) <= 1e-13 * (1 + abs(h)) and abs(ts - s) <= 1e-13 * (1 + abs(s))"
+                 " and abs(tk - k) <= 1e-12 * abs(k), true)"},)
+BOUNDED = (*STEP, *CLAMP, *SOLVE, *EDGE, *CLAMP, *EDGE_BACK, *STOP)
+FREE = (*STEP, *SOLVE, *STOP)
+
+
+def _parsed(*stages: dict[str, str]) -> list[dict[str, Column]]:
+    return [{k: F.expr(v) for k, v in stage.items()} for stage in stages]
+
+
+def _apply(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df
 
 
 def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool) -> DataFrame:
-    """Minimise each group's squared error from ``by..., tm, th, ts, tk`` (and ``blo, bhi``)."""
-    data = session.cut_lineage(data)
+    """Minimise each group's squared error from ``by..., tm, th, ts, tk`` (and ``blo, bhi``).
+
+    ``data`` (``by..., t, z``) has been materialised by the caller.
+    """
     state = start.withColumns({
-        **{c: F.lit(None).cast("double") for c in ("h", "s", "k", *SUMS)},
-        "lam": F.lit(1e-3), "done": F.lit(False)})
+        **{c: F.lit(None).cast("double") for c in ("h", "s", "k", *SUMS)}, "lam": F.lit(1e-3), "done": F.lit(False)})
     if bounded:
-        state = _bounded(state)
-    state = session.cut_lineage(state)
+        state = _apply(state, _parsed(*CLAMP, {"b1": "tm - asinh(ts) / tk"},
+                                      {"ts": "if(b1 < blo, sinh(tk * (tm - blo)), if(b1 > bhi, sinh(tk * (tm - bhi)), ts))"}))
+    keep = [c for c in state.columns if c != "b1"]
+    state = session.cut_lineage(state.select(keep))
+    small = state.limit(session.BROADCAST_ROWS + 1).count() <= session.BROADCAST_ROWS
+    curve, judge, step = _parsed(*CURVE), _parsed(*JUDGE), _parsed(*(BOUNDED if bounded else FREE))
+    sums = [F.sum(F.expr(e)).alias(f"new_{n}") for n, e in zip(SUMS, TERMS)]
+    open_, trial = F.expr("not done"), [*by, "tm", "th", "ts", "tk"]
     for _ in range(MAX_ROUNDS):
-        found = state.join(_sums(data, state, by), by, "left")
-        usable = F.col("new_err").isNotNull() & ~F.isnan("new_err") & (F.col("new_err") < float("inf"))
-        better = ~F.col("done") & usable & (F.col("err").isNull() | (F.col("new_err") <= F.col("err")))
-        gain = (F.col("err") - F.col("new_err")) / F.col("err")
-        settled = better & (((F.col("err") > 0) & (gain < 1e-14)) | (F.col("new_err") == 0))
-        stuck = ~F.col("done") & ~better & ((F.col("lam") > 1e12) | F.col("err").isNull())
-        found = found.withColumns({"_better": better, "_end": F.coalesce(settled | stuck, F.lit(False))})
-        pick = F.col("_better")
-        found = found.withColumns({
-            **{c: F.when(pick, F.col(f"t{c}")).otherwise(F.col(c)) for c in ("h", "s", "k")},
-            **{c: F.when(pick, F.col(f"new_{c}")).otherwise(F.col(c)) for c in SUMS},
-            "lam": F.when(pick, F.greatest(F.col("lam") / 10.0, F.lit(1e-15))).otherwise(F.col("lam") * 10.0),
-            "done": F.col("done") | F.col("_end")})
-        state = session.cut_lineage(_step(found.drop("_better", "_end", *[f"new_{c}" for c in SUMS]), bounded))
-        if session.is_empty(state.where(~F.col("done"))):
+        rows = state.where(open_).select(trial)
+        found = _apply(data.join(F.broadcast(rows) if small else rows, by), curve).groupBy(*by).agg(*sums)
+        state = session.cut_lineage(_apply(state.join(found, by, "left"), judge + step).select(keep))
+        if session.is_empty(state.where(open_)):
             break
     else:
         log.warning("some catenary fits stopped after %d rounds", MAX_ROUNDS)
