@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,40 +50,31 @@ def sym3_eigen(df: DataFrame, xx: str, xy: str, xz: str, yy: str, yz: str, zz: s
     Closed trigonometric form, all inside code generation. A zero matrix has NULL everywhere; a
     triple eigenvalue has NULL axis.
     """
-    a, b, c, d, e, f = (F.col(n) for n in (xx, xy, xz, yy, yz, zz))
-    df = df.withColumn("_q", (a + d + f) / 3.0)
-    q = F.col("_q")
-    df = df.withColumn("_p", F.sqrt(
-        ((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2.0 * (b * b + c * c + e * e)) / 6.0))
-    p = F.col("_p")
-    det = ((a - q) * ((d - q) * (f - q) - e * e)
-           - b * (b * (f - q) - e * c)
-           + c * (b * e - (d - q) * c))
-    df = df.withColumn("_r", F.when(p > 0, clamp(det / (2.0 * p * p * p), -1.0, 1.0)))
-    df = df.withColumn("_phi", F.acos("_r") / 3.0)
-    df = df.withColumns({
-        "l1": F.when(p > 0, q + 2.0 * p * F.cos("_phi")).when(q > 0, q),
-        "l3": F.when(p > 0, q + 2.0 * p * F.cos(F.col("_phi") + 2.0 * math.pi / 3.0)).when(q > 0, q),
-    })
-    df = df.withColumn("l2", 3.0 * q - F.col("l1") - F.col("l3"))
-    l1 = F.col("l1")
-    # Rows of (C - l1 I) span the plane normal to the axis: cross two of them, keep the longest product.
-    r0, r1, r2 = (a - l1, b, c), (b, d - l1, e), (c, e, f - l1)
-
-    def cross(u, v):
-        return F.array(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    m = {"a": xx, "b": xy, "c": xz, "d": yy, "e": yz, "f": zz}
 
-    df = df.withColumns({"_c0": cross(r0, r1), "_c1": cross(r0, r2), "_c2": cross(r1, r2)})
+    def cross(u: tuple[str, ...], v: tuple[str, ...]) -> str:
+        return (f"array({u[1]} * {v[2]} - {u[2]} * {v[1]}, {u[2]} * {v[0]} - {u[0]} * {v[2]}, "
+                f"{u[0]} * {v[1]} - {u[1]} * {v[0]})")
 
-    def norm2(n):
-        v = F.col(n)
-        return v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-
-    df = df.withColumns({"_n0": norm2("_c0"), "_n1": norm2("_c1"), "_n2": norm2("_c2")})
-    n0, n1, n2 = F.col("_n0"), F.col("_n1"), F.col("_n2")
-    df = df.withColumn("_v", F.when((n0 >= n1) & (n0 >= n2), F.col("_c0")).when(n1 >= n2, F.col("_c1")).otherwise(F.col("_c2")))
-    df = df.withColumn("_n", F.sqrt(F.greatest(n0, n1, n2)))
-    v, n = F.col("_v"), F.col("_n")
-    df = df.withColumns({k: F.when((p > 0) & (n > 0), v[i] / n) for i, k in enumerate(("ex", "ey", "ez"))})
+    # Rows of (C - l1 I) span the plane normal to the axis: cross two of them, keep the longest product.
+    rows = (("(_a - l1)", "_b", "_c"), ("_b", "(_d - l1)", "_e"), ("_c", "_e", "(_f - l1)"))
+    stages = [
+        {f"_{k}": v for k, v in m.items()},
+        {"_q": "(_a + _d + _f) / 3"},
+        {"_p": "sqrt(((_a - _q) * (_a - _q) + (_d - _q) * (_d - _q) + (_f - _q) * (_f - _q)"
+               " + 2 * (_b * _b + _c * _c + _e * _e)) / 6)"},
+        {"_r": "if(_p > 0, ((_a - _q) * ((_d - _q) * (_f - _q) - _e * _e) - _b * (_b * (_f - _q) - _e * _c)"
+               " + _c * (_b * _e - (_d - _q) * _c)) / (2 * _p * _p * _p), null)"},
+        {"_phi": "acos(if(_r < -1, -1D, if(_r > 1, 1D, _r))) / 3"},
+        {"l1": "if(_p > 0, _q + 2 * _p * cos(_phi), if(_q > 0, _q, null))",
+         "l3": "if(_p > 0, _q + 2 * _p * cos(_phi + 2 * pi() / 3), if(_q > 0, _q, null))"},
+        {"l2": "3 * _q - l1 - l3", **{f"_c{i}": cross(rows[u], rows[v]) for i, (u, v) in enumerate(((0, 1), (0, 2), (1, 2)))}},
+        {f"_n{i}": f"_c{i}[0] * _c{i}[0] + _c{i}[1] * _c{i}[1] + _c{i}[2] * _c{i}[2]" for i in range(3)},
+        {"_v": "if(_n0 >= _n1 and _n0 >= _n2, _c0, if(_n1 >= _n2, _c1, _c2))", "_n": "sqrt(greatest(_n0, _n1, _n2))"},
+        {k: f"if(_p > 0 and _n > 0, _v[{i}] / _n, null)" for i, k in enumerate(("ex", "ey", "ez"))},
+    ]
+    for stage in stages:
+        df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
+    df = df.drop(*[f"_{k}" for k in m])
     df = df.drop("_q", "_p", "_r", "_phi", "_c0", "_c1", "_c2", "_n0", "_n1", "_n2", "_v", "_n")
     return fence(df, "l1", "l2", "l3", "ex", "ey", "ez")

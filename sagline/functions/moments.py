@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagline.functions.geometry import fence, real_points
@@ -31,37 +31,23 @@ def name(e: Exponent) -> str:
     return "m%d%d%d" % e
 
 
-def power(c: Column, k: int) -> Column:
-    out = F.lit(1.0)
-    for i in range(k):
-        out = c if i == 0 else out * c
-    return out
+# Formulas are composed as SQL text: a fourth-order translation has some hundred terms, and text is
+# parsed by the JVM in one call where columns would take one call per term.
 
+def product(base: Sequence[str], e: Sequence[int]) -> str:
+    return " * ".join(b for b, k in zip(base, e) for _ in range(k)) or "1D"
 
-def product(base: Sequence[Column], e: Exponent) -> Column:
-    parts = [power(b, k) for b, k in zip(base, e) if k]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out * p
-    return out
 
-
-def moved(m: Mapping[Exponent, Column], n: Column, d: Sequence[Column], e: Exponent) -> Column:
+def moved(m: Mapping[Exponent, str], n: str, d: Sequence[str], e: Exponent) -> str:
     """The sum of powers ``e`` about a point ``d`` behind the present pivot."""
-    total = None
+    terms = []
     for i in range(e[0] + 1):
         for j in range(e[1] + 1):
             for k in range(e[2] + 1):
-                low = (i, j, k)
+                low, rest = (i, j, k), (e[0] - i, e[1] - j, e[2] - k)
                 c = math.comb(e[0], i) * math.comb(e[1], j) * math.comb(e[2], k)
-                rest = (e[0] - i, e[1] - j, e[2] - k)
-                term = n if low == (0, 0, 0) else m[low]
-                if rest != (0, 0, 0):
-                    term = term * product(d, rest)
-                if c != 1:
-                    term = term * float(c)
-                total = term if total is None else total + term
-    return total
+                terms.append(f"{float(c)}D * {n if low == (0, 0, 0) else m[low]} * {product(d, rest)}")
+    return " + ".join(terms)
 
 
 def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent] = PROFILE,
@@ -80,9 +66,9 @@ def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent
                                     for i, (a, u) in enumerate(zip(axes, used))])
     off = [F.col(f"_p{i}") - (F.col(f"_t{i}") + 0.5) * tile for i in range(3)]
     base = base.select(*by, "_t0", "_t1", "_t2", *[o.alias(f"_d{i}") for i, o in enumerate(off)])
-    d = [F.col(f"_d{i}") for i in range(3)]
+    d = ["_d0", "_d1", "_d2"]
     tiles = base.groupBy(*by, "_t0", "_t1", "_t2").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(product(d, e)).alias(name(e)) for e in exponents])
+        F.count(F.lit(1)).cast("double").alias("_n"), *[F.expr(f"sum({product(d, e)})").alias(name(e)) for e in exponents])
     w = Window.partitionBy(*by)
     first = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
     pivot = [(F.col(f"_t{i}") + 0.5) * tile for i in range(3)]
@@ -95,44 +81,38 @@ def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent
     tiles = tiles.withColumns(means)
     tiles = tiles.withColumns({f"_d{i}": (pivot[i] - F.col(label)) if used[i] and first[i] in exponents else F.lit(0.0)
                                for i, label in enumerate(("mx", "my", "mz"))})
-    m = {e: F.col(name(e)) for e in exponents}
+    m = {e: name(e) for e in exponents}
     return tiles.groupBy(*by).agg(
         F.sum("_n").alias("n"), *[F.first(c).alias(c) for c in ("mx", "my", "mz")],
-        *[F.sum(moved(m, F.col("_n"), d, e)).alias(name(e)) for e in exponents])
+        *[F.expr(f"sum({moved(m, '_n', d, e)})").alias(name(e)) for e in exponents])
 
 
-def directed(k: int, zpow: int, c: Column, s: Column) -> Column:
-    """Sum of ``(x c + y s)^k z^zpow`` from mixed sums."""
-    total = None
-    for i in range(k + 1):
-        term = F.col(name((i, k - i, zpow))) * product([c, s], (i, k - i, 0)) if k else F.col(name((0, 0, zpow)))
-        if math.comb(k, i) != 1:
-            term = term * float(math.comb(k, i))
-        total = term if total is None else total + term
-    return total
+def directed(k: int, zpow: int, c: str = "c", s: str = "s") -> str:
+    """Sum of ``(x c + y s)^k z^zpow`` from mixed sums, as SQL text."""
+    return " + ".join(f"{float(math.comb(k, i))}D * {name((i, k - i, zpow))} * {product([c, s], (i, k - i))}"
+                      for i in range(k + 1))
 
 
-def parabola(df: DataFrame, n: str, u2: Column, u3: Column, u4: Column, u1v: Column, u2v: Column, v2: Column,
+def parabola(df: DataFrame, n: str, u2: str, u3: str, u4: str, u1v: str, u2v: str, v2: str,
              scaled: bool = True) -> DataFrame:
-    """Add ``q2, q1, q0`` (fit of v on u, both centred), ``sd`` and ``sse``.
+    """Add ``q2, q1, q0`` (fit of v on u, both centred), ``sd`` and ``sse``; sums are given as SQL text.
 
     With centred sums the normal equations reduce to one division each. Fewer than three distinct
     abscissae give NULL. ``scaled`` coefficients refer to u / sd.
     """
-    df = df.withColumns({"_u2": u2, "_u3": u3, "_u4": u4, "_a1": u1v, "_a2": u2v, "_v2": v2})
-    df = df.withColumn("sd", F.when((F.col(n) > 1) & (F.col("_u2") > 0), F.sqrt(F.col("_u2") / (F.col(n) - 1.0))))
-    sd = F.col("sd")
-    df = df.withColumns({
-        "_k2": F.col("_u2") / (sd * sd), "_k3": F.col("_u3") / (sd * sd * sd),
-        "_k4": F.col("_u4") / (sd * sd * sd * sd), "_b1": F.col("_a1") / sd, "_b2": F.col("_a2") / (sd * sd)})
-    k2, k3, k4, b1, b2 = (F.col(c) for c in ("_k2", "_k3", "_k4", "_b1", "_b2"))
-    df = df.withColumn("_den", k4 - k3 * k3 / k2 - k2 * k2 / F.col(n))
-    df = df.withColumn("q2", F.when(F.col("_den") > 1e-12 * k4, (b2 - k3 * b1 / k2) / F.col("_den")))
-    df = df.withColumn("q1", (b1 - k3 * F.col("q2")) / k2)
-    df = df.withColumn("q0", -k2 * F.col("q2") / F.col(n))
-    sse = F.col("_v2") - F.col("q2") * b2 - F.col("q1") * b1
-    df = df.withColumn("sse", F.when(sse < 0, 0.0).otherwise(sse))
+    stages = [
+        {"_u2": u2, "_u3": u3, "_u4": u4, "_a1": u1v, "_a2": u2v, "_v2": v2},
+        {"sd": f"if({n} > 1 and _u2 > 0, sqrt(_u2 / ({n} - 1)), null)"},
+        {"_k2": "_u2 / (sd * sd)", "_k3": "_u3 / (sd * sd * sd)", "_k4": "_u4 / (sd * sd * sd * sd)",
+         "_b1": "_a1 / sd", "_b2": "_a2 / (sd * sd)"},
+        {"_den": f"_k4 - _k3 * _k3 / _k2 - _k2 * _k2 / {n}"},
+        {"q2": "if(_den > 1e-12 * _k4, (_b2 - _k3 * _b1 / _k2) / _den, null)"},
+        {"q1": "(_b1 - _k3 * q2) / _k2", "q0": f"-_k2 * q2 / {n}"},
+        {"sse": "greatest(0D, _v2 - q2 * _b2 - q1 * _b1) + 0 * q2"},
+    ]
     if not scaled:
-        df = df.withColumns({"q2": F.col("q2") / (sd * sd), "q1": F.col("q1") / sd})
+        stages.append({"q2": "q2 / (sd * sd)", "q1": "q1 / sd"})
+    for stage in stages:
+        df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
     df = df.drop("_u2", "_u3", "_u4", "_a1", "_a2", "_v2", "_k2", "_k3", "_k4", "_b1", "_b2", "_den")
     return fence(df, "q2", "q1", "q0", "sse")

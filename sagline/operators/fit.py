@@ -39,9 +39,8 @@ def with_angle(df: DataFrame, azimuth: bool = False) -> DataFrame:
 
 def frame_parabola(g: DataFrame, scaled: bool = False) -> DataFrame:
     """Add the degree-2 fit of z on the rotated coordinate of each group of :func:`frames`."""
-    c, s = F.col("c"), F.col("s")
-    return M.parabola(g, "n", M.directed(2, 0, c, s), M.directed(3, 0, c, s), M.directed(4, 0, c, s),
-                      M.directed(1, 1, c, s), M.directed(2, 1, c, s), F.col("m002"), scaled)
+    return M.parabola(g, "n", M.directed(2, 0), M.directed(3, 0), M.directed(4, 0), M.directed(1, 1), M.directed(2, 1),
+                      "m002", scaled)
 
 
 def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "z", axis: str = "x", y: str = "y",
@@ -56,11 +55,10 @@ def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "
         raise ValueError("degree must be 1 or 2")
     if axis == "along":
         g = frame_parabola(frames(points, by, x, y, z, tile=tile), scaled=True).withColumn("mx", F.lit(0.0))
-        c, s = F.col("c"), F.col("s")
-        lin, sq, szz = M.directed(1, 1, c, s), M.directed(2, 0, c, s), F.col("m002")
+        lin, sq, szz = F.expr(M.directed(1, 1)), F.expr(M.directed(2, 0)), F.col("m002")
     elif axis == "x":
         g = M.group_moments(points, by, M.PROFILE, x, y, z, tile)
-        g = M.parabola(g, "n", F.col("m200"), F.col("m300"), F.col("m400"), F.col("m101"), F.col("m201"), F.col("m002"))
+        g = M.parabola(g, "n", "m200", "m300", "m400", "m101", "m201", "m002")
         lin, sq, szz = F.col("m101"), F.col("m200"), F.col("m002")
     else:
         raise ValueError("axis must be 'x' or 'along'")

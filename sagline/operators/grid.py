@@ -40,7 +40,7 @@ def _offsets(reach: int, half: bool = False) -> list[tuple[int, ...]]:
 
 
 def _offset_array(offsets: list[tuple[int, ...]]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for v, a in zip(o, "ijk")]) for o in offsets])
+    return F.expr("array(" + ", ".join("named_struct('i', %dL, 'j', %dL, 'k', %dL)" % o for o in offsets) + ")")
 
 
 def _xyz(points: DataFrame, by: Sequence[str], x: str, y: str, z: str, *extra: str) -> DataFrame:

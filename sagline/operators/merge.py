@@ -127,37 +127,38 @@ def _runs(points: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
 KEEP = ("n", "k1", "k2", "k3", "k4", "v0", "v1", "v2")
 
 
-def _profile(c: Column, s: Column) -> dict[str, Column]:
-    """Sums along direction (c, s) about a segment's own mean."""
-    return {"n": F.col("n"), "k1": F.lit(0.0), **{f"k{i}": M.directed(i, 0, c, s) for i in (2, 3, 4)},
-            "v0": F.lit(0.0), "v1": M.directed(1, 1, c, s), "v2": M.directed(2, 1, c, s)}
-
-
-def _shifted(d: Column, dz: Column) -> dict[str, Column]:
-    """The columns ``KEEP`` about a point ``d`` behind and ``dz`` below their origin."""
-    k = {0: F.col("n"), **{i: F.col(f"k{i}") for i in range(1, 5)}}
-    v = {i: F.col(f"v{i}") for i in range(3)}
-    out = {"n": F.col("n")}
-    for i in range(1, 5):
-        out[f"k{i}"] = sum((k[j] * float(math.comb(i, j)) * M.power(d, i - j) for j in range(i + 1)), F.lit(0.0))
+# Sums along direction (c, s) about a segment's own mean, as SQL text.
+PROFILE = {"k1": "0D", **{f"k{i}": M.directed(i, 0) for i in (2, 3, 4)},
+           "v0": "0D", "v1": M.directed(1, 1), "v2": M.directed(2, 1)}
+
+
+def _profile(*extra: str) -> list[Column]:
+    return [F.col("n"), *[F.expr(e).alias(n) for n, e in PROFILE.items()], *[F.col(c) for c in extra]]
+
+
+def _shifted(d: str, dz: str) -> dict[str, str]:
+    """The columns ``KEEP`` about a point ``d`` behind and ``dz`` below their origin, as SQL text."""
+    def total(terms: list[str], power: int) -> str:
+        return " + ".join(f"{float(math.comb(power, j))}D * {t} * {M.product([d], [power - j])}" for j, t in enumerate(terms))
+
+    k = ["n", "k1", "k2", "k3", "k4"]
+    out = {"n": "n", **{f"k{i}": total(k[:i + 1], i) for i in range(1, 5)}}
     for i in range(3):
-        out[f"v{i}"] = sum(((v[j] + dz * k[j]) * float(math.comb(i, j)) * M.power(d, i - j) for j in range(i + 1)), F.lit(0.0))
+        out[f"v{i}"] = total([f"(v{j} + {dz} * {k[j]})" for j in range(i + 1)], i)
     return out
 
 
 def _curves(model: DataFrame) -> DataFrame:
     """Current parabola of each seed: ``um, vm, q2, q1, q0``."""
     m = model.withColumns({"um": F.col("k1") / F.col("n"), "vm": F.col("v0") / F.col("n")})
-    at = _shifted(-F.col("um"), -F.col("vm"))
-    m = m.withColumns({f"_{c}": e for c, e in at.items()})
-    m = M.parabola(m, "n", F.col("_k2"), F.col("_k3"), F.col("_k4"), F.col("_v1"), F.col("_v2"), F.lit(0.0), scaled=False)
+    m = m.withColumns({f"_{c}": F.expr(e) for c, e in _shifted("(-um)", "(-vm)").items()})
+    m = M.parabola(m, "n", "_k2", "_k3", "_k4", "_v1", "_v2", "0D", scaled=False)
     return m.drop(*[f"_{c}" for c in KEEP])
 
 
 def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[str], curve: float) -> DataFrame:
     """:func:`_scan` with the points left where they are. ``seg`` are segment frames."""
-    frame = seg.select(*by, F.col("seg_id").alias("a"), "mx", "my", "mz", "c", "s",
-                       *[e.alias(n) for n, e in _profile(F.col("c"), F.col("s")).items() if n != "n"], "n")
+    frame = seg.select(*by, F.col("seg_id").alias("a"), *_profile("mx", "my", "mz", "c", "s"))
     model = session.cut_lineage(frame.join(edges.select(*by, "a").distinct(), [*by, "a"], "left_semi"))
     edges, taken = session.cut_lineage(edges), []
     schema = T.StructType([f for f in edges.schema if f.name in by])
@@ -187,10 +188,9 @@ def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[s
         parts = seg.select(*by, F.col("seg_id").alias("b"), F.col("mx").alias("_bx"), F.col("my").alias("_by"),
                            F.col("mz").alias("_bz"), "n", *[M.name(e) for e in M.SPATIAL])
         added = hit.join(parts, [*by, "b"]).join(model.select(*by, "a", "mx", "my", "mz", "c", "s"), [*by, "a"])
-        added = added.withColumns({n: e for n, e in _profile(F.col("c"), F.col("s")).items() if n != "n"})
-        d = (F.col("_bx") - F.col("mx")) * F.col("c") + (F.col("_by") - F.col("my")) * F.col("s")
-        new = _shifted(d, F.col("_bz") - F.col("mz"))
-        added = added.select(*by, "a", *[e.alias(f"_{n}") for n, e in new.items()])
+        d = F.expr("(_bx - mx) * c + (_by - my) * s").alias("_d")
+        added = added.select(*by, "a", d, (F.col("_bz") - F.col("mz")).alias("_dz"), *_profile())
+        added = added.select(*by, "a", *[F.expr(e).alias(f"_{n}") for n, e in _shifted("_d", "_dz").items()])
         model = model.join(added, [*by, "a"], "left").withColumns(
             {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0.0)) for n in KEEP}).drop(*[f"_{n}" for n in KEEP])
         model = session.cut_lineage(model)
@@ -275,8 +275,7 @@ def max_abs_residual(pairs: DataFrame, points: DataFrame, seg: DataFrame, by: Se
     ``seg`` are :func:`segment_frames`; ``pairs`` has ``a, b``.
     """
     by = list(by)
-    model = seg.select(*by, F.col("seg_id").alias("a"), "mx", "my", "mz", "c", "s", "n",
-                       *[e.alias(n) for n, e in _profile(F.col("c"), F.col("s")).items() if n != "n"])
+    model = seg.select(*by, F.col("seg_id").alias("a"), *_profile("mx", "my", "mz", "c", "s"))
     curves = _curves(model).drop("k1", "k2", "k3", "k4", "v0", "v1", "v2", "n", "sd", "sse")
     tests = pairs.select(*by, "a", "b").join(curves, [*by, "a"]).withColumnRenamed("b", "seg_id")
     p = session.attach(points.select(*by, "seg_id", "x", "y", "z"), tests, [*by, "seg_id"])
