@@ -16,18 +16,19 @@ def _fits(df: DataFrame) -> DataFrame:
                      F.when(has, F.col("mu_std")).otherwise(F.get("mu", F.lit(1))).alias("mu_std"))
 
 
-def read_wire_info(spark: SparkSession, path: str) -> DataFrame:
+def read_wire_info(spark: SparkSession, path: str, fmt: str = "array") -> DataFrame:
     """``wire_id, p, normr, df, rsq, mu_mean, mu_std``.
 
-    A file is either one JSON array, where a record's position is its wire, or JSON lines with a
-    ``wire_id`` as :func:`write_wire_info` leaves them.
+    ``array``: a JSON array per file, where a record's position is its wire. ``lines``: one record per
+    line with its ``wire_id``, as :func:`write_wire_info` leaves them; such files are split.
     """
+    if fmt == "lines":
+        return _fits(spark.read.schema(f"wire_id int, {RECORD}").json(path))
+    if fmt != "array":
+        raise ValueError("fmt must be 'array' or 'lines'")
+    records = F.from_json("value", f"array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>")
     text = spark.read.text(path, wholetext=True)
-    whole = text.where(F.col("value").rlike(r"^\s*\["))
-    listed = whole.select(F.posexplode(F.from_json("value", f"array<struct<{RECORD.replace(' ', ':')}>>".replace(",:", ",")))
-                          .alias("wire_id", "r")).select("wire_id", "r.*")
-    lines = spark.read.schema(f"wire_id int, {RECORD}").json(path).where(F.col("wire_id").isNotNull())
-    return _fits(listed).unionByName(_fits(lines))
+    return _fits(text.select(F.posexplode(records).alias("wire_id", "r")).select("wire_id", "r.*"))
 
 
 def write_wire_info(fits: DataFrame, path: str) -> None:

@@ -118,7 +118,7 @@ def test_wire_info_both_forms(spark, tmp_path):
     assert [r.wire_id for r in got] == [0, 1]
     assert (got[0].mu_mean, got[1].mu_mean, got[1].mu_std, got[1].rsq) == (10.0, 11.0, 3.0, None)
     write_wire_info(read_wire_info(spark, str(tmp_path / "info.json")), str(tmp_path / "lines"))
-    again = read_wire_info(spark, str(tmp_path / "lines")).orderBy("wire_id").collect()
+    again = read_wire_info(spark, str(tmp_path / "lines"), "lines").orderBy("wire_id").collect()
     assert again == got
 
 
