@@ -51,10 +51,10 @@ def moved(m: Mapping[Exponent, str], n: str, d: Sequence[str], e: Exponent) -> s
 
 
 def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent] = PROFILE,
-                  x: str = "x", y: str = "y", z: str = "z", tile: float = 32.0) -> DataFrame:
+                  x: str = "x", y: str = "y", z: str = "z", tile: float = 8.0) -> DataFrame:
     """``by..., n, mx, my, mz`` and the central sums ``m<i><j><k>``.
 
-    The window below runs over tile rows, never over points: a wire of 100 km has about 3,000.
+    The window below runs over tile rows, never over points: a wire of 10 km has a few thousand.
     """
     by = list(by)
     axes = [x, y, z]
@@ -106,7 +106,7 @@ def parabola(df: DataFrame, n: str, u2: str, u3: str, u4: str, u1v: str, u2v: st
         {"_k2": "_u2 / (sd * sd)", "_k3": "_u3 / (sd * sd * sd)", "_k4": "_u4 / (sd * sd * sd * sd)",
          "_b1": "_a1 / sd", "_b2": "_a2 / (sd * sd)"},
         {"_den": f"_k4 - _k3 * _k3 / _k2 - _k2 * _k2 / {n}"},
-        {"q2": "if(_den > 1e-12 * _k4, (_b2 - _k3 * _b1 / _k2) / _den, null)"},
+        {"q2": "if(_den > 1e-9 * _k4, (_b2 - _k3 * _b1 / _k2) / _den, null)"},
         {"q1": "(_b1 - _k3 * q2) / _k2", "q0": f"-_k2 * q2 / {n}"},
         {"sse": "greatest(0D, _v2 - q2 * _b2 - q1 * _b1) + 0 * q2"},
     ]

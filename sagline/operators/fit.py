@@ -14,7 +14,7 @@ BY = ("cloud_id", "seg_id")
 
 
 def frames(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
-           azimuth: bool = False, tile: float = 32.0) -> DataFrame:
+           azimuth: bool = False, tile: float = 8.0) -> DataFrame:
     """Spatial moments of each group with its principal direction: ``angle`` (degrees), ``c``, ``s``."""
     g = M.group_moments(points, by, M.SPATIAL, x, y, z, tile)
     k = F.when(F.col("n") > 1, F.col("n") - 1.0)
@@ -44,7 +44,7 @@ def frame_parabola(g: DataFrame, scaled: bool = False) -> DataFrame:
 
 
 def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "z", axis: str = "x", y: str = "y",
-             degree: int = 2, tile: float = 32.0) -> DataFrame:
+             degree: int = 2, tile: float = 8.0) -> DataFrame:
     """``by..., n, p, normr, df, rsq, mu_mean, mu_std``: z on x, with x centred and scaled.
 
     ``axis="along"`` fits on the principal direction instead of the easting. Groups with too few
@@ -88,7 +88,7 @@ def linefit_xy(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str =
 
 
 def fit_rmse(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
-             tile: float = 32.0) -> DataFrame:
+             tile: float = 8.0) -> DataFrame:
     """``by..., n, rmse`` of the degree-2 fit in the group's own frame; 10 below ten points."""
     g = frame_parabola(frames(points, by, x, y, z, tile=tile))
     return g.select(*by, F.col("n").cast("long").alias("n"),

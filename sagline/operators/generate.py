@@ -90,7 +90,7 @@ def fill_gaps(points: DataFrame, fits: DataFrame, resolution: float, by: Sequenc
 
 
 def densify_wire(points: DataFrame, resolution: float = 0.1, by: Sequence[str] = BY, x: str = "x", y: str = "y",
-                 z: str = "z", tile: float = 32.0) -> DataFrame:
+                 z: str = "z", tile: float = 8.0) -> DataFrame:
     """``by..., sample, x, y, z``: model points from the far end of the wire to the near end.
 
     Points lie on the degree-2 curve in the wire's frame. Wires too short or too small for a curve

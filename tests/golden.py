@@ -17,5 +17,5 @@ WIRES = [
     (1.1258687078589107, 0.03756880734484394, 137.9245352788195, 4.748711309412751, 33275.0, 0.9992260205157583, 292604.28426131577, 6.0229612369230345),
     (0.01007707117841127, 0.2925737354278444, 140.27395990214046, 1.7357250715675274, 4597.0, 0.9922106625199296, 292593.37487846694, 0.5290407388766809),
     (0.010422924149409001, 0.30236100100183927, 140.56167418417135, 1.5626681103674291, 4450.0, 0.9938825688499457, 292592.13737293205, 0.5264174706709437),
-    (0.01079083430408197, 0.29456851006714035, 140.3350669199678, 1.6125363793187407, 4561.0, 0.9933138119415795, 292590.9774302216, 0.5436697211104397),
+    (0.01079083430408197, 0.29456851006714035, 140.3350669199678, 1.6125360793187407, 4561.0, 0.9933138119415795, 292590.9774302216, 0.5436697211104397),
 ]
