@@ -285,7 +285,7 @@ SELECT seg_id, point_id, i <= n // 2 AS c1, i >= (2 * n) // 3 AS c2, i BETWEEN n
 GAP = """nx AS (SELECT *, lead(x) OVER o AS xn, lead(y) OVER o AS yn, lead(z) OVER o AS zn FROM seg WINDOW o AS (PARTITION BY seg_id ORDER BY point_id)),
 gp AS (SELECT *, sqrt(pow(xn - x, 2) + pow(yn - y, 2) + pow(zn - z, 2)) AS gap FROM nx),
 gn AS (SELECT *, floor(gap / 20.0)::BIGINT AS k FROM gp)"""
-oracle("consecutive_gap", f"WITH {SEG}, {GAP} SELECT seg_id, point_id, {r('gap', 5)}, k AS n_insert FROM gn")
+oracle("consecutive_gap", f"WITH {SEG}, {GAP} SELECT seg_id, point_id, {r('gap', 5)}, coalesce(k, 0) AS n_insert FROM gn")
 oracle("fill_gaps", f"""WITH {SEG}, {GAP}, m AS (SELECT seg_id, avg(z) AS mz FROM seg GROUP BY seg_id),
 new AS (SELECT seg_id, x + i * (xn - x) / (k + 1) AS x, mz FROM gn JOIN m USING (seg_id), LATERAL (SELECT unnest(range(1, k + 1)) AS i) WHERE k > 0)
 SELECT seg_id, {r('x', 4)}, {r('y', 4)}, {r('z', 4)}, false AS inserted FROM seg

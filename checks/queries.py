@@ -356,7 +356,7 @@ def split_by_position(spark, sf):
 @query
 def consecutive_gap(spark, sf):
     g = generate.consecutive_gap(segments(spark, sf), 20.0, SEG)
-    return g.select("seg_id", "point_id", r("gap", 5).alias("gap"), "n_insert")
+    return g.select("seg_id", "point_id", r("gap", 5).alias("gap"), F.coalesce("n_insert", F.lit(0)).alias("n_insert"))
 
 
 # --- sets ---------------------------------------------------------------------------------------

@@ -180,6 +180,6 @@ def fit_catenary_offset(points: DataFrame, by: Sequence[str] = BY, x: str = "x",
     state = para.select(*by, "n", F.col("mu_mean").alias("tm"), *[v.alias(n) for n, v in own.items()])
     out = _search(data, state, by, bounded=False)
     k, arc = F.col("k"), F.asinh("s")
-    return out.where(F.col("err").isNotNull()).select(
+    return out.where(F.col("err").isNotNull() & (k != 0)).select(
         *by, "n", (F.col("h") - F.cosh(arc) / k).alias("a"), (1.0 / k).alias("c"), (F.col("tm") - arc / k).alias("b"),
         F.col("err").alias("sse"))

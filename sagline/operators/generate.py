@@ -154,10 +154,11 @@ def interpolate_curve(points: DataFrame, samples: int = 300, by: Sequence[str] =
     cells = p.groupBy(*by, "slot").agg(F.min_by(row, order).alias("head"), F.max_by(row, order).alias("tail"))
     grid = ends.withColumn("slot", F.explode(steps(F.lit(samples)))).withColumn("_at", F.col("t0") + F.col("slot") * step)
     grid = grid.join(cells, [*by, "slot"], "left")
-    w = Window.partitionBy(*by).orderBy("slot")
-    grid = grid.withColumns({
-        "right": F.first("head", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        "left": F.last("tail", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    # Both look backwards, one of them in falling order: such frames are kept up row by row.
+    up = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumns({"right": F.last("head", ignorenulls=True).over(down),
+                             "left": F.last("tail", ignorenulls=True).over(up)})
     gap = F.col("right.t") - F.col("left.t")
     share = (F.col("_at") - F.col("left.t")) / gap
     value = (F.when(F.col("right").isNull(), F.col("left.z"))

@@ -27,7 +27,7 @@ from sagline.functions.models import catenary_offset
 from sagline.operators.catenary import OFFSET_START, fit_catenary_offset
 from sagline.operators.cluster import connected_components
 from sagline.operators.fit import frames
-from sagline.operators.segments import absorb_points, drop_absorbed, rank_segments, rerank_after_merge
+from sagline.operators.segments import absorb_points, append_segments, drop_absorbed, rank_segments, rerank_after_merge
 from sagline.operators.shape import principal_axis
 
 BY = ("cloud_id",)
@@ -86,40 +86,50 @@ def merge_gate_join(segments: DataFrame, line: float = 0.5, height: float = 4.0,
 
 def _scan(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: float) -> pd.DataFrame:
     """Accepted (seed, candidate) pairs of one bounded piece of the gate graph, in order."""
-    where = {k: g for k, g in zip(*_runs(points))}
+    points = points.sort_values("seg_id", kind="stable")
+    ids, first = np.unique(points["seg_id"].to_numpy(), return_index=True)
+    xyz = dict(zip(ids, np.split(points[["x", "y", "z"]].to_numpy(), first[1:])))
+    frame = dict(zip(ids, points[["mx", "my", "mz", "c", "s"]].to_numpy()[first]))
+    edges = edges.sort_values(["oa", "ob"])
+    seeds, start = np.unique(edges["oa"].to_numpy(), return_index=True)
+    candidates = np.split(edges["b"].to_numpy(), start[1:]) if len(seeds) else []
     gone: set[int] = set()
     taken = []
-    for (_, a), mine in edges.sort_values(["oa", "ob"]).groupby(["oa", "a"], sort=True):
+    for a, mine in zip(edges["a"].to_numpy()[start], candidates):
         if a in gone:
             continue
-        seed = points.iloc[where[a]]
-        mx, my, mz, c, s = seed[["mx", "my", "mz", "c", "s"]].iloc[0]
+        mx, my, mz, c, s = frame[a]
 
-        def local(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            return ((rows.x - mx) * c + (rows.y - my) * s).to_numpy(), (rows.z - mz).to_numpy()
+        def local(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return (rows[:, 0] - mx) * c + (rows[:, 1] - my) * s, rows[:, 2] - mz
 
-        u, v = local(seed)
+        u, v = local(xyz[a])
         if len(np.unique(u)) < 3:
             continue
-        p = np.polyfit(u, v, 2)
-        for b in mine["b"]:
+        scale = np.abs(u).max()
+        x = np.vander(u / scale, 3)
+        gram, side = x.T @ x, x.T @ v
+        p = _solve(gram, side)
+        for b in mine:
             if b in gone:
                 continue
-            bu, bv = local(points.iloc[where[b]])
-            if np.abs(np.polyval(p, bu) - bv).max() < curve:
+            bu, bv = local(xyz[b])
+            x = np.vander(bu / scale, 3)
+            if np.abs(x @ p - bv).max() < curve:
                 taken.append((a, b))
                 gone.add(b)
-                u, v = np.concatenate([u, bu]), np.concatenate([v, bv])
-                p = np.polyfit(u, v, 2)
+                gram, side = gram + x.T @ x, side + x.T @ bv
+                p = _solve(gram, side)
     out = pd.DataFrame(taken, columns=["into", "seg_id"], dtype="int64")
     for k in keys:
         out[k] = edges[k].iloc[0] if len(edges) else None
     return out[[*keys, "into", "seg_id"]]
 
 
-def _runs(points: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
-    groups = points.groupby("seg_id", sort=False).indices
-    return list(groups), list(groups.values())
+def _solve(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Least squares from normal equations with unit diagonal; adding a segment costs its own points only."""
+    d = np.sqrt(np.diag(gram))
+    return np.linalg.lstsq(gram / np.outer(d, d), side / d, rcond=None)[0] / d
 
 
 # --- scan in rounds -----------------------------------------------------------------------------
@@ -178,6 +188,8 @@ def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[s
         hit = worst.where(F.col("worst") < curve).groupBy(*by, "a").agg(F.min(F.struct("ob", "b")).alias("h"))
         hit = session.cut_lineage(hit.select(*by, "a", F.col("h.b").alias("b"), F.col("h.ob").alias("upto")))
         taken.append(hit.select(*by, F.col("a").alias("into"), F.col("b").alias("seg_id")))
+        if len(taken) >= 20:
+            taken = [session.cut_lineage(append_segments(*taken))]
         # Tested candidates are settled, absorbed segments neither seed nor stand for others.
         state = ready.join(hit.select(*by, "a", "upto"), [*by, "a"], "left").withColumn("_ran", F.lit(True))
         left = edges.join(state, [*by, "a"], "left").where(F.col("_ran").isNull() | (F.col("ob") > F.col("upto"))).drop("_ran", "upto")
@@ -197,10 +209,7 @@ def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[s
     if not taken:
         empty = T.StructType([*schema.fields, T.StructField("into", T.LongType()), T.StructField("seg_id", T.LongType())])
         return points.sparkSession.createDataFrame([], empty)
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
+    return append_segments(*taken)
 
 
 # --- passes -------------------------------------------------------------------------------------
