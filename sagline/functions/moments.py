@@ -11,9 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sagline import session
 from sagline.functions.geometry import fence, real_points
 
 Exponent = tuple[int, int, int]
@@ -52,10 +53,7 @@ def moved(m: Mapping[Exponent, str], n: str, d: Sequence[str], e: Exponent) -> s
 
 def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent] = PROFILE,
                   x: str = "x", y: str = "y", z: str = "z", tile: float = 8.0) -> DataFrame:
-    """``by..., n, mx, my, mz`` and the central sums ``m<i><j><k>``.
-
-    The window below runs over tile rows, never over points: a wire of 10 km has a few thousand.
-    """
+    """``by..., n, mx, my, mz`` and the central sums ``m<i><j><k>``."""
     by = list(by)
     axes = [x, y, z]
     used = [any(e[i] for e in exponents) for i in range(3)]
@@ -69,16 +67,17 @@ def group_moments(df: DataFrame, by: Sequence[str], exponents: Sequence[Exponent
     d = ["_d0", "_d1", "_d2"]
     tiles = base.groupBy(*by, "_t0", "_t1", "_t2").agg(
         F.count(F.lit(1)).cast("double").alias("_n"), *[F.expr(f"sum({product(d, e)})").alias(name(e)) for e in exponents])
-    w = Window.partitionBy(*by)
     first = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
     pivot = [(F.col(f"_t{i}") + 0.5) * tile for i in range(3)]
     means = {}
     for i, label in enumerate(("mx", "my", "mz")):
         if first[i] in exponents:
-            means[label] = F.sum(F.col(name(first[i])) + F.col("_n") * pivot[i]).over(w) / F.sum("_n").over(w)
+            means[label] = F.sum(F.col(name(first[i])) + F.col("_n") * pivot[i]) / F.sum("_n")
         else:
             means[label] = F.lit(None).cast("double")
-    tiles = tiles.withColumns(means)
+    # The tile rows are kept, so that the points are not read again for the second use.
+    tiles = session.cut_lineage(tiles)
+    tiles = session.attach(tiles, tiles.groupBy(*by).agg(*[c.alias(n) for n, c in means.items()]), by)
     tiles = tiles.withColumns({f"_d{i}": (pivot[i] - F.col(label)) if used[i] and first[i] in exponents else F.lit(0.0)
                                for i, label in enumerate(("mx", "my", "mz"))})
     m = {e: name(e) for e in exponents}
