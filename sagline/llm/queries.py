@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import hilbert, simhash
+from sagline.llm import hilbert, passages, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,41 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_suffix_decontamination(spark, sf):
+    found = passages.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+# Windows are compared as words joined by a space: ten words of an item, or all of a shorter one.
+ORACLES["op1_suffix_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i
+        FROM b WHERE len(w) > 0)),
+m AS (SELECT DISTINCT m FROM bw),
+dw AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, m WHERE len(w) >= m)),
+hit AS (SELECT doc_id, item_id, i, dw.m FROM dw JOIN bw USING (m, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @query
 def op2_hilbert_shards(spark, sf):
     found = hilbert.hilbert_shards(table(spark, sf, "documents"), 40)
