@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import hilbert, passages, simhash
+from sagline.llm import cube, hilbert, passages, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,7 +65,19 @@ def op2_hilbert_shards(spark, sf):
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_cube_mix(spark, sf):
+    found = cube.mix(table(spark, sf, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query
 def op6_simhash_groups(spark, sf):
     found = simhash.near_groups(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_weak_label_quality(spark, sf):
+    found = quality.judged(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_weak").alias("weak_label"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
