@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import cube, hilbert, passages, quality, simhash
+from sagline.llm import cube, hilbert, kneser, passages, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,12 @@ def op6_simhash_groups(spark, sf):
 def op7_weak_label_quality(spark, sf):
     found = quality.judged(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_weak").alias("weak_label"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
+
+
+@query
+def op10_kneser_ney(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = kneser.train(docs.where(~kneser.held_out()))
+    found = kneser.perplexity(kneser.score(docs, model))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                        "base_score", "score", "perplexity")
