@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import cube, hilbert, kneser, passages, quality, simhash
+from sagline.llm import cube, hilbert, kneser, passages, quality, simhash, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +83,28 @@ def op7_weak_label_quality(spark, sf):
     return found.select("doc_id", F.col("_weak").alias("weak_label"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
 
 
+@query
+def op9_vantage_point_search(spark, sf):
+    return vptree.nearest(table(spark, sf, "embeddings"))
+
+
+# Sums run from first to last component, as in the operator.
+ORACLES["op9_vantage_point_search"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y) AS s FROM v),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda x, y: x + y) / (sqrt(q.s) * sqrt(c.s)) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+WHERE rank <= 5
+"""
+
+
 @query
 def op10_kneser_ney(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
