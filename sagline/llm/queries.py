@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import cube, hilbert, kneser, passages, quality, simhash, vptree
+from sagline.llm import cube, hilbert, kneser, language, passages, quality, simhash, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +83,13 @@ def op7_weak_label_quality(spark, sf):
     return found.select("doc_id", F.col("_weak").alias("weak_label"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
 
 
+@query
+def op8_cross_parsing(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.learn(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
+    return language.identify(docs, model)
+
+
 @query
 def op9_vantage_point_search(spark, sf):
     return vptree.nearest(table(spark, sf, "embeddings"))
