@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import cube, hilbert, kneser, language, passages, quality, simhash, vptree
+from sagline.llm import cube, hilbert, kneser, language, lines, passages, quality, simhash, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +65,12 @@ def op2_hilbert_shards(spark, sf):
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_fuzzy_lines(spark, sf):
+    found = lines.repeated_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+
+
 @query
 def op5_cube_mix(spark, sf):
     found = cube.mix(table(spark, sf, "documents"))
