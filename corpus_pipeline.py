@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each drawn row goes: its run of the Hilbert curve, and its place there."""
     found = hilbert.hilbert_shards(docs, SHARDS, carry=True)
-    return found.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"))
+    return found.select("doc.*", "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [

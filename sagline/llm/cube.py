@@ -117,7 +117,7 @@ def _levels(counts: list[int], chunk: int) -> list[list[int]]:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 17, chunk: int = CHUNK,
         key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
-    """``doc_id, size, source_size, target, copies`` of every row of ``docs`` (all its columns too with ``carry``).
+    """``doc_id, size, source_size, target, copies`` of every row of ``docs`` (and the row as ``doc`` with ``carry``).
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the words of the whole table;
     a target stops at ``cap`` times its source's size. ``copies`` times ``size`` are the words taken, at most
@@ -126,8 +126,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    names = docs.columns if carry else [key, source]
-    base = stored(docs.select(*[F.col(c) for c in names], F.col(key).cast("long").alias("_id"), F.col(source).alias("_src"),
+    own = [F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] if carry else []
+    base = stored(docs.select(*own, F.col(key).cast("long").alias("_id"), F.col(source).alias("_src"),
                               word_count(text).alias("_size"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
     sums = base.groupBy("_src").agg(F.sum("_size").alias("w"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -160,13 +160,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     full = F.when(F.col("_part") >= 1 - _EPS, 1).otherwise(0)
     out = rows.join(won, F.col("_row") == F.col("_won"), "left").withColumn(
         "_copies", F.col("_whole") + full + F.when(F.col("_won").isNotNull(), 1).otherwise(0))
-    if carry:
-        return out.select(*names, F.col("_copies"))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
+    return out.select(*["doc"] * carry, F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
                       F.col("_copies").cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is drawn, with the columns of ``docs``."""
     out = mix(docs, carry=True, **options)
-    return out.where("_copies > 0").withColumn("_again", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    return out.where("copies > 0").select("doc", F.explode(F.expr("sequence(1L, copies)"))).select("doc.*")

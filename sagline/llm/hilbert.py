@@ -67,11 +67,11 @@ def _sized(size: Column) -> Column:
 
 def curve_order(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang",
                 carry: bool = False) -> DataFrame:
-    """Add ``_size, _crc, _curve`` to the id, or to all columns with ``carry``.
+    """``_id, _size, _crc, _curve``, and the whole row as ``doc`` with ``carry``.
 
     Size is the text's UTF-8 bytes (null: none) plus 16; the checksum of a null text is that of the empty one.
     """
-    own = docs.columns if carry else [key]
+    own = [F.col(key).alias("_id"), *[F.struct(*[F.col(c) for c in docs.columns]).alias("doc")] * carry]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
     return docs.select(*own, size.alias("_size"), crc.alias("_crc"), _named(F.col(source)).alias("_s"),
@@ -81,20 +81,19 @@ def curve_order(docs: DataFrame, text: str = "text", key: str = "doc_id", source
 
 def hilbert_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", source: str = "source",
                    lang: str = "lang", carry: bool = False) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: runs of the curve whose row counts differ by at most one.
+    """``doc_id, size, text_crc32, shard, slot`` (and the row as ``doc`` with ``carry``): runs of the curve whose row counts differ by at most one.
 
     Rows are range-partitioned by curve position, checksum and id, so equal texts of one cell lie side by
     side and no cell is too large to split. The ordered table is stored, each part's rows are counted, and a
     row's rank is its part's offset plus its place; rank r of n goes to shard ``r * shards // n`` and slots
     count from 0 in each. Null metadata has a coordinate of its own; rows with null or repeated ids are
-    ordered like any other; an empty table gives no rows. With ``carry`` all columns of ``docs`` come along
-    (``size`` and the rest follow them, prefixed by ``_``).
+    ordered like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    tie = F.col("_tie")
-    rows = curve_order(docs, text, key, source, lang, carry).withColumn("_tie", F.xxhash64("_crc", F.col(key)))
+    rows = curve_order(docs, text, key, source, lang, carry)
+    order = ["_curve", "_crc", "_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "_curve", "_crc", F.col(key), tie).sortWithinPartitions("_curve", "_crc", F.col(key), tie)
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "curve-order")
     part = F.shiftright("_at", 33)
     counts = sorted(ordered.groupBy(part.alias("part")).count().collect())
@@ -107,13 +106,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: s
     out = ordered.withColumn("_rank", rank).withColumn("_shard", F.expr(f"_rank * {shards} div {n}").cast("int"))
     first = F.expr(f"(_shard * {n}L + {shards - 1}) div {shards}")
     out = out.withColumn("_slot", F.col("_rank") - first)
-    if carry:
-        return out.drop("_at", "_rank", "_tie")
-    return out.select(F.col(key).alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
+    return out.select(*["doc"] * carry, F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
                       F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, **columns: str) -> None:
-    """Write the shards as folders ``_shard=0 ...``, each in curve order, so that file statistics prune."""
+    """Write the shards as folders ``shard_number=0 ...``, each in curve order, so that file statistics prune."""
     out = hilbert_shards(docs, shards, carry=True, **columns)
-    out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    out = out.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    out.select("doc.*", F.col("shard").alias("shard_number")).write.partitionBy("shard_number").parquet(path)

@@ -245,4 +245,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_hits: int = 1,
     Rows without an id are judged by none and stay; all rows of a repeated id go together.
     """
     bad = find_passages(docs, benchmark, key=key, text=text, **options).where(F.size("hits") >= min_hits)
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.col(key) == F.col("_bad"), "left_anti")
+    bad = bad.select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, docs[key] == bad["bad"], "left_anti")

@@ -250,4 +250,6 @@ def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    return judged(docs, **options).where("_keep").select(*docs.columns)
+    text, key = options.pop("text", "text"), options.pop("key", "doc_id")
+    rows = docs.select(F.col(text).alias("text"), F.col(key).alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    return judged(rows, **options).where("_keep").select("doc.*")

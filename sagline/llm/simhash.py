@@ -138,5 +138,5 @@ def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
     A repeated id is one document: all its rows stay or go together.
     """
-    gone = near_groups(docs, text, key).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, text, key).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
