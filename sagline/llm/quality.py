@@ -95,18 +95,21 @@ class VoteModel:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> VoteModel:
-    """Fit by EM; counts are smoothed by one vote of each kind.
+    """Fit by EM.
 
-    A bad vote names a fault and most heuristics have only that vote, so the start takes every document with one for bad.
+    A bad vote names a fault and most heuristics have only that vote, so the start takes every document with one for
+    bad, and counts are smoothed by one vote of each kind except for faults of good documents, which need evidence.
     """
     k, kinds = patterns.shape[1], 3
     q = np.where((patterns == 2).any(1), 0.05, 0.95)
     model = VoteModel(PRIOR_GOOD, np.full((k, kinds), 1 / 3), np.full((k, kinds), 1 / 3))
     for _ in range(rounds):
         g, b = counts * q, counts * (1 - q)
-        model = VoteModel(float(np.clip((g.sum() + 1) / (counts.sum() + 2), 0.01, 0.99)),
-                          *(np.stack([((w[:, None] * (patterns == v)).sum(0) + 1) / (w.sum() + kinds) for v in range(kinds)], 1)
-                            for w in (g, b)))
+        chances = []
+        for w, smooth in ((g, (1.0, 1.0, 0.05)), (b, (1.0, 1.0, 1.0))):
+            seen = np.stack([(w[:, None] * (patterns == v)).sum(0) for v in range(kinds)], 1) + smooth
+            chances.append(seen / seen.sum(1, keepdims=True))
+        model = VoteModel(float(np.clip((g.sum() + 1) / (counts.sum() + 2), 0.01, 0.99)), *chances)
         new = model.posterior(patterns)
         if np.abs(new - q).max(initial=0) < 1e-9:
             break
