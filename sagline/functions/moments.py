@@ -28,6 +28,10 @@ SPATIAL: tuple[Exponent, ...] = tuple(
     + [(0, 0, 2)])
 
 
+# Below this share of the fourth power sum, abscissae count as fewer than three distinct ones.
+DISTINCT = 1e-9
+
+
 def name(e: Exponent) -> str:
     return "m%d%d%d" % e
 
@@ -105,7 +109,7 @@ def parabola(df: DataFrame, n: str, u2: str, u3: str, u4: str, u1v: str, u2v: st
         {"_k2": "_u2 / (sd * sd)", "_k3": "_u3 / (sd * sd * sd)", "_k4": "_u4 / (sd * sd * sd * sd)",
          "_b1": "_a1 / sd", "_b2": "_a2 / (sd * sd)"},
         {"_den": f"_k4 - _k3 * _k3 / _k2 - _k2 * _k2 / {n}"},
-        {"q2": "if(_den > 1e-9 * _k4, (_b2 - _k3 * _b1 / _k2) / _den, null)"},
+        {"q2": f"if(_den > {DISTINCT!r}D * _k4, (_b2 - _k3 * _b1 / _k2) / _den, null)"},
         {"q1": "(_b1 - _k3 * q2) / _k2", "q0": f"-_k2 * q2 / {n}"},
         {"sse": "greatest(0D, _v2 - q2 * _b2 - q1 * _b1) + 0 * q2"},
     ]

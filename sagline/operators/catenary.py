@@ -9,7 +9,6 @@ slope and curvature at the mean abscissa, which stays well conditioned for nearl
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,16 +19,11 @@ from sagline.functions.geometry import real_points
 from sagline.operators.fit import polyfit2
 from sagline.operators.shape import xy_axis
 
-log = logging.getLogger(__name__)
-
 BY = ("cloud_id", "wire_id")
 # Bounds of a and c, the start of the offset form (a, c, b).
 A_RANGE = (1e-6, 1e6)
 C_RANGE = (-1e6, 1e6)
 OFFSET_START = (-780.6, 780.4, -1.184)
-# A catenary is kept when its squared error is within 5% of the parabola's.
-ACCEPT = 1.05
-MAX_ROUNDS = 60
 SUMS = ("ahh", "ahs", "ahk", "ass", "ask", "akk", "gh", "gs", "gk", "err")
 
 # The rounds below run the same expressions many times, so they are parsed from text, once.
@@ -99,10 +93,13 @@ def _apply(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
     return df
 
 
-def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool) -> DataFrame:
+def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool, max_rounds: int | None) -> DataFrame:
     """Minimise each group's squared error from ``by..., tm, th, ts, tk`` (and ``blo, bhi``).
 
-    ``data`` (``by..., t, z``) has been materialised by the caller.
+    ``data`` (``by..., t, z``) has been materialised by the caller. The search goes on until every group is done:
+    an accepted step lowers the error by a least share, and a rejected one raises the damping up to a limit. With
+    ``max_rounds`` it may end before; ``done`` tells which groups had ended. Whenever half of the groups have
+    ended since, the points of the others are written anew, so that later rounds read only those.
     """
     state = start.withColumns({
         **{c: F.lit(None).cast("double") for c in ("h", "s", "k", *SUMS)}, "lam": F.lit(1e-3), "done": F.lit(False)})
@@ -115,23 +112,29 @@ def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool) ->
     curve, judge, step = _parsed(*CURVE), _parsed(*JUDGE), _parsed(*(BOUNDED if bounded else FREE))
     sums = [F.sum(F.expr(e)).alias(f"new_{n}") for n, e in zip(SUMS, TERMS)]
     open_, trial = F.expr("not done"), [*by, "tm", "th", "ts", "tk"]
-    for _ in range(MAX_ROUNDS):
+    held, rounds = state.count(), 0
+    while held and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
         rows = state.where(open_).select(trial)
         found = _apply(data.join(F.broadcast(rows) if small else rows, by), curve).groupBy(*by).agg(*sums)
         state = session.cut_lineage(_apply(state.join(found, by, "left"), judge + step).select(keep))
-        if session.is_empty(state.where(open_)):
+        left = state.where(open_).count()
+        if not left:
             break
-    else:
-        log.warning("some catenary fits stopped after %d rounds", MAX_ROUNDS)
+        if 2 * left <= held:
+            rest = state.where(open_).select(*by)
+            data, held = session.cut_lineage(data.join(F.broadcast(rest) if small else rest, by, "left_semi")), left
     return state
 
 
-def fit_catenary(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+def fit_catenary(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
+                 accept: float | None = None, max_rounds: int | None = None) -> DataFrame:
     """One row per group of at least four points: ``a, b, c`` of z = a cosh((t - b) / a) + c.
 
     t runs along the group's horizontal axis from 0 to ``span``. Also returned are the axis
-    (``mean_x, mean_y, ux, uy, t0``), ``sse`` and ``method``: ``catenary``, or ``interpolated`` when
-    no catenary does about as well as a parabola.
+    (``mean_x, mean_y, ux, uy, t0``), ``sse``, ``converged`` and ``method``: ``catenary``, or ``interpolated``
+    where no curve was found. ``accept`` also gives up a curve whose squared error exceeds that many times the
+    parabola's. ``converged`` is false only for groups that ``max_rounds`` has cut short.
     """
     by = list(by)
     axis = session.sized(xy_axis(points, by, x, y).where(F.col("n") >= 4))
@@ -146,19 +149,19 @@ def fit_catenary(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str
         *by, "t0", "span", "tm", "sse2", F.col("p")[2].alias("th"), (F.col("p")[1] / F.col("mu_std")).alias("ts"),
         (2.0 * F.col("p")[0] / (F.col("mu_std") * F.col("mu_std"))).alias("tk"),
         (F.col("t0") - F.col("span") - 1.0).alias("blo"), (F.col("t0") + 2.0 * F.col("span") + 1.0).alias("bhi"))
-    out = _search(data, start, by, bounded=True)
+    out = _search(data, start, by, True, max_rounds)
     k, arc = F.col("k"), F.asinh("s")
-    ok = F.col("err") <= F.col("sse2") * ACCEPT + 1e-18
+    ok = F.col("err").isNotNull() & (F.lit(True) if accept is None else F.col("err") <= F.col("sse2") * accept + 1e-18)
     fits = out.select(*by, F.when(ok, 1.0 / k).alias("a"), F.when(ok, F.col("tm") - arc / k - F.col("t0")).alias("b"),
-                      F.when(ok, F.col("h") - F.cosh(arc) / k).alias("c"), F.when(ok, F.col("err")).alias("sse"))
+                      F.when(ok, F.col("h") - F.cosh(arc) / k).alias("c"), F.when(ok, F.col("err")).alias("sse"), F.col("done").alias("converged"))
     return axis.join(ends, by).join(fits, by, "left").select(
         *by, "n", "mean_x", "mean_y", "ux", "uy", "t0", (F.col("t1") - F.col("t0")).alias("span"), "a", "b", "c", "sse",
-        F.when(F.col("a").isNotNull(), "catenary").otherwise("interpolated").alias("method"))
+        F.coalesce("converged", F.lit(True)).alias("converged"), F.when(F.col("a").isNotNull(), "catenary").otherwise("interpolated").alias("method"))
 
 
 def fit_catenary_offset(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "z",
-                        start: Sequence[float] | None = OFFSET_START) -> DataFrame:
-    """``by..., n, a, c, b, sse`` of z = a + c cosh((x - b) / c), unbounded, from the given start.
+                        start: Sequence[float] | None = OFFSET_START, max_rounds: int | None = None) -> DataFrame:
+    """``by..., n, a, c, b, sse, converged`` of z = a + c cosh((x - b) / c), unbounded, from the given start.
 
     ``start=None`` starts from the parabola, as do groups where the given start overflows.
     """
@@ -178,8 +181,8 @@ def fit_catenary_offset(points: DataFrame, by: Sequence[str] = BY, x: str = "x",
         given = {"th": a + c * F.cosh(lever), "ts": F.sinh(lever), "tk": F.lit(1.0 / c)}
         own = {n: F.when(fits_in, given[n]).otherwise(own[n]) for n in own}
     state = para.select(*by, "n", F.col("mu_mean").alias("tm"), *[v.alias(n) for n, v in own.items()])
-    out = _search(data, state, by, bounded=False)
+    out = _search(data, state, by, False, max_rounds)
     k, arc = F.col("k"), F.asinh("s")
     return out.where(F.col("err").isNotNull() & (k != 0)).select(
         *by, "n", (F.col("h") - F.cosh(arc) / k).alias("a"), (1.0 / k).alias("c"), (F.col("tm") - arc / k).alias("b"),
-        F.col("err").alias("sse"))
+        F.col("err").alias("sse"), F.col("done").alias("converged"))

@@ -8,6 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sagline import session
 from sagline.functions.geometry import real_points
 
 BY = ("cloud_id",)
@@ -54,8 +55,8 @@ def class_dimension(spark: SparkSession, names: Mapping[int, str] = CLASS_NAMES)
 
 
 def class_dimension_join(present: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Add ``name`` to rows with a ``classification``. The class map has a fixed, small size."""
-    out = present.join(F.broadcast(dimension), F.col("classification") == F.col("code"), "left").drop("code")
+    """Add ``name`` to rows with a ``classification``. A class map of the caller's is broadcast only if it is small."""
+    out = present.join(session.sized(dimension), F.col("classification") == F.col("code"), "left").drop("code")
     return out.withColumn("name", F.coalesce("name", F.concat(F.lit("Class "), F.col("classification").cast("string"))))
 
 

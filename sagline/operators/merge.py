@@ -6,7 +6,8 @@ parabola after each take. Plan and height tests depend only on the seed and the
 form a graph, and pieces of the graph cannot affect each other. A piece with few points is
 scanned in one task. A larger piece is scanned in rounds: all seeds that no earlier seed can still
 affect test their candidates at once, with the points distributed and only power sums per segment
-moved between rounds. Both give the order-by-order result.
+moved between rounds. Both solve for the parabola from the same power sums by the same formula, where a seed
+with fewer than three distinct places has none and takes nothing, so both give the order-by-order result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from sagline.operators.segments import absorb_points, append_segments, drop_abso
 from sagline.operators.shape import principal_axis
 
 BY = ("cloud_id",)
-# Pieces of the gate graph with at most this many points are scanned in one task.
+# Pieces of the gate graph with at most this many points, and as many edges, are scanned in one task.
 SCAN_ROWS = 1_000_000
 
 
@@ -103,33 +104,44 @@ def _scan(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: flo
         def local(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return (rows[:, 0] - mx) * c + (rows[:, 1] - my) * s, rows[:, 2] - mz
 
-        u, v = local(xyz[a])
-        if len(np.unique(u)) < 3:
-            continue
-        scale = np.abs(u).max()
-        x = np.vander(u / scale, 3)
-        gram, side = x.T @ x, x.T @ v
-        p = _solve(gram, side)
+        sums = _power_sums(*local(xyz[a]))
+        p = _solve(sums)
         for b in mine:
-            if b in gone:
+            if b in gone or p is None:
                 continue
             bu, bv = local(xyz[b])
-            x = np.vander(bu / scale, 3)
-            if np.abs(x @ p - bv).max() < curve:
+            u = bu - p[0]
+            if np.abs((p[2] * u + p[3]) * u + p[4] + p[1] - bv).max() < curve:
                 taken.append((a, b))
                 gone.add(b)
-                gram, side = gram + x.T @ x, side + x.T @ bv
-                p = _solve(gram, side)
+                sums = sums + _power_sums(bu, bv)
+                p = _solve(sums)
     out = pd.DataFrame(taken, columns=["into", "seg_id"], dtype="int64")
     for k in keys:
         out[k] = edges[k].iloc[0] if len(edges) else None
     return out[[*keys, "into", "seg_id"]]
 
 
-def _solve(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Least squares from normal equations with unit diagonal; adding a segment costs its own points only."""
-    d = np.sqrt(np.diag(gram))
-    return np.linalg.lstsq(gram / np.outer(d, d), side / d, rcond=None)[0] / d
+def _power_sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The columns ``KEEP``; those of several segments add up."""
+    return np.array([*[(u ** i).sum() for i in range(5)], v.sum(), (u * v).sum(), (u * u * v).sum()])
+
+
+def _solve(sums: np.ndarray) -> tuple[float, float, float, float, float] | None:
+    """``um, vm, q2, q1, q0`` as :func:`_curves` finds them, None where it finds none."""
+    n = sums[0]
+    um, vm = sums[1] / n, sums[5] / n
+    k = [sum(math.comb(i, j) * sums[j] * (-um) ** (i - j) for j in range(i + 1)) for i in range(5)]
+    w = [sum(math.comb(i, j) * (sums[5 + j] - vm * sums[j]) * (-um) ** (i - j) for j in range(i + 1)) for i in range(3)]
+    if n < 2 or not k[2] > 0:
+        return None
+    sd = math.sqrt(k[2] / (n - 1))
+    k2, k3, k4 = (k[i] / sd ** i for i in (2, 3, 4))
+    den = k4 - k3 * k3 / k2 - k2 * k2 / n
+    if not den > M.DISTINCT * k4:
+        return None
+    q2 = (w[2] / sd ** 2 - k3 * (w[1] / sd) / k2) / den
+    return um, vm, q2 / sd ** 2, (w[1] / sd - k3 * q2) / k2 / sd, -k2 * q2 / n
 
 
 # --- scan in rounds -----------------------------------------------------------------------------
@@ -225,7 +237,9 @@ def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY,
     comp = connected_components(edges, by, "a", "b").withColumnRenamed("node", "seg_id")
     comp = session.cut_lineage(comp)
     size = seg.join(comp, [*by, "seg_id"]).groupBy(*by, "component").agg(F.sum("n").alias("_rows"))
-    small = size.where(F.col("_rows") <= scan_rows).select(*by, "component")
+    tests = edges.join(comp.withColumnRenamed("seg_id", "a"), [*by, "a"]).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("_tests"))
+    size = size.join(tests, [*by, "component"])
+    small = size.where((F.col("_rows") <= scan_rows) & (F.col("_tests") <= scan_rows)).select(*by, "component")
     few = session.cut_lineage(comp.join(small, [*by, "component"], "left_semi"))
     many = session.cut_lineage(comp.join(small, [*by, "component"], "left_anti"))
 

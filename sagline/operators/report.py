@@ -24,7 +24,7 @@ CLEARANCE = "Ground clearance (lowest point): %.3f m"
 
 def lowest_point(curve: DataFrame, by: Sequence[str] = BY, order: str = "sample") -> DataFrame:
     """``by..., x, y, z`` of the lowest curve point, the first one on ties."""
-    low = curve.groupBy(*by).agg(F.min_by(F.struct("x", "y", "z"), F.struct("z", order)).alias("low"))
+    low = curve.where(F.col("z").isNotNull() & ~F.isnan("z")).groupBy(*by).agg(F.min_by(F.struct("x", "y", "z"), F.struct("z", order)).alias("low"))
     return low.select(*by, "low.x", "low.y", "low.z")
 
 

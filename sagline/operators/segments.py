@@ -21,8 +21,8 @@ def cluster_points(points: DataFrame, labels: DataFrame, by: Sequence[str] = BY)
 
 
 def segment_count(points: DataFrame, by: Sequence[str] = BY, seg: str = "seg_id") -> DataFrame:
-    """``by..., seg, count``."""
-    return points.groupBy(*by, seg).agg(F.count(F.lit(1)).alias("count"))
+    """``by..., seg, count`` of the rows that a fit can use: those without NULL or NaN coordinates."""
+    return real_points(points, *[c for c in "xyz" if c in points.columns]).groupBy(*by, seg).agg(F.count(F.lit(1)).alias("count"))
 
 
 def min_cluster_size(points: DataFrame, size: int = 15, by: Sequence[str] = BY, seg: str = "cluster_id") -> DataFrame:
@@ -34,7 +34,7 @@ def min_cluster_size(points: DataFrame, size: int = 15, by: Sequence[str] = BY,
 def segment_means(points: DataFrame, by: Sequence[str] = BY, seg: str = "seg_id",
                   x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """``by..., seg, n, mean_x, mean_y, mean_z``."""
-    return points.groupBy(*by, seg).agg(
+    return real_points(points, x, y, z).groupBy(*by, seg).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{a}") for a, c in zip("xyz", (x, y, z))])
 
 
@@ -42,6 +42,7 @@ def center_points(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: st
                   axes: str = "xyz") -> DataFrame:
     """Subtract the group mean from the named axes (``"xy"`` leaves heights alone)."""
     cols = dict(zip("xyz", (x, y, z)))
+    points = real_points(points, x, y, z)
     means = points.groupBy(*by).agg(*[F.avg(cols[a]).alias(f"_m{a}") for a in axes])
     out = session.attach(points, means, list(by))
     return out.withColumns({cols[a]: F.col(cols[a]) - F.col(f"_m{a}") for a in axes}).drop(*[f"_m{a}" for a in axes])

@@ -139,8 +139,9 @@ def test_catenary_finds_the_parameters(spark):
         row = got.loc[i]
         assert row.method == "catenary" and np.isclose(row.a, a, rtol=0.02)
         assert row.sse < 1.1 * 2000 * 0.005 ** 2 and row.ux >= 0
-    assert got.loc[3].method == "interpolated"
-    curves = generate.wire_curves(df, catenary.fit_catenary(df, WIRE), 300, WIRE).toPandas()
+    assert got.loc[3].method == "catenary" and got.converged.all()
+    strict = catenary.fit_catenary(df, WIRE, accept=1.05)
+    curves = generate.wire_curves(df, strict, 300, WIRE).toPandas()
     assert (curves.groupby("wire_id").size() == 300).all() and len(curves) == 1200
     line = curves[curves.wire_id == 3].sort_values("sample")
     assert np.allclose(line.z, np.interp(line.x, roof.x, roof.z), atol=1e-9)
@@ -148,6 +149,19 @@ def test_catenary_finds_the_parameters(spark):
     assert np.allclose(low.z[[0, 1, 2]], 20, atol=0.02)
 
 
+def test_straight_and_hogging_wires_converge(spark):
+    t = np.linspace(0, 40, 300)
+    shapes = {0: np.full(300, 7.0), 1: 5 + 0.1 * t, 2: 10 - 0.01 * (t - 20) ** 2}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"cloud_id": "c", "wire_id": i, "point_id": range(300), "x": t, "y": 1.0, "z": z})
+                                          for i, z in shapes.items()]))
+    got = catenary.fit_catenary(df, WIRE).toPandas().set_index("wire_id")
+    assert got.converged.all() and (got.method == "catenary").all() and got.a.notna().all()
+    # The bounds keep the lowest point near the wire, so a sloped line is met only about.
+    assert got.sse[0] < 1e-2 and got.sse[1] < 300 * 0.15 ** 2
+    cut = catenary.fit_catenary(df, WIRE, max_rounds=1).toPandas()
+    assert not cut.converged.all()
+
+
 def got_df(spark, got):
     return spark.createDataFrame(got.reset_index())
 

@@ -105,6 +105,17 @@ def test_rounds_and_scan_agree_on_a_chain(spark):
     assert len(a) > 2 and set(zip(a.into, a.seg_id)) == set(zip(b.into, b.seg_id))
 
 
+@pytest.mark.parametrize("far", [10.0001, 10.5])
+def test_degenerate_seed_is_one_rule(spark, far):
+    """A seed whose places are three only by rounding takes the same at every size."""
+    seed = [(x, 0.0, 0.0) for x in [0.0] * 6 + [10.0] * 3 + [far] * 3]
+    rows = [("c", 0, i, *p) for i, p in enumerate(seed)] + [("c", 1, 100 + i, 10.00002 + 0.00001 * i, 0.0, 0.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "cloud_id string, seg_id long, point_id long, x double, y double, z double")
+    seg = seg_ops.rank_segments(seg_ops.build_segments(df))
+    found = [sorted(map(tuple, merge.find_merges(seg, df, scan_rows=n).collect())) for n in (None, 20, 0)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_gates_are_brute_force(spark):
     p = pieces(seed=3, wires=6, parts=6)
     df = spark.createDataFrame(p)
