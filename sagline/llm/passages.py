@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sagline.llm.shared import stored
+
 WINDOW = 10
 # Words of training text per suffix array, and UTF-8 bytes of benchmark text per broadcast block.
 SHARD_WORDS = 2_000_000
@@ -214,28 +216,29 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     ``hits`` are the places of the words inside an occurrence of a benchmark window (``window`` consecutive
     words of an item; all of a shorter one), ``matches`` the longest verbatim match with each item that has one.
     Null and empty texts have no words; items without id or words take no part; repeated rows are returned
-    each. A benchmark beyond ``block_bytes`` is scanned block by block and the blocks' hits are united, which
-    needs a row id and so one shuffle of the results.
+    each. A benchmark beyond ``block_bytes`` is scanned block by block; the rows are numbered and stored for that, and
+    the blocks' hits are united by number.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    found = []
-    for block in _blocks(benchmark, item, item_text, window, block_bytes):
-        handle = spark.sparkContext.broadcast(block)
-        found.append(rows.mapInArrow(_scanner(handle, shard_words), FOUND))
-    return found[0] if len(found) == 1 else _united(found)
-
-
-def _united(found: list[DataFrame]) -> DataFrame:
-    """All blocks' results side by side: each scan has the same partitions in the same order, so a row's number names it."""
-    out = None
-    for f in found:
-        f = f.select("*", F.monotonically_increasing_id().alias("_row"))
-        out = f if out is None else out.join(
-            f.select("_row", F.col("hits").alias("_h"), F.col("matches").alias("_m")), "_row").select(
-            "_row", "doc_id", "n_words", F.array_sort(F.array_union("hits", "_h")).alias("hits"),
-            F.concat("matches", "_m").alias("matches"))
-    return out.drop("_row")
+    blocks = list(_blocks(benchmark, item, item_text, window, block_bytes))
+    if len(blocks) == 1:
+        return _scanned(rows, blocks[0], shard_words)
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+    out = numbered.select("row", "doc_id")
+    for i, block in enumerate(blocks):
+        more = _scanned(numbered.select(F.col("row").alias("doc_id"), "t"), block, shard_words).select(
+            F.col("doc_id").alias("row"), "n_words", F.col("hits").alias("h"), F.col("matches").alias("m"))
+        if i:
+            more = more.drop("n_words")
+        out = out.join(more, "row")
+        both = {"hits": F.col("h"), "matches": F.col("m")} if not i else {
+            "hits": F.array_sort(F.array_union("hits", "h")), "matches": F.concat("matches", "m")}
+        out = stored(out.withColumns(both).drop("h", "m"), "block-hits")
+    return out.select("doc_id", "n_words", "hits", "matches")
+
+
+def _scanned(rows: DataFrame, block: Block, shard_words: int) -> DataFrame:
+    return rows.mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(block), shard_words), FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_hits: int = 1, key: str = "doc_id", text: str = "text",
