@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHIPPED = "sagline-source.zip"
 # A table of at most this many rows (about 100 bytes each) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 # A group of at most this many rows may be ordered by one window task; larger ones are range-split.
@@ -27,6 +32,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application, for clusters that have it only on the driver."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if any(f.endswith(f"/{SHIPPED}") for f in sc.listFiles) or not (root / "sagline").is_dir():
+        return
+    # Executors fetch the file from the driver when they first need it, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, SHIPPED)
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted((root / "sagline").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    sc.addPyFile(str(path))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)

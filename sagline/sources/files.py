@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -17,6 +18,7 @@ class FilePart(InputPartition):
     path: str
     part: int
     parts: int
+    name: str = ""  # path below the folder that was read: what tells clouds apart
 
     def rows(self, total: int) -> tuple[int, int]:
         return total * self.part // self.parts, total * (self.part + 1) // self.parts
@@ -40,9 +42,10 @@ def list_parts(path: str, suffix: str, split_bytes: int) -> list[FilePart]:
                  if i.type == fs.FileType.File and i.path.lower().endswith(suffix)]
     else:
         raise FileNotFoundError(path)
+    root = inner.rstrip("/") + "/" if info.type == fs.FileType.Directory else os.path.dirname(inner) + "/"
     prefix = uri[:uri.index("://") + 3] if not uri.startswith("file://") else ""
     out = []
     for i in sorted(found, key=lambda i: i.path):
         parts = max(1, -(-i.size // split_bytes))
-        out += [FilePart(prefix + i.path, k, parts) for k in range(parts)]
+        out += [FilePart(prefix + i.path, k, parts, i.path.removeprefix(root)) for k in range(parts)]
     return out

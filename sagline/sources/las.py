@@ -6,7 +6,6 @@ batches. The layout is that of the public LAS specification, versions 1.0 to 1.4
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from sagline.sources.files import SPLIT_BYTES, FilePart, list_parts, open_file
+from sagline.sources.points import by_cloud
 
 SCHEMA = "cloud_id string, point_id long, x double, y double, z double, classification int"
 ARROW = pa.schema([("cloud_id", pa.string()), ("point_id", pa.int64()), ("x", pa.float64()), ("y", pa.float64()),
@@ -58,7 +58,7 @@ class LasReader(DataSourceReader):
         with open_file(part.path) as f:
             head = read_header(f.read(HEADER_BYTES))
             kind = record_type(head["format"], head["length"])
-            name = os.path.basename(part.path)
+            name = part.name
             row, stop = part.rows(head["count"])
             f.seek(head["start"] + row * head["length"])
             while row < stop:
@@ -88,12 +88,12 @@ class LasSource(DataSource):
 
 
 def read_las(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Points of a LAS file or of all LAS files in a folder, one cloud per file."""
+    """Points of a LAS file or of all LAS files below a folder, one cloud per file, named by its path below the folder."""
     spark.dataSource.register(LasSource)
     return spark.read.format("sagline_las").option("splitBytes", split_bytes).load(path)
 
 
 def ingest_las(spark: SparkSession, path: str, out: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Write LAS points to Parquet, one folder per cloud, and read them back."""
-    read_las(spark, path, split_bytes).write.mode("overwrite").partitionBy("cloud_id").parquet(out)
+    """Write LAS points to Parquet, one folder per cloud, and read them back. Clouds that are not in ``path`` stay as they are."""
+    by_cloud(read_las(spark, path, split_bytes), out)
     return spark.read.schema(SCHEMA).parquet(out)

@@ -6,7 +6,6 @@ compressed ones are skipped through in small pieces. Nothing holds a whole array
 
 from __future__ import annotations
 
-import os
 import zipfile
 from collections.abc import Iterator
 
@@ -92,7 +91,7 @@ class NpzReader(DataSourceReader):
 def _batch(part: FilePart, key: str, pos: int, row: int, cols) -> pa.RecordBatch:
     n = len(cols[0])
     return pa.RecordBatch.from_arrays(
-        [pa.array([os.path.basename(part.path)] * n), pa.array([key] * n), pa.array(np.full(n, pos, "int32")),
+        [pa.array([part.name] * n), pa.array([key] * n), pa.array(np.full(n, pos, "int32")),
          pa.array(np.arange(row, row + n)), *[pa.array(np.ascontiguousarray(c, dtype="float64")) for c in cols]], schema=ARROW)
 
 
@@ -123,7 +122,8 @@ def read_ground(spark: SparkSession, path: str, fmt: str = "npz", cloud_id: str
     """
     try:
         if fmt == "parquet":
-            return spark.read.parquet(path).select("cloud_id", "point_id", "x", "y", "z")
+            schema = "cloud_id string, point_id long, x double, y double, z double"
+            return spark.read.schema(schema).parquet(path).select("cloud_id", "point_id", "x", "y", "z")
         rows = read_arrays(spark, path)
         names = rows.groupBy("file").agg(
             F.min_by("key", F.struct((F.col("key") != GROUND_KEY).cast("int"), "pos")).alias("key"))

@@ -13,6 +13,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def by_cloud(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet, one folder per cloud; only the folders of its own clouds are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cloud_id").parquet(path)
+
+
 def as_points(df: DataFrame, x="x", y="y", z="z", point_id="point_id", classification="classification",
               cloud_id=None) -> DataFrame:
     """Any table as points. Arguments are columns or names; a missing class is 0.
@@ -32,8 +37,11 @@ def as_points(df: DataFrame, x="x", y="y", z="z", point_id="point_id", classific
 
 
 def read_points(spark: SparkSession, path: str, fmt: str = "parquet", **columns) -> DataFrame:
-    """Read a folder or file of points; files without a ``cloud_id`` column are clouds of their own.
+    """Read a folder or file of points.
 
+    CSV files without a ``cloud_id`` column are clouds of their own, named by their file; equal names in different
+    folders are an error. A Parquet table is written in parts that are no clouds: without the column, ``cloud_id``
+    must be given.
     CSV files have a header and the columns of :data:`sagline.schema.POINTS` by name.
     """
     if fmt == "parquet":
@@ -46,5 +54,10 @@ def read_points(spark: SparkSession, path: str, fmt: str = "parquet", **columns)
     else:
         raise ValueError("fmt must be 'parquet' or 'csv'; LAS files are read with read_las")
     if "cloud_id" not in columns and "cloud_id" not in df.columns:
+        if fmt == "parquet":
+            raise ValueError("the table has no cloud_id; give one, such as cloud_id=F.lit('flight')")
+        names = [f.rpartition("/")[2] for f in df.inputFiles()]
+        if len(set(names)) < len(names):
+            raise ValueError("files of the same name in different folders; give a cloud_id")
         columns["cloud_id"] = base_name(F.input_file_name())
     return as_points(df, **columns)

@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sagline.plans import wire_summary
 from sagline.sources.las import ingest_las, read_las
 from sagline.sources.npz import read_ground, read_wires
 from sagline.sources.points import read_points
-from sagline.sources.wires import read_wire_info, write_ground, write_wire_info, write_wires
+from sagline.sources.wires import read_wire_info, write_ground, write_wire_arrays, write_wire_info, write_wires
 
 
 def las_bytes(xyz, codes, form, version=(1, 2), scale=0.001, offset=(500.0, -20.0, 3.0)):
@@ -70,8 +71,10 @@ def test_las_rejects_compressed(spark, tmp_path):
 def test_points_table_defaults(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, 1.5, 2.5)], "point_id long, x double, y double, z double")
     rows.write.parquet(str(tmp_path / "p"))
-    got = read_points(spark, str(tmp_path / "p")).first()
-    assert got.classification == 0 and got.cloud_id.endswith(".parquet")
+    with pytest.raises(ValueError, match="cloud_id"):
+        read_points(spark, str(tmp_path / "p"))
+    got = read_points(spark, str(tmp_path / "p"), cloud_id=F.lit("flight")).first()
+    assert got.classification == 0 and got.cloud_id == "flight"
     rows.withColumn("cloud_id", F.lit("c")).withColumn("classification", F.lit(None).cast("int")).write.option("header", True).csv(str(tmp_path / "c"))
     got = read_points(spark, str(tmp_path / "c"), "csv").first()
     assert (got.cloud_id, got.x, got.classification) == ("c", 0.5, 0)
@@ -129,3 +132,42 @@ def test_parquet_sinks(spark, tmp_path):
     write_ground(rows, str(tmp_path / "g"))
     assert sorted(p.name for p in (tmp_path / "w").glob("cloud_id=*")) == ["cloud_id=a", "cloud_id=b"]
     assert read_ground(spark, str(tmp_path / "g"), "parquet").where("cloud_id = 'b'").first().x == 4.0
+
+
+def test_same_names_in_two_folders_are_two_clouds(spark, tmp_path):
+    for folder, x in (("a", 1), ("b", 2)):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "flight.las").write_bytes(las_bytes([(x, 0, 0), (x, 1, 1), (x, 2, 2)], [1, 1, 1], 1))
+    got = read_las(spark, str(tmp_path / "in")).toPandas()
+    assert set(got.cloud_id) == {"a/flight.las", "b/flight.las"} and len(set(zip(got.cloud_id, got.point_id))) == 6
+    out = ingest_las(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    (tmp_path / "in" / "a" / "flight.las").write_bytes(las_bytes([(9, 0, 0)], [1], 1))
+    (tmp_path / "in" / "b" / "flight.las").unlink()
+    out = ingest_las(spark, str(tmp_path / "in"), str(tmp_path / "out")).toPandas()
+    assert out.groupby("cloud_id").size().to_dict() == {"a/flight.las": 1, "b/flight.las": 3}
+
+
+def test_fits_of_two_clouds_come_back(spark, tmp_path):
+    rows = [(c, i, [1.0 * i, 2.0, 3.0], 0.5, 7.0, 0.9, 10.0, 2.0) for c in ("007", "b c") for i in range(3)]
+    fits = spark.createDataFrame(rows, "cloud_id string, wire_id int, p array<double>, normr double, df double, rsq double, mu_mean double, mu_std double")
+    write_wire_arrays(fits, str(tmp_path / "arrays"))
+    assert sorted(map(tuple, read_wire_info(spark, str(tmp_path / "arrays")).collect())) == sorted(rows)
+    write_wire_info(fits, str(tmp_path / "lines"))
+    assert sorted(map(tuple, read_wire_info(spark, str(tmp_path / "lines"), "lines").collect())) == sorted(rows)
+    with pytest.raises(Exception, match="gaps"):
+        write_wire_arrays(fits.where("wire_id <> 1"), str(tmp_path / "bad"))
+    (tmp_path / "broken.json").write_text("[{")
+    with pytest.raises(Exception):
+        read_wire_info(spark, str(tmp_path / "broken.json")).collect()
+
+
+def test_summary_needs_the_cloud_of_a_fit(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, 0, i, float(i), 0.0, 5 + 0.01 * (i - 20) ** 2 + float(rng.normal(0, 0.01))) for c in ("a", "b") for i in range(40)]
+    points = spark.createDataFrame(rows, "cloud_id string, wire_id int, point_id long, x double, y double, z double")
+    fits = spark.createDataFrame([(c, 0, [k, 0.0, 0.0], 0.5, 7.0, 0.9, 10.0, 2.0) for c, k in (("a", 1.0), ("b", 2.0))],
+                                 "cloud_id string, wire_id int, p array<double>, normr double, df double, rsq double, mu_mean double, mu_std double")
+    with pytest.raises(ValueError, match="cloud_id"):
+        wire_summary(points, fits.drop("cloud_id"), None)
+    got = wire_summary(points, fits, None).collect()
+    assert len(got) == 2 and {r.cloud_id: r.p[0] for r in got} == {"a": 1.0, "b": 2.0} and all(r.converged for r in got)
