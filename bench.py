@@ -13,7 +13,7 @@ from checks.queries import QUERIES
 HEADLINE = ("above_ground_count", "z_histogram", "bounds", "polyfit2_lots", "principal_axis", "segment_length", "polyfit2",
             "fit_rmse", "densify_wire", "interpolate_curve", "split_by_position", "fill_gaps", "radius_join", "local_shape",
             "line_candidates", "nearest_join", "link_join", "euclidean_clusters", "merge_gate_join", "merge_pass",
-            "fit_catenary", "summarise_classes")
+            "fit_catenary", "summarise_classes", "merge_segments", "extract_lines", "summarise_wires", "pair_merge_test", "predict_gap")
 
 
 def main() -> None:

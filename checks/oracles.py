@@ -318,3 +318,24 @@ lo AS (SELECT g.seg_id, sample, g.tt, g.mean_x, g.mean_y, g.ux, g.uy, l.tt AS lt
 hi AS (SELECT lo.seg_id, sample, lo.tt, lo.mean_x, lo.mean_y, lo.ux, lo.uy, lt, lz, h.tt AS ht, h.z AS hz FROM lo ASOF JOIN pt_ h ON lo.seg_id = h.seg_id AND lo.tt <= h.tt)
 SELECT seg_id::INT AS wire_id, sample, {r('mean_x + tt * ux', 4, 'x')}, {r('mean_y + tt * uy', 4, 'y')},
 {r('CASE WHEN ht > lt THEN lz + (tt - lt) / (ht - lt) * (hz - lz) ELSE hz END', 4, 'z')} FROM hi""".replace("pt_", "pj"))
+
+ORACLES["ground_key"] = """
+WITH a AS (
+  SELECT user_id AS file, event_id AS pos,
+    CASE WHEN user_id % 3 = 0 AND day(ts) = 5 THEN 'ground_points' ELSE strftime(ts, '%Y%m%d') END AS key FROM events)
+SELECT file, key FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY key <> 'ground_points', pos) AS r FROM a) WHERE r = 1
+"""
+ORACLES["numeric_suffix_order"] = """
+WITH w AS (
+  SELECT CAST(user_id % 7 AS VARCHAR) AS cloud_id, user_id, 'wire_' || user_id AS key, count(*) AS count FROM events GROUP BY 1, 2, 3)
+SELECT cloud_id, CAST(row_number() OVER o - 1 AS INTEGER) AS wire_id, key, CAST(row_number() OVER o - 1 AS INTEGER) AS label, count
+FROM w WINDOW o AS (PARTITION BY cloud_id ORDER BY user_id)
+"""
+ORACLES["wire_info_records"] = """
+SELECT CAST(user_id AS VARCHAR) AS cloud_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS wire_id,
+  CAST(event_id AS DOUBLE) AS p0, user_id + 0.5::DOUBLE AS p1, 3::DOUBLE AS p2, 0.25::DOUBLE AS normr, CAST(event_id % 9 AS DOUBLE) AS df,
+  CASE WHEN event_id % 2 = 0 THEN 0.5::DOUBLE END AS rsq,
+  CASE WHEN event_id % 2 = 0 THEN user_id ELSE event_id + 0.25::DOUBLE END AS mu_mean,
+  CASE WHEN event_id % 2 = 0 THEN 2::DOUBLE ELSE 4::DOUBLE END AS mu_std
+FROM events
+"""

@@ -14,6 +14,8 @@ from sagline.operators import catenary, classes, cluster, fit, generate, grid, g
 from sagline.operators import segments as seg_ops
 from sagline.plans import class_summary, extract_power_lines, wire_summary
 from sagline.schema import Params
+from sagline.sources import npz
+from sagline.sources import wires as wires_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +47,36 @@ def read_points(spark, sf):
     return cloud(spark, sf)
 
 
+@query
+def ground_key(spark, sf):
+    """Users as archives, their days as arrays; those of user ids divisible by 3 have one named for ground."""
+    day = F.date_format("ts", "yyyyMMdd")
+    named = (F.col("user_id") % 3 == 0) & (F.dayofmonth("ts") == 5)
+    arrays = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.when(named, "ground_points").otherwise(day).alias("key"),
+                                               F.col("event_id").cast("int").alias("pos"))
+    return npz.ground_keys(arrays)
+
+
+@query
+def numeric_suffix_order(spark, sf):
+    rows = table(spark, sf, "events").groupBy(
+        (F.col("user_id") % 7).cast("string").alias("cloud_id"), F.concat(F.lit("wire_"), F.col("user_id")).alias("key")).count()
+    return npz.number_wires(rows)
+
+
+@query
+def wire_info_records(spark, sf):
+    """A JSON array per user, its records in both forms of the location and scale."""
+    head = F.format_string('{"p": [%d, %d.5, 3], "normr": 0.25, "df": %d, ', "event_id", "user_id", F.col("event_id") % 9)
+    tail = F.when(F.col("event_id") % 2 == 0, F.format_string('"rsq": 0.5, "mu_mean": %d, "mu_std": 2}', "user_id")).otherwise(
+        F.format_string('"mu": [%d.25, 4]}', "event_id"))
+    text = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(head, tail).alias("t")))).alias("r"))
+    text = text.select(F.col("user_id").cast("string").alias("cloud_id"), F.concat(F.lit("["), F.array_join(F.col("r.t"), ","), F.lit("]")).alias("value"))
+    found = wires_source.normalise_fits(text.select("cloud_id", F.posexplode(wires_source.fit_records(F.col("value"))).alias("wire_id", "r")).select(
+        "cloud_id", "wire_id", "r.*"))
+    return found.select("cloud_id", "wire_id", *[F.col("p")[i].alias(f"p{i}") for i in range(3)], "normr", "df", "rsq", "mu_mean", "mu_std")
+
+
 # --- projections and filters --------------------------------------------------------------------
 
 @query

@@ -115,6 +115,11 @@ def read_arrays(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     return spark.read.format("sagline_npz").option("splitBytes", split_bytes).load(path)
 
 
+def ground_keys(arrays: DataFrame, by: str = "file") -> DataFrame:
+    """``by, key``: of each archive's arrays (``by, key, pos``) the one named for ground, else the first."""
+    return arrays.groupBy(by).agg(F.min_by("key", F.struct((F.col("key") != GROUND_KEY).cast("int"), "pos")).alias("key"))
+
+
 def read_ground(spark: SparkSession, path: str, fmt: str = "npz", cloud_id: str | None = None) -> DataFrame | None:
     """Ground points ``cloud_id, point_id, x, y, z``; None when the source cannot be read.
 
@@ -125,8 +130,7 @@ def read_ground(spark: SparkSession, path: str, fmt: str = "npz", cloud_id: str
             schema = "cloud_id string, point_id long, x double, y double, z double"
             return spark.read.schema(schema).parquet(path).select("cloud_id", "point_id", "x", "y", "z")
         rows = read_arrays(spark, path)
-        names = rows.groupBy("file").agg(
-            F.min_by("key", F.struct((F.col("key") != GROUND_KEY).cast("int"), "pos")).alias("key"))
+        names = ground_keys(rows)
         rows = rows.join(F.broadcast(names) if names.limit(10_001).count() <= 10_000 else names, ["file", "key"])
     except (FileNotFoundError, AnalysisException):
         return None
@@ -139,6 +143,13 @@ def numeric_suffix(key="key"):
     return F.split(key, "_")[1].cast("int")
 
 
+def number_wires(wires: DataFrame) -> DataFrame:
+    """Add ``wire_id`` and ``label`` to ``cloud_id, key, count``: from 0 by the numeric suffix, so ``w_10`` follows ``w_9``."""
+    order = Window.partitionBy("cloud_id").orderBy(numeric_suffix(), "key")
+    wires = wires.withColumn("wire_id", (F.row_number().over(order) - 1).cast("int"))
+    return wires.select("cloud_id", "wire_id", "key", F.col("wire_id").alias("label"), "count")
+
+
 def read_wires(spark: SparkSession, path: str, cloud_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, wires): ``cloud_id, wire_id, point_id, x, y, z`` and ``cloud_id, wire_id, key, label, count``.
 
@@ -146,9 +157,6 @@ def read_wires(spark: SparkSession, path: str, cloud_id: str | None = None) -> t
     """
     cloud = F.col("file") if cloud_id is None else F.lit(cloud_id)
     rows = read_arrays(spark, path).select(cloud.alias("cloud_id"), "key", "point_id", "x", "y", "z")
-    wires = rows.groupBy("cloud_id", "key").agg(F.count(F.lit(1)).alias("count"))
-    order = Window.partitionBy("cloud_id").orderBy(numeric_suffix(), "key")
-    wires = wires.withColumn("wire_id", (F.row_number().over(order) - 1).cast("int"))
-    wires = wires.select("cloud_id", "wire_id", "key", F.col("wire_id").alias("label"), "count")
+    wires = number_wires(rows.groupBy("cloud_id", "key").agg(F.count(F.lit(1)).alias("count")))
     points = rows.join(wires.select("cloud_id", "wire_id", "key"), ["cloud_id", "key"])
     return points.select("cloud_id", "wire_id", "point_id", "x", "y", "z"), wires

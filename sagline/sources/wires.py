@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagline.sources.points import base_name, by_cloud
@@ -10,7 +10,7 @@ from sagline.sources.points import base_name, by_cloud
 RECORD = ("p array<double>, normr double, df double, rsq double, mu_mean double, mu_std double, mu array<double>")
 
 
-def _fits(df: DataFrame) -> DataFrame:
+def normalise_fits(df: DataFrame) -> DataFrame:
     """One shape for records with ``mu`` and records with ``mu_mean, mu_std``."""
     has = F.col("mu_mean").isNotNull() & F.col("mu_std").isNotNull()
     return df.select(*[c for c in df.columns if c == "cloud_id"], "wire_id", "p", "normr", "df", "rsq",
@@ -18,6 +18,11 @@ def _fits(df: DataFrame) -> DataFrame:
                      F.when(has, F.col("mu_std")).otherwise(F.get("mu", F.lit(1))).alias("mu_std"))
 
 
+def fit_records(text: Column) -> Column:
+    """The records of a JSON array of fits; text that is not such JSON is an error."""
+    return F.from_json(text, f"array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})
+
+
 def read_wire_info(spark: SparkSession, path: str, fmt: str = "array", cloud_id: str | None = None) -> DataFrame:
     """``[cloud_id,] wire_id, p, normr, df, rsq, mu_mean, mu_std``.
 
@@ -31,17 +36,17 @@ def read_wire_info(spark: SparkSession, path: str, fmt: str = "array", cloud_id:
         rows = spark.read.option("mode", "FAILFAST").schema(f"cloud_id string, wire_id int, {RECORD}").json(path)
         if named or not rows.where("cloud_id IS NOT NULL").take(1):
             rows = rows.select(*named, *[c for c in rows.columns if c != "cloud_id"])
-        return _fits(rows)
+        return normalise_fits(rows)
     if fmt != "array":
         raise ValueError("fmt must be 'array' or 'lines'")
-    records = F.from_json("value", f"array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})
+    records = fit_records(F.col("value"))
     text = spark.read.schema("value string").text(path, wholetext=True)
     file = F.input_file_name()
     if not named and len(text.inputFiles()) > 1:
         folder = F.regexp_extract(file, "/cloud_id=([^/]+)/", 1)
         named = [F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_replace(base_name(file), "[.][^.]*$", "")).alias("cloud_id")]
     rows = text.select(*named, records.alias("r"))
-    return _fits(rows.select(*[c for c in rows.columns if c == "cloud_id"], F.posexplode("r").alias("wire_id", "r")).select(
+    return normalise_fits(rows.select(*[c for c in rows.columns if c == "cloud_id"], F.posexplode("r").alias("wire_id", "r")).select(
         *["cloud_id"] * bool(named), "wire_id", "r.*"))
 
 
