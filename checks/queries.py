@@ -90,7 +90,7 @@ def split_ground(spark, sf):
 def above_ground_count(spark, sf):
     points = cloud(spark, sf)
     limits = ground.ground_threshold(points)
-    above, below = ground.split_ground(points)
+    above, below = ground.split_ground(points, limits=limits)
     both = above.withColumn("up", F.lit(1)).unionByName(below.withColumn("up", F.lit(0)))
     count = both.groupBy("cloud_id").agg(F.sum("up").alias("above"), F.sum(1 - F.col("up")).alias("ground"))
     return limits.join(count, "cloud_id").select(r("threshold").alias("threshold"), "above", "ground")

@@ -25,8 +25,10 @@ def z_histogram(points: DataFrame, bins: int = 50, by: Sequence[str] = BY, z: st
     An edge value belongs to the lower bin and the minimum to the first. A cloud of constant height
     has no bins.
     """
-    by = list(by)
-    real, span = _ranged(points, by, z, bins)
+    return _histogram(*_ranged(points, list(by), z, bins), bins, list(by), z)
+
+
+def _histogram(real: DataFrame, span: DataFrame, bins: int, by: list[str], z: str) -> DataFrame:
     span = span.where(F.col("width") > 0)
     raw = F.ceil((F.col(z) - F.col("zmin")) / F.col("width"))
     binned = real.join(span, by).select(
@@ -56,9 +58,9 @@ def modal_bin(histogram: DataFrame, offset: int = 3, by: Sequence[str] = BY) ->
 def ground_threshold(points: DataFrame, bins: int = 50, offset: int = 3, by: Sequence[str] = BY, z: str = "z") -> DataFrame:
     """``by..., threshold`` per cloud; raises when a cloud's mode is too high or its height is constant."""
     by = list(by)
-    modes = session.cut_lineage(modal_bin(z_histogram(points, bins, by, z), offset, by).select(*by, "threshold"))
-    known = real_points(points, z).select(*by).distinct()
-    bad = known.join(modes.where(F.col("threshold").isNotNull()), by, "left_anti").take(1)
+    real, span = _ranged(points, by, z, bins)
+    modes = session.cut_lineage(modal_bin(_histogram(real, span, bins, by, z), offset, by).select(*by, "threshold"))
+    bad = span.select(*by).join(modes.where(F.col("threshold").isNotNull()), by, "left_anti").take(1)
     if bad:
         raise ValueError(f"no ground threshold for cloud {tuple(bad[0])}: the modal height bin has no bin {offset} "
                          "above it, or all heights are equal")
@@ -66,10 +68,13 @@ def ground_threshold(points: DataFrame, bins: int = 50, offset: int = 3, by: Seq
 
 
 def split_ground(points: DataFrame, bins: int = 50, offset: int = 3, by: Sequence[str] = BY,
-                 z: str = "z") -> tuple[DataFrame, DataFrame]:
-    """(non-ground, ground): strictly above the threshold, and the rest. NaN heights are in neither."""
+                 z: str = "z", limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(non-ground, ground): strictly above the threshold, and the rest. NaN heights are in neither.
+
+    ``limits`` are thresholds that :func:`ground_threshold` has found already.
+    """
     by = list(by)
-    limits = session.sized(ground_threshold(points, bins, offset, by, z))
+    limits = session.sized(ground_threshold(points, bins, offset, by, z) if limits is None else limits)
     marked = real_points(points, z).join(limits, by)
     above, below = split_disjoint(marked, F.col(z) > F.col("threshold"))
     return above.drop("threshold"), below.drop("threshold")
