@@ -1,10 +1,12 @@
-"""Interpolated modified Kneser-Ney language model of order two.
-
-Training texts are counted by tasks into blocks of distinct word pairs, which Spark deals to shards by the
-first word's hash; every shard merges its blocks and writes sorted hash arrays into the shared folder: pairs
-with counts, contexts with their totals, and, dealt by the second word, words with their counts and the
-number of distinct words before them. Workers map these files into memory and look up all distinct pairs of a
-batch in hash order, so that pages are read in sequence and shared by all workers of a machine.
+"""Interpolated modified Kneser-Ney language model of any order from two.
+
+Training texts are counted by tasks into blocks of distinct runs of ``order`` words (grams), which Spark deals to
+shards by the hash of the last word but one, so that a gram and all its endings of two words or more meet in one
+shard. Every shard merges its blocks and writes sorted hash arrays into the shared folder, for each length: grams
+with counts (shorter ones with the number of distinct words before them), contexts with their totals, and, dealt by
+the last word, words with their counts and the number of distinct words before them. Workers map these files into
+memory and look up all distinct grams of a batch in hash order, so that pages are read in sequence and shared by
+all workers of a machine. A text begins with as many begin marks as a context has words.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BLOCK_TOKENS = 2_500_000
 KNOWN_WORDS = 300_000
 _U = np.uint64
 BEGIN, END = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_PAIRS, _CONTEXTS, _WORDS = "pairs", "contexts", "words"
+_GRAMS, _CONTEXTS, _WORDS = "grams", "contexts", "words"
 
 
 class Hasher:
@@ -60,23 +62,35 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return k * _U(0x9E3779B97F4A7C15)
 
 
-def pairs_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Context and word of every token of encoded texts; each text begins anew."""
-    b = np.concatenate(texts) if texts else np.zeros(0, _U)
-    a = np.empty_like(b)
-    a[1:] = b[:-1]
-    a[np.cumsum([0] + [len(t) for t in texts[:-1]]) if texts else []] = BEGIN
-    return a, b
+def grams_of(texts: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """The last ``order`` words, the oldest first, at every token of encoded texts; each text begins anew."""
+    last = np.concatenate(texts) if texts else np.zeros(0, _U)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    place = np.arange(len(last)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [last]
+    for back in range(1, order):
+        before = np.full_like(last, BEGIN)
+        before[back:] = np.where(place[back:] >= back, last[:-back], BEGIN)
+        out.insert(0, before)
+    return out
+
 
+def gram_keys(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each gram's context and of the whole gram."""
+    context = grams[0]
+    for word in grams[1:-1]:
+        context = mix(context, word)
+    return context, mix(context, grams[-1])
 
-def _merge(a: np.ndarray, b: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order of their hash: ``key, a, b, count``."""
-    key = mix(a, b)
+
+def _merge(grams: list[np.ndarray], c: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct grams in order of their hash: key, words, and count, of which each row is one if ``c`` is None."""
+    key = gram_keys(grams)[1]
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key))) if c is None else np.add.reduceat(c[order], first) if len(first) else c
-    return key[first], a[order][first], b[order][first], count.astype(np.int64)
+    return key[first], [g[order[first]] for g in grams], count.astype(np.int64)
 
 
 def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -91,26 +105,31 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(x.astype("<u8").tobytes() for x in arrays)
 
 
-def _pack_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs grouped by context, counts in a byte with 255 for the few larger ones, which follow."""
-    order = np.argsort(a, kind="stable")
-    a, b, c = a[order], b[order], c[order]
-    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    run = np.diff(np.append(first, len(a))).astype("<u4")
+def _pack(grams: list[np.ndarray], c: np.ndarray) -> bytes:
+    """Grams in order of the last word but one and those before it: the words' distinct hashes, each gram's words as
+    places among them in planes of bytes, counts in a byte with 255 for the few larger ones, which follow; compressed."""
+    names, at = np.unique(np.concatenate(grams), return_inverse=True)
+    at = at.reshape(len(grams), -1).astype("<u4")
+    order = np.lexsort((at[-1], *at[:-1]))
+    at, c = np.ascontiguousarray(at[:, order]), c[order]
+    at[-2, 1:] = np.diff(at[-2])
+    planes = at.view(np.uint8).reshape(len(grams), -1, 4).transpose(0, 2, 1).tobytes()
     small, big = np.minimum(c, 255).astype(np.uint8), c[c >= 255]
-    return (np.array([len(first), len(a), len(big)], "<u8").tobytes() + a[first].tobytes() + run.tobytes() + b.tobytes()
-            + small.tobytes() + big.astype("<u8").tobytes())
+    body = planes + small.tobytes() + big.astype("<u8").tobytes()
+    return (np.array([len(names), len(c), len(big), len(body)], "<u8").tobytes() + names.tobytes()
+            + pa.compress(body, codec="zstd", asbytes=True))
 
 
-def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    groups, n, big = np.frombuffer(blob, "<u8", 3).astype(int)
-    at = 24
-    heads = np.frombuffer(blob, "<u8", groups, at)
-    run = np.frombuffer(blob, "<u4", groups, at := at + 8 * groups)
-    b = np.frombuffer(blob, "<u8", n, at := at + 4 * groups)
-    c = np.frombuffer(blob, np.uint8, n, at := at + 8 * n).astype(np.int64)
-    c[c == 255] = np.frombuffer(blob, "<u8", big, at + n).astype(np.int64)
-    return np.repeat(heads, run), b, c
+def _unpack(blob: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    words, n, big, size = np.frombuffer(blob, "<u8", 4).astype(int).tolist()
+    names = np.frombuffer(blob, "<u8", words, 32)
+    body = pa.decompress(blob[32 + 8 * words:], decompressed_size=size, codec="zstd", asbytes=True)
+    planes = np.frombuffer(body, np.uint8, 4 * order * n).reshape(order, 4, n)
+    at = planes.transpose(0, 2, 1).copy().view("<u4").reshape(order, n)
+    at[-2] = np.cumsum(at[-2], dtype=np.uint32)
+    c = np.frombuffer(body, np.uint8, n, 4 * order * n).astype(np.int64)
+    c[c == 255] = np.frombuffer(body, "<u8", big, (4 * order + 1) * n).astype(np.int64)
+    return [names[x] for x in at], c
 
 
 def _local(uri: str) -> str | None:
@@ -135,6 +154,14 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{path}/{name}")
 
 
+def _save_values(folder: str, name: str, values: np.ndarray) -> None:
+    """Values in a byte, 255 for the few larger ones, whose places and values follow in a file of their own."""
+    flat = values.reshape(-1)
+    place = np.flatnonzero(flat >= 255)
+    _save(folder, f"{name}.small", np.minimum(flat, 255).astype(np.uint8))
+    _save(folder, f"{name}.big", np.stack([np.append(place, -1), np.append(flat[place], 0)], 1).astype("<i8"))
+
+
 def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """A file of the model as an array over mapped memory; a remote one is copied to an unlinked local file first."""
     path = _local(folder)
@@ -149,14 +176,14 @@ def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(file, kind, "r")
 
 
-def _counted(shards: int):
-    """Blocks of distinct pairs by shard of the context."""
+def _counted(shards: int, order: int):
+    """Blocks of distinct grams by shard of the last word but one."""
     def flush(texts: list[np.ndarray]) -> pa.RecordBatch:
-        _, a, b, c = _merge(*pairs_of(texts), None)
-        shard = (a % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        rows = [(s, _pack_pairs(*(x[order[cuts[s]:cuts[s + 1]]] for x in (a, b, c)))) for s in range(shards) if cuts[s] < cuts[s + 1]]
+        _, grams, c = _merge(grams_of(texts, order), None)
+        shard = (grams[-2] % _U(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        rows = [(s, _pack([g[own] for g in grams], c[own])) for s in range(shards) if len(own := by[cuts[s]:cuts[s + 1]])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                                           ["shard", "block"])
 
@@ -178,22 +205,29 @@ def _frequencies(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _shard_of_pairs(folder: str, shards: int):
-    """Merge a shard's blocks, write its pairs and contexts, pass on its words' counts by their own shard."""
+def _shard_of_grams(folder: str, shards: int, order: int):
+    """Merge a shard's blocks, write its grams and contexts of every length, pass on its words' counts by their own shard."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = int(rows["shard"].iloc[0])
-        parts = [_unpack_pairs(x) for x in rows["block"]]
-        key, a, b, c = _merge(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        s, frequencies = int(rows["shard"].iloc[0]), []
+        parts = [_unpack(x, order) for x in rows["block"]]
+        grams, c = [np.concatenate([p[0][i] for p in parts]) for i in range(order)], np.concatenate([p[1] for p in parts])
         del parts
-        _save(folder, f"{_PAIRS}-{s}.key", key)
-        _save(folder, f"{_PAIRS}-{s}.count", np.minimum(c, 0xFFFFFFFF).astype(np.uint32))
-        context, total, n1, n2, n3 = _sums(a, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
-        _save(folder, f"{_CONTEXTS}-{s}.key", context)
-        _save(folder, f"{_CONTEXTS}-{s}.stats", np.column_stack([total, n1, n2, n3]))
-        word, count, before = _sums(b, c, np.ones(len(b), np.int64))
+        for k in range(order, 1, -1):
+            key, grams, c = _merge(grams, c)
+            _save(folder, f"{_GRAMS}{k}-{s}.key", key)
+            _save_values(folder, f"{_GRAMS}{k}-{s}", c)
+            context, *stats = _sums(gram_keys(grams)[0], c, *((c == i if i < 3 else c >= 3).astype(np.int64) for i in (1, 2, 3)))
+            _save(folder, f"{_CONTEXTS}{k}-{s}.key", context)
+            _save_values(folder, f"{_CONTEXTS}{k}-{s}", np.column_stack(stats))
+            frequencies = _frequencies(c) + frequencies
+            if k == order:
+                word, count = _sums(grams[-1], c)
+            if k > 2:
+                grams, c = grams[1:], np.ones(len(c), np.int64)
+        before = _sums(grams[-1], np.ones(len(c), np.int64))[1]
         to = (word % _U(shards)).astype(np.int64)
         out = [(int(t), _blob(*(x[to == t] for x in (word, count, before)))) for t in np.unique(to)]
-        found = [(t, blob, [0] * 4) for t, blob in out] + [(-1 - s, b"", _frequencies(c))]
+        found = [(t, blob, []) for t, blob in out] + [(-1 - s, b"", frequencies)]
         return pd.DataFrame(found, columns=["shard", "block", "frequencies"])
     return run
 
@@ -204,8 +238,8 @@ def _shard_of_words(folder: str):
         parts = [np.frombuffer(x, "<u8").reshape(3, -1) for x in rows["block"]]
         word, count, before = _sums(*np.concatenate(parts, 1))
         _save(folder, f"{_WORDS}-{s}.key", word)
-        _save(folder, f"{_WORDS}-{s}.stats", np.column_stack([count, before]).astype(np.int64))
-        before = before.astype(np.int64)
+        count, before = count.astype(np.int64), before.astype(np.int64)
+        _save_values(folder, f"{_WORDS}-{s}", np.column_stack([count, before]))
         return pd.DataFrame([(s, int(count.sum()), len(word), int(before.sum()), _frequencies(before), int((before >= 3).sum()))],
                             columns=["shard", "tokens", "words", "pairs", "frequencies", "frequent"])
     return run
@@ -231,10 +265,10 @@ class Model:
     tokens: int
     words: int
     pairs: int
-    pair_discounts: np.ndarray
+    gram_discounts: dict[int, np.ndarray]  # by length
     word_discounts: np.ndarray
     rest: float  # share that the discounted word distribution leaves to all words alike
-    full: dict[str, frozenset[int]]  # shards with words, and with pairs and contexts
+    full: dict[str, frozenset[int]]  # shards with words, and with grams and contexts
 
     def _open(self, name: str, s: int, kind: str) -> np.ndarray:
         cache = self.__dict__.setdefault("_files", {})
@@ -245,56 +279,64 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_files"}
 
-    def _find(self, table: str, value: str, kind: str, width: int, dealt: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def _find(self, table: str, width: int, dealt: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Values of ``key`` in the sorted arrays of a table, 0 where it has none; ``dealt`` chooses the shard."""
-        shard = (dealt % _U(self.shards)).astype(np.int64)
+        key, first, back = np.unique(key, return_index=True, return_inverse=True)
+        shard = (dealt[first] % _U(self.shards)).astype(np.int64)
         order = np.lexsort((key, shard))
         out = np.zeros((len(key), width), np.int64)
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             own = order[cuts[s]:cuts[s + 1]]
-            if not len(own) or s not in self.full[_WORDS if table == _WORDS else _PAIRS]:
+            if not len(own) or s not in self.full[_WORDS if table == _WORDS else _GRAMS]:
                 continue
             keys = self._open(f"{table}-*.key", s, "<u8")
-            values = self._open(f"{table}-*.{value}", s, kind).reshape(-1, width)
+            values = self._open(f"{table}-*.small", s, "u1").reshape(-1, width)
             at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
             hit = keys[at] == key[own]
-            out[own[hit]] = values[at[hit]]
-        return out
+            place, found = at[hit], values[at[hit]].astype(np.int64)
+            row, column = np.nonzero(found == 255)
+            if len(row):
+                big = self._open(f"{table}-*.big", s, "<i8").reshape(-1, 2)
+                found[row, column] = big[np.searchsorted(big[:-1, 0], place[row] * width + column), 1]
+            out[own[hit]] = found
+        return out[back]
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score (log10) of each encoded text."""
-        a, b = pairs_of(texts)
-        word, at_word = np.unique(b, return_inverse=True)
-        count, before = self._find(_WORDS, "stats", "<i8", 2, word, word).T
-        lowest = (before - self.word_discounts[np.minimum(before, 3)]) / max(self.pairs, 1) + self.rest / (self.words + 1)
+        grams = grams_of(texts, max(self.gram_discounts))
+        count, before = self._find(_WORDS, 2, grams[-1], grams[-1]).T
+        chance = (before - self.word_discounts[np.minimum(before, 3)]) / max(self.pairs, 1) + self.rest / (self.words + 1)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        context, at_context = np.unique(a, return_inverse=True)
-        total, n1, n2, n3 = self._find(_CONTEXTS, "stats", "<i8", 4, context, context).T
-        d = self.pair_discounts
-        back = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-        key, first, at_key = np.unique(mix(a, b), return_index=True, return_inverse=True)
-        c = self._find(_PAIRS, "count", "<u4", 1, a[first], key)[:, 0]
-        chance = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1)[at_context[first]] + (
-            back[at_context[first]] * lowest[at_word[first]])
+        for k, d in sorted(self.gram_discounts.items()):
+            context, key = gram_keys(grams[-k:])
+            total, n1, n2, n3 = self._find(f"{_CONTEXTS}{k}", 4, grams[-2], context).T
+            c = self._find(f"{_GRAMS}{k}", 1, grams[-2], key)[:, 0]
+            back = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+            chance = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1) + back * chance
         ends = np.cumsum([len(t) for t in texts])
         starts = ends - [len(t) for t in texts]
-        return (np.add.reduceat((count > 0)[at_word].astype(np.int64), starts), np.add.reduceat(base[at_word], starts),
-                np.add.reduceat(np.log10(chance)[at_key], starts))
+        return (np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts),
+                np.add.reduceat(np.log10(chance), starts))
 
 
-def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
-    """Count all of ``docs`` and write the model into the shared folder. Null texts count as empty: an end only."""
+def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
+    """A model of grams of up to ``order`` words.
+
+    Count all of ``docs`` and write the model into the shared folder. Null texts count as empty: an end only.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     raw = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     size = raw.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(ceil(size / shard_bytes), 4)
     folder = fresh_path(spark, "kneser-ney")
-    blocks = raw.mapInArrow(_counted(shards), "shard int, block binary")
-    passed = stored(blocks.groupBy("shard").applyInPandas(_shard_of_pairs(folder, shards),
+    blocks = raw.mapInArrow(_counted(shards, order), "shard int, block binary")
+    passed = stored(blocks.groupBy("shard").applyInPandas(_shard_of_grams(folder, shards, order),
                                                           "shard int, block binary, frequencies array<long>"), "word-blocks")
-    with_pairs = passed.where("shard < 0").select(-1 - F.col("shard"), "frequencies").collect()
-    f = np.sum([r[1] for r in with_pairs], 0) if with_pairs else [0] * 4
+    with_grams = passed.where("shard < 0").select(-1 - F.col("shard"), "frequencies").collect()
+    f = np.reshape(np.sum([r[1] for r in with_grams], 0) if with_grams else [0] * 4 * (order - 1), (order - 1, 4)).tolist()
     done = stored(passed.where("shard >= 0").select("shard", "block").groupBy("shard").applyInPandas(
         _shard_of_words(folder), "shard int, tokens long, words long, pairs long, frequencies array<long>, frequent long"), "word-shards")
     with_words = done.collect()
@@ -302,8 +344,8 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     g = np.sum([r["frequencies"] for r in with_words], 0) if with_words else [0] * 4
     by_word = discounts([int(x) for x in g])
     rest = float(by_word[1] * g[0] + by_word[2] * g[1] + by_word[3] * frequent) / pairs if pairs else 1.0
-    full = {_WORDS: frozenset(r["shard"] for r in with_words), _PAIRS: frozenset(r[0] for r in with_pairs)}
-    return Model(folder, shards, tokens, words, pairs, discounts([int(x) for x in f]), by_word, rest, full)
+    full = {_WORDS: frozenset(r["shard"] for r in with_words), _GRAMS: frozenset(r[0] for r in with_grams)}
+    return Model(folder, shards, tokens, words, pairs, {k + 2: discounts(x) for k, x in enumerate(f)}, by_word, rest, full)
 
 
 def _scored(handle):

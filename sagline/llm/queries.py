@@ -150,7 +150,7 @@ WHERE rank <= 5
 @query
 def op10_kneser_ney(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = kneser.train(docs.where(~kneser.held_out()))
+    model = kneser.train(docs.where(~kneser.held_out()), order=3)
     found = kneser.perplexity(kneser.score(docs, model))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                         "base_score", "score", "perplexity")

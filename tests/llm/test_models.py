@@ -74,6 +74,46 @@ def test_kneser_ney(spark, shard_bytes):
         assert sum(chance(a, b) for b in [*vocabulary, b"unseen"]) == pytest.approx(1.0)
 
 
+def plain_order_three(train, texts):
+    """Chances by nested dictionaries; a text begins with two begin marks."""
+    padded = [["^", "^", *tokens(t)] for t in train]
+    top = Counter(g for p in padded for g in zip(p, p[1:], p[2:]))
+    levels = {3: top, 2: Counter(g[1:] for g in top)}
+    levels[1] = Counter(g[1:] for g in levels[2])
+    d = {k: kneser.discounts([sum(c == i for c in n.values()) for i in (1, 2, 3, 4)]) for k, n in levels.items()}
+    total, held = {k: Counter() for k in (1, 2, 3)}, {k: defaultdict(float) for k in (1, 2, 3)}
+    for k, n in levels.items():
+        for g, c in n.items():
+            total[k][g[:-1]] += c
+            held[k][g[:-1]] += d[k][min(c, 3)]
+
+    def chance(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        k, below = len(g), chance(g[1:])
+        if not total[k][g[:-1]]:
+            return below
+        c = levels[k][g]
+        return (c - d[k][min(c, 3)] + held[k][g[:-1]] * below) / total[k][g[:-1]]
+
+    return [sum(math.log10(chance(g)) for g in zip(["^", "^", *tokens(t)], ["^", *tokens(t)], tokens(t))) for t in texts], chance, levels
+
+
+@pytest.mark.parametrize("shard_bytes", [32_000_000, 300])
+def test_kneser_ney_order_three(spark, shard_bytes):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choices(["a", "B", "été", "d", "e", "f", "g"], range(1, 8), k=rng.randint(0, 40))) for _ in range(60)]
+    texts += [None, "", "new words a B", "a " * 3000, "a d a d g " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    learned = [t for i, t in enumerate(texts) if crc32(str(i).encode()) % 5 != 1]
+    want, chance, levels = plain_order_three(learned, texts)
+    assert max(levels[3].values()) > 255
+    for r in kneser.score(docs, kneser.train(docs.where(~kneser.held_out()), shard_bytes=shard_bytes, order=3)).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+    for context in (("^", "^"), ("^", b"a"), (b"a", b"d"), (b"unknown", b"a")):
+        assert sum(chance((*context, w)) for (w,) in [*levels[1], (b"unseen",)]) == pytest.approx(1.0)
+
+
 def test_kneser_ney_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = kneser.train(docs.limit(0))
