@@ -113,3 +113,23 @@ def test_lines(spark):
     left = [x.strip(" ") for r in out.collect() for x in (r["text"] or "").split("\n") if x.strip(" ")]
     assert sorted(component[x] for x in left) == sorted(set(component.values()))
     assert lines.repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_as_in_production(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    base = ["Copyright 2021 Example Inc. All rights reserved."]
+    for _ in range(80):
+        n, line = rng.randint(40, 70), f"no {rng.randint(1000, 9999)}"
+        while len(line) < n:
+            line += " " + word()
+        base.append(line)
+    pool = base + ["Copyright 2022 Example Inc. All rights reserved.", *[x.replace(x[6], str((int(x[6]) + 1) % 10), 1) for x in base[1:]]]
+    rng.shuffle(pool)
+    docs = spark.createDataFrame([(i, "\n".join(pool[i::20])) for i in range(20)], "doc_id long, text string")
+    cut = {x: {x[i:i + 4] for i in range(len(x) - 3)} for x in pool}
+    component = groups(sorted(cut), lambda a, b: len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b]))
+    assert len(set(component.values())) < 0.6 * len(cut)
+    left = [x for r in lines.drop_repeated_lines(docs).collect() for x in r["text"].split("\n") if x]
+    assert sorted(component[x] for x in left) == sorted(set(component.values()))
+    assert sum(x.startswith("Copyright") for x in left) == 1
