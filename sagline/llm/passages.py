@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sagline.llm.shared import stored
+from sagline.llm.shared import bounded, stored
 
 WINDOW = 10
 # Words of training text per suffix array, and UTF-8 bytes of benchmark text per broadcast block.
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 16_000_000
+# Numbers of contaminated rows are broadcast up to this count, 8 bytes each; else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 # A-Z become lower case; bytes of other words' separators become spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -196,9 +198,9 @@ def _scanner(handle, shard_words: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int, unnamed: bool) -> Iterator[Block]:
     rows, size = [], 0
-    chosen = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull())
+    chosen = benchmark.where(F.col(text).isNotNull() & (F.lit(unnamed) | F.col(item).isNotNull()))
     for name, value in chosen.select(F.col(item).cast("string"), F.col(text).cast("binary")).toLocalIterator():
         rows.append((name, bytes(value)))
         size += len(value)
@@ -210,17 +212,17 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
                   item: str = "item_id", item_text: str = "text", shard_words: int = SHARD_WORDS,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """``doc_id, n_words, hits, matches`` of every row of ``docs``.
 
     ``hits`` are the places of the words inside an occurrence of a benchmark window (``window`` consecutive
     words of an item; all of a shorter one), ``matches`` the longest verbatim match with each item that has one.
-    Null and empty texts have no words; items without id or words take no part; repeated rows are returned
-    each. A benchmark beyond ``block_bytes`` is scanned block by block; the rows are numbered and stored for that, and
+    Null and empty texts have no words; items without words take no part, and items without id only if
+    ``unnamed``, each under a null ``item_id``; repeated rows are returned each. A benchmark beyond ``block_bytes`` is scanned block by block; the rows are numbered and stored for that, and
     the blocks' hits are united by number.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    blocks = list(_blocks(benchmark, item, item_text, window, block_bytes))
+    blocks = list(_blocks(benchmark, item, item_text, window, block_bytes, unnamed))
     if len(blocks) == 1:
         return _scanned(rows, blocks[0], shard_words)
     numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
@@ -242,11 +244,16 @@ def _scanned(rows: DataFrame, block: Block, shard_words: int) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_hits: int = 1, key: str = "doc_id", text: str = "text",
-                      **options) -> DataFrame:
-    """``docs`` without the documents that have at least ``min_hits`` words inside benchmark windows.
+                      unnamed: bool = False, **options) -> DataFrame:
+    """``docs`` without the rows that have at least ``min_hits`` words inside benchmark windows.
 
-    Rows without an id are judged by none and stay; all rows of a repeated id go together.
+    Every row is judged by its own text, whatever other rows have its id. Rows and items without an id take part if
+    ``unnamed``; else such rows stay. The rows are stored once to number them.
     """
-    bad = find_passages(docs, benchmark, key=key, text=text, **options).where(F.size("hits") >= min_hits)
-    bad = bad.select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs[key] == bad["bad"], "left_anti")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")),
+                  "judged-texts")
+    judged = rows if unnamed else rows.where(F.col("doc").getField(key).isNotNull())
+    found = find_passages(judged.select("row", F.col("doc").getField(text).alias("text")), benchmark, key="row", text="text",
+                          unnamed=unnamed, **options)
+    bad = stored(found.where(F.size("hits") >= min_hits).select(F.col("doc_id").alias("row")), "contaminated-rows")
+    return rows.join(bounded(bad, BROADCAST_ROWS), "row", "left_anti").select("doc.*")

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def op1_suffix_decontamination(spark, sf):
-    found = passages.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = passages.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), unnamed=True)
     items = F.array_sort(F.array_distinct(F.col("matches.item_id")))
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))

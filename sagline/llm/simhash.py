@@ -26,6 +26,8 @@ MAX_BITS = 4
 # A key with more comparisons than this is compared in blocks, which yield only a spanning forest of its links.
 DENSE = 1 << 14
 BLOCK = 4096
+# Numbers of kept rows are broadcast up to this count, 8 bytes each; else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -134,9 +136,16 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; rows without an id stay.
+    """``docs`` with one row of each component: the first by id, nulls last, and by place among rows of that id.
 
-    A repeated id is one document: all its rows stay or go together.
+    The rows are stored once to number them.
     """
-    gone = near_groups(docs, text, key).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc")),
+                  "near-documents")
+    id_ = F.col("doc").getField(key)
+    groups = near_groups(rows.select("row", F.col("doc").getField(text).alias("text")), "text", "row").select(
+        F.col("doc_id").alias("row"), "component_id")
+    named = groups.join(rows.select("row", F.struct(id_.isNull(), id_, F.col("row").alias("row")).alias("place")), "row")
+    kept = stored(named.groupBy("component_id").agg(F.min("place").alias("first")).select(
+        F.col("first.row").alias("row")), "kept-rows")
+    return rows.join(bounded(kept, BROADCAST_ROWS), "row", "left_semi").select("doc.*")

@@ -133,3 +133,11 @@ def test_short_lines_as_in_production(spark):
     left = [x for r in lines.drop_repeated_lines(docs).collect() for x in r["text"].split("\n") if x]
     assert sorted(component[x] for x in left) == sorted(set(component.values()))
     assert sum(x.startswith("Copyright") for x in left) == 1
+
+
+def test_drop_near_by_row(spark):
+    once = "one two three four five six seven eight nine ten"
+    rows = [(5, once), (5, once), (9, once), (None, once), (None, "only here without an id"), (None, "only here without an id"), (5, "another text of id five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.drop_near(docs).collect()), key=str)
+    assert got == sorted([(5, once), (None, "only here without an id"), (5, "another text of id five")], key=str)

@@ -71,3 +71,16 @@ def test_empty(tables):
     docs, bench, rows, _ = tables
     assert passages.find_passages(docs.limit(0), bench).count() == 0
     assert all(r["hits"] == [] for r in passages.find_passages(docs, bench.limit(0)).collect())
+
+
+def test_rows_and_items_without_id(spark):
+    leak = "ein ganz besonderer Satz aus zehn Wörtern für diese Prüfung hier"
+    docs = spark.createDataFrame([(1, "x " + leak), (1, "clean words"), (None, leak), (None, "clean too"), (2, "a short hidden item b")],
+                                 "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(7, leak), (None, "short hidden item")], "item_id long, text string")
+    for block_bytes in (16_000_000, 10):
+        kept = passages.drop_contaminated(docs, bench, unnamed=True, block_bytes=block_bytes)
+        assert sorted(r["text"] for r in kept.collect()) == ["clean too", "clean words"]
+        found = passages.find_passages(docs, bench, unnamed=True, block_bytes=block_bytes).where("doc_id = 2").first()
+        assert found["hits"] == [1, 2, 3] and [m["item_id"] for m in found["matches"]] == [None]
+    assert sorted(r["text"] for r in passages.drop_contaminated(docs, bench).collect()) == sorted([leak, "clean too", "clean words", "a short hidden item b"])
