@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -23,6 +24,8 @@ BITS = 16
 # Documents the scorer is fitted on; the vote model uses all.
 FIT_DOCS = 6000
 PRIOR_GOOD = 0.5
+# Words of a stretch over which variety is measured, so that it does not fall with length, and of a run that may repeat.
+STRETCH, RUN = 500, 5
 # Common function words of the four languages, lower case.
 FUNCTION_WORDS = frozenset((
     "a and are as at be by for from in is it of on that the this to was with "
@@ -39,19 +42,44 @@ _PLAIN = _LETTERS + b"0123456789" + _SPACES + b".,;:'\"?!-()"
 HEURISTICS = ("repeats", "variety", "capitals", "symbols", "tails", "bars", "function_words", "word_length")
 
 
+class Counted(NamedTuple):
+    """Number of words, distinct words with counts, share of words that repeat the one before, share of distinct words
+    over all stretches of the text, share of runs of words that it has had before."""
+
+    n: int
+    count: Counter
+    same: float
+    variety: float
+    looped: float
+
+
 def _vote(bad: bool, good: bool = False) -> int:
     return 2 if bad else 1 if good else 0
 
 
-def _counted(text: bytes | None) -> tuple[int, Counter, float]:
-    """Number of words, distinct words with counts, share of words that repeat the one before."""
+def _looped(own: list[bytes], count: Counter) -> float:
+    """Share of the runs of ``RUN`` words that the text has had before."""
+    n = len(own) - RUN + 1
+    if n < 2:
+        return 0.0
+    number = dict(zip(count, range(1, len(count) + 1)))
+    at = np.fromiter(map(number.__getitem__, own), np.uint64, len(own))
+    runs = at[:n].copy()
+    for i in range(1, RUN):
+        runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + at[i:i + n]
+    return 1 - len(np.unique(runs)) / n
+
+
+def _counted(text: bytes | None) -> Counted:
     own = text.split() if text else []
-    return len(own), Counter(own), sum(map(bytes.__eq__, own, own[1:])) / max(len(own), 1)
+    n, count = len(own), Counter(own)
+    distinct = len(count) if n <= STRETCH else sum(len(set(own[i:i + STRETCH])) for i in range(0, n, STRETCH))
+    return Counted(n, count, sum(map(bytes.__eq__, own, own[1:])) / max(n, 1), distinct / max(n, 1), _looped(own, count))
 
 
-def votes(text: bytes | None, counted: tuple[int, Counter, float] | None = None) -> list[int]:
+def votes(text: bytes | None, counted: Counted | None = None) -> list[int]:
     """0 abstain, 1 good, 2 bad, for each of ``HEURISTICS``; in a text without words the last two find a fault."""
-    n, count, same = counted or _counted(text)
+    n, count, same, variety, looped = counted or _counted(text)
     if not n:
         return [0, 0, 0, 0, 0, 0, 2, 2]
     capitals = len(text) - len(text.translate(None, _CAPITALS))
@@ -60,8 +88,8 @@ def votes(text: bytes | None, counted: tuple[int, Counter, float] | None = None)
     symbols = len(text.translate(None, _PLAIN))
     tails = sum([c for w, c in count.items() if w[-2:] in _TAILS]) / n
     common = sum([c for w, c in count.items() if len(w) < 6 and w.lower() in FUNCTION_WORDS]) / n
-    variety, length, long = len(count) / n, solid / n, n >= 20
-    return [_vote(same > 0.1 and n > 5), _vote(variety < 0.15 and long and n <= 3000),
+    length, long = solid / n, n >= 20
+    return [_vote(same > 0.1 and n > 5), _vote((variety < 0.15 or looped > 0.5) and long),
             _vote(capitals > 0.35 * letters and letters > 10), _vote(symbols > 0.08 * solid), _vote(tails > 0.2),
             _vote(count[b"|"] > 0.12 * n), _vote(common < 0.03 and long, common > 0.08),
             _vote(not 2 <= length <= 20, 3 <= length <= 12)]
@@ -117,9 +145,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return model
 
 
-def features(text: bytes | None, counted: tuple[int, Counter, float] | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes | None, counted: Counted | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the whole text (places may repeat): shares of lower-cased words, word shapes, repetitions."""
-    n, count, same = counted or _counted(text)
+    n, count, same, variety, looped = counted or _counted(text)
     mask, m = (1 << bits) - 1, len(count)
     if not n:
         return np.array([crc32(b"empty") & mask]), np.ones(1)
@@ -133,7 +161,7 @@ def features(text: bytes | None, counted: tuple[int, Counter, float] | None = No
     for w, c in shapes.items():
         w = w.translate(_SHAPE)
         found[w] = found.get(w, 0) + 4 * c / n
-    found |= {b"same": 8 * same, b"distinct": 2 * m / n}
+    found |= {b"same": 8 * same, b"distinct": 2 * variety, b"looped": 2 * looped}
     others = np.fromiter((crc32(b"shape " + w) for w in found), np.int64, len(found))
     return np.concatenate([words, others]) & mask, np.concatenate([share, np.fromiter(found.values(), np.float64, len(found))])
 

@@ -194,3 +194,15 @@ def test_quality_edges(spark):
     assert set(range(40)) <= set(ids) and None in ids and ids.count(3) == 2 and not {100, 202, 210} & set(ids)
     assert quality.judged(docs).count() == len(rows)
     assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("period", [12, 100, 700])
+@pytest.mark.parametrize("n", [2900, 4000, 30000])
+def test_loops_of_any_length_are_faults(period, n):
+    own = quality.HEURISTICS.index("variety")
+    rng = random.Random(17)
+    sentence = [rng.choice(["the", "of", "and", f"word{i}"]) for i in range(period)]
+    looped = " ".join((sentence * (n // period + 1))[:n]).encode()
+    assert quality.votes(looped)[own] == 2
+    varied = " ".join(rng.choice(["the", "of", "and", f"word{rng.randrange(900)}"]) for _ in range(n)).encode()
+    assert quality.votes(varied)[own] == 0
