@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagline.llm import chat, cube, hilbert, kneser, language, lines, passages, quality, simhash, vptree
+from sagline.llm import chat, cube, hilbert, kneser, language, lines, nra, passages, quality, simhash, tokens, vptree, whitening
+from sagline.llm.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +155,43 @@ def op10_kneser_ney(spark, sf):
     found = kneser.perplexity(kneser.score(docs, model))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                         "base_score", "score", "perplexity")
+
+
+@query
+def op11_incremental_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", whitening.quantised("embedding", 256).alias("x")), "vec_id", "x", 4)
+
+
+@query
+def op12_digest_token_counts(spark, sf):
+    """The cache starts empty, so that every distinct text is encoded and appended in the run."""
+    import public_tokenizers
+
+    found = tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op13_nra_search(spark, sf):
+    return nra.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLES["op13_nra_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (
+  SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+qt AS (SELECT i, item_id, t, count(*) AS c FROM (SELECT i, item_id, unnest(w) AS t FROM q) GROUP BY ALL),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+dt AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM dt GROUP BY t),
+s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(c * CAST(floor(1000 * ln((2 * total.n + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * dt.n * total.n) // total.l)))) AS BIGINT) AS score
+  FROM qt JOIN dt USING (t) JOIN f USING (t), total GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
