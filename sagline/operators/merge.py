@@ -3,11 +3,12 @@
 Each pass looks at segments from the largest down. A seed takes, in that order, every later segment
 whose height and plan position agree with it and whose points lie on its parabola, refitting the
 parabola after each take. Plan and height tests depend only on the seed and the candidate, so they
-form a graph, and pieces of the graph cannot affect each other. A piece with few points is
-scanned in one task. A larger piece is scanned in rounds: all seeds that no earlier seed can still
-affect test their candidates at once, with the points distributed and only power sums per segment
-moved between rounds. Both solve for the parabola from the same power sums by the same formula, where a seed
-with fewer than three distinct places has none and takes nothing, so both give the order-by-order result.
+form a graph, and pieces of the graph cannot affect each other. A cloud with few points, or else a piece with few,
+is scanned in one task. A larger piece is scanned in rounds by depth of the seed order: all seeds that no earlier seed
+can still affect go ahead at once. A seed whose candidates have few points makes its whole ordered scan in that round,
+in a task of its own; one with more takes its next segment with the points distributed. Only power sums per segment
+move between rounds. All ways solve for the parabola from power sums by the same formula, where a seed
+with fewer than three distinct places has none and takes nothing, so all give the order-by-order result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from sagline.operators.segments import absorb_points, append_segments, drop_abso
 from sagline.operators.shape import principal_axis
 
 BY = ("cloud_id",)
-# Pieces of the gate graph with at most this many points, and as many edges, are scanned in one task.
+# Clouds, pieces of the gate graph or seeds with at most this many points to scan, and as many edges, are scanned in one task.
 SCAN_ROWS = 1_000_000
 
 
@@ -85,12 +86,43 @@ def merge_gate_join(segments: DataFrame, line: float = 0.5, height: float = 4.0,
 
 # --- scan in one task ---------------------------------------------------------------------------
 
-def _scan(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: float) -> pd.DataFrame:
-    """Accepted (seed, candidate) pairs of one bounded piece of the gate graph, in order."""
+def _take(frame: tuple[float, ...], sums: np.ndarray, candidates: np.ndarray, xyz: dict[int, np.ndarray], gone: set[int],
+          curve: float) -> list[int]:
+    """The candidates one seed takes, in order, from its power sums about ``frame``; they are added to ``gone``."""
+    mx, my, mz, c, s = frame
+    p, taken = _solve(sums), []
+    for b in candidates:
+        if b in gone or p is None:
+            continue
+        q = xyz[b]
+        bu, bv = (q[:, 0] - mx) * c + (q[:, 1] - my) * s, q[:, 2] - mz
+        u = bu - p[0]
+        if np.abs((p[2] * u + p[3]) * u + p[4] + p[1] - bv).max() < curve:
+            taken.append(b)
+            gone.add(b)
+            sums = sums + _power_sums(bu, bv)
+            p = _solve(sums)
+    return taken
+
+
+def _by_segment(points: pd.DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray, pd.DataFrame]:
+    """Coordinates by segment, the segments, and the first row of each."""
     points = points.sort_values("seg_id", kind="stable")
     ids, first = np.unique(points["seg_id"].to_numpy(), return_index=True)
-    xyz = dict(zip(ids, np.split(points[["x", "y", "z"]].to_numpy(), first[1:])))
-    frame = dict(zip(ids, points[["mx", "my", "mz", "c", "s"]].to_numpy()[first]))
+    return dict(zip(ids, np.split(points[["x", "y", "z"]].to_numpy(), first[1:]))), ids, points.iloc[first]
+
+
+def _pairs(taken: list[tuple[int, int]], edges: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(taken, columns=["into", "seg_id"], dtype="int64")
+    for k in keys:
+        out[k] = edges[k].iloc[0] if len(edges) else None
+    return out[[*keys, "into", "seg_id"]]
+
+
+def _scan(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: float) -> pd.DataFrame:
+    """Accepted (seed, candidate) pairs of one bounded piece of the gate graph, in order."""
+    xyz, ids, one = _by_segment(points)
+    frame = dict(zip(ids, one[["mx", "my", "mz", "c", "s"]].to_numpy()))
     edges = edges.sort_values(["oa", "ob"])
     seeds, start = np.unique(edges["oa"].to_numpy(), return_index=True)
     candidates = np.split(edges["b"].to_numpy(), start[1:]) if len(seeds) else []
@@ -100,26 +132,20 @@ def _scan(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: flo
         if a in gone:
             continue
         mx, my, mz, c, s = frame[a]
+        q = xyz[a]
+        sums = _power_sums((q[:, 0] - mx) * c + (q[:, 1] - my) * s, q[:, 2] - mz)
+        taken += [(a, b) for b in _take(frame[a], sums, mine, xyz, gone, curve)]
+    return _pairs(taken, edges, keys)
 
-        def local(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return (rows[:, 0] - mx) * c + (rows[:, 1] - my) * s, rows[:, 2] - mz
-
-        sums = _power_sums(*local(xyz[a]))
-        p = _solve(sums)
-        for b in mine:
-            if b in gone or p is None:
-                continue
-            bu, bv = local(xyz[b])
-            u = bu - p[0]
-            if np.abs((p[2] * u + p[3]) * u + p[4] + p[1] - bv).max() < curve:
-                taken.append((a, b))
-                gone.add(b)
-                sums = sums + _power_sums(bu, bv)
-                p = _solve(sums)
-    out = pd.DataFrame(taken, columns=["into", "seg_id"], dtype="int64")
-    for k in keys:
-        out[k] = edges[k].iloc[0] if len(edges) else None
-    return out[[*keys, "into", "seg_id"]]
+
+def _scan_seed(points: pd.DataFrame, edges: pd.DataFrame, keys: list[str], curve: float) -> pd.DataFrame:
+    """Accepted pairs of one seed whose sums come with its edges; ``points`` are its candidates'."""
+    xyz, _, _ = _by_segment(points)
+    edges = edges.sort_values("ob")
+    own = edges.iloc[0]
+    sums = own[list(KEEP)].to_numpy(np.float64)
+    found = _take(tuple(own[["mx", "my", "mz", "c", "s"]]), sums, edges["b"].to_numpy(), xyz, set(), curve)
+    return _pairs([(own["a"], b) for b in found], edges, keys)
 
 
 def _power_sums(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -178,52 +204,92 @@ def _curves(model: DataFrame) -> DataFrame:
     return m.drop(*[f"_{c}" for c in KEEP])
 
 
-def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[str], curve: float) -> DataFrame:
-    """:func:`_scan` with the points left where they are. ``seg`` are segment frames."""
+def _ready_seeds(edges: DataFrame, seg: DataFrame, by: list[str], scan_rows: int) -> DataFrame:
+    """``by..., a, whole``: seeds that nothing earlier can still affect; ``whole`` if their candidates fit one task.
+
+    Such a seed is the first open seed of all its candidates and itself nobody's candidate.
+    """
+    first = edges.groupBy(*by, "b").agg(F.min("oa").alias("first"))
+    sized = seg.select(*by, F.col("seg_id").alias("b"), F.col("n").alias("_rows"))
+    met = edges.join(first, [*by, "b"]).join(sized, [*by, "b"])
+    ready = met.groupBy(*by, "a").agg(F.min(F.col("oa") == F.col("first")).alias("_ok"), F.sum("_rows").alias("_rows"),
+                                      F.count(F.lit(1)).alias("_tests")).where("_ok")
+    ready = ready.join(first.select(*by, F.col("b").alias("a")), [*by, "a"], "left_anti")
+    return ready.select(*by, "a", ((F.col("_rows") <= scan_rows) & (F.col("_tests") <= scan_rows)).alias("whole"))
+
+
+def _scan_rounds(points: DataFrame, seg: DataFrame, edges: DataFrame, by: list[str], curve: float, scan_rows: int) -> DataFrame:
+    """:func:`_scan` by depth, with the points left where they are. ``seg`` are segment frames.
+
+    A seed that is ready and small is settled in one round, so rounds follow the longest run of seeds that wait
+    for each other and are not taken. Points are written anew whenever half of them have no edge left.
+    """
     frame = seg.select(*by, F.col("seg_id").alias("a"), *_profile("mx", "my", "mz", "c", "s"))
     model = session.cut_lineage(frame.join(edges.select(*by, "a").distinct(), [*by, "a"], "left_semi"))
     edges, taken = session.cut_lineage(edges), []
-    schema = T.StructType([f for f in edges.schema if f.name in by])
-    while not session.is_empty(edges):
-        # A seed may go ahead when it is the first open seed of all its candidates and itself nobody's candidate.
-        first = edges.groupBy(*by, "b").agg(F.min("oa").alias("first"))
-        ready = edges.join(first, [*by, "b"]).groupBy(*by, "a").agg(F.min(F.col("oa") == F.col("first")).alias("ok")).where("ok")
-        ready = ready.join(first.select(*by, F.col("b").alias("a")), [*by, "a"], "left_anti").select(*by, "a")
-        ready = session.cut_lineage(ready)
-        active = edges.join(ready, [*by, "a"], "left_semi")
-        curves = _curves(model).select(*by, "a", "mx", "my", "mz", "c", "s", "um", "vm", "q2", "q1", "q0")
-        tests = active.join(curves, [*by, "a"]).withColumnRenamed("b", "seg_id")
-        p = session.attach(points.select(*by, "seg_id", "x", "y", "z"), tests, [*by, "seg_id"])
-        u = (F.col("x") - F.col("mx")) * F.col("c") + (F.col("y") - F.col("my")) * F.col("s") - F.col("um")
-        miss = F.abs((F.col("q2") * u + F.col("q1")) * u + F.col("q0") + F.col("vm") - (F.col("z") - F.col("mz")))
-        worst = p.groupBy(*by, "a", F.col("seg_id").alias("b"), "ob").agg(F.max(miss).alias("worst"))
-        hit = worst.where(F.col("worst") < curve).groupBy(*by, "a").agg(F.min(F.struct("ob", "b")).alias("h"))
-        hit = session.cut_lineage(hit.select(*by, "a", F.col("h.b").alias("b"), F.col("h.ob").alias("upto")))
-        taken.append(hit.select(*by, F.col("a").alias("into"), F.col("b").alias("seg_id")))
+    schema = T.StructType([*[f for f in edges.schema if f.name in by], T.StructField("into", T.LongType()), T.StructField("seg_id", T.LongType())])
+    weight, key = seg.select(*by, F.col("seg_id").alias("b"), "n"), [*by, "a"]
+    held = None
+    while True:
+        left = edges.select(*by, "b").distinct()
+        rows = left.join(weight, [*by, "b"]).agg(F.sum("n")).first()[0]
+        if not rows:
+            break
+        if held is None or 2 * rows <= held:
+            points, held = session.cut_lineage(points.join(left.withColumnRenamed("b", "seg_id"), [*by, "seg_id"], "left_semi")), rows
+        ready = session.cut_lineage(_ready_seeds(edges, seg, by, scan_rows))
+        kinds = {r["whole"] for r in ready.select("whole").distinct().collect()}
+        gone, upto = [], ready.select(*key, F.when(F.col("whole"), F.lit(2 ** 63 - 1)).alias("_upto"))
+        if True in kinds:
+            active = edges.join(ready.where("whole"), key, "left_semi").join(model, key)
+            mine = points.select(*by, "seg_id", "x", "y", "z").join(active.select(*key, F.col("b").alias("seg_id")), [*by, "seg_id"])
+            tests = active.select(*[F.col(c).alias(c) for c in (*key, "b", "ob", *KEEP, "mx", "my", "mz", "c", "s")])
+            hit = mine.groupBy(*key).cogroup(tests.groupBy(*key)).applyInPandas(
+                lambda p, e: _scan_seed(p, e, by, curve), schema)
+            gone.append(session.cut_lineage(hit))
+        if False in kinds:
+            hit, model = _step(points, seg, edges, model, ready.where(~F.col("whole")), by, curve)
+            gone.append(hit.select(*by, F.col("a").alias("into"), F.col("b").alias("seg_id")))
+            reached = hit.select(*key, "upto")
+            upto = upto.join(reached, key, "left").select(*key, F.coalesce("_upto", "upto", F.lit(2 ** 63 - 1)).alias("_upto"))
+        taken += gone
         if len(taken) >= 20:
             taken = [session.cut_lineage(append_segments(*taken))]
         # Tested candidates are settled, absorbed segments neither seed nor stand for others.
-        state = ready.join(hit.select(*by, "a", "upto"), [*by, "a"], "left").withColumn("_ran", F.lit(True))
-        left = edges.join(state, [*by, "a"], "left").where(F.col("_ran").isNull() | (F.col("ob") > F.col("upto"))).drop("_ran", "upto")
-        gone = hit.select(*by, "b")
-        left = left.join(gone, [*by, "b"], "left_anti").join(gone.select(*by, F.col("b").alias("a")), [*by, "a"], "left_anti")
-        edges = session.cut_lineage(left.select(*by, "a", "b", "oa", "ob"))
-        # Add the sums of the segments taken to their seeds.
-        parts = seg.select(*by, F.col("seg_id").alias("b"), F.col("mx").alias("_bx"), F.col("my").alias("_by"),
-                           F.col("mz").alias("_bz"), "n", *[M.name(e) for e in M.SPATIAL])
-        added = hit.join(parts, [*by, "b"]).join(model.select(*by, "a", "mx", "my", "mz", "c", "s"), [*by, "a"])
-        d = F.expr("(_bx - mx) * c + (_by - my) * s").alias("_d")
-        added = added.select(*by, "a", d, (F.col("_bz") - F.col("mz")).alias("_dz"), *_profile())
-        added = added.select(*by, "a", *[F.expr(e).alias(f"_{n}") for n, e in _shifted("_d", "_dz").items()])
-        model = model.join(added, [*by, "a"], "left").withColumns(
-            {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0.0)) for n in KEEP}).drop(*[f"_{n}" for n in KEEP])
-        model = session.cut_lineage(model)
+        lost = append_segments(*gone).select(*by, F.col("seg_id").alias("b"))
+        rest = edges.join(upto, key, "left").where(F.col("_upto").isNull() | (F.col("ob") > F.col("_upto")))
+        rest = rest.join(lost, [*by, "b"], "left_anti").join(lost.withColumnRenamed("b", "a"), key, "left_anti")
+        edges = session.cut_lineage(rest.select(*by, "a", "b", "oa", "ob"))
     if not taken:
-        empty = T.StructType([*schema.fields, T.StructField("into", T.LongType()), T.StructField("seg_id", T.LongType())])
-        return points.sparkSession.createDataFrame([], empty)
+        return points.sparkSession.createDataFrame([], schema)
     return append_segments(*taken)
 
 
+def _step(points: DataFrame, seg: DataFrame, edges: DataFrame, model: DataFrame, ready: DataFrame, by: list[str],
+          curve: float) -> tuple[DataFrame, DataFrame]:
+    """The next segment of each seed of ``ready``, as ``a, b, upto``, and the model with its sums added."""
+    key = [*by, "a"]
+    active = edges.join(ready, key, "left_semi")
+    curves = _curves(model).select(*key, "mx", "my", "mz", "c", "s", "um", "vm", "q2", "q1", "q0")
+    tests = active.join(curves, key).withColumnRenamed("b", "seg_id")
+    p = session.attach(points.select(*by, "seg_id", "x", "y", "z"), tests, [*by, "seg_id"])
+    u = (F.col("x") - F.col("mx")) * F.col("c") + (F.col("y") - F.col("my")) * F.col("s") - F.col("um")
+    miss = F.abs((F.col("q2") * u + F.col("q1")) * u + F.col("q0") + F.col("vm") - (F.col("z") - F.col("mz")))
+    worst = p.groupBy(*key, F.col("seg_id").alias("b"), "ob").agg(F.max(miss).alias("worst"))
+    hit = worst.where(F.col("worst") < curve).groupBy(*key).agg(F.min(F.struct("ob", "b")).alias("h"))
+    hit = session.cut_lineage(hit.select(*key, F.col("h.b").alias("b"), F.col("h.ob").alias("upto")))
+    # Add the sums of the segments taken to their seeds.
+    parts = seg.select(*by, F.col("seg_id").alias("b"), F.col("mx").alias("_bx"), F.col("my").alias("_by"),
+                       F.col("mz").alias("_bz"), "n", *[M.name(e) for e in M.SPATIAL])
+    added = hit.join(parts, [*by, "b"]).join(model.select(*key, "mx", "my", "mz", "c", "s"), key)
+    d = F.expr("(_bx - mx) * c + (_by - my) * s").alias("_d")
+    added = added.select(*key, d, (F.col("_bz") - F.col("mz")).alias("_dz"), *_profile())
+    added = added.select(*key, *[F.expr(e).alias(f"_{n}") for n, e in _shifted("_d", "_dz").items()])
+    model = model.join(added, key, "left").withColumns(
+        {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0.0)) for n in KEEP}).drop(*[f"_{n}" for n in KEEP])
+    return hit, session.cut_lineage(model)
+
+
 # --- passes -------------------------------------------------------------------------------------
 
 def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY, line: float = 0.5, curve: float = 0.2,
@@ -234,46 +300,65 @@ def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY,
     points = real_points(points, "x", "y", "z")
     seg = session.cut_lineage(segment_frames(points, by, azimuth=azimuth).join(segments.select(*by, "seg_id", "ord"), [*by, "seg_id"]))
     edges = session.cut_lineage(merge_gate_join(seg, line, height, seed, by))
-    comp = connected_components(edges, by, "a", "b").withColumnRenamed("node", "seg_id")
-    comp = session.cut_lineage(comp)
-    size = seg.join(comp, [*by, "seg_id"]).groupBy(*by, "component").agg(F.sum("n").alias("_rows"))
-    tests = edges.join(comp.withColumnRenamed("seg_id", "a"), [*by, "a"]).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("_tests"))
-    size = size.join(tests, [*by, "component"])
-    small = size.where((F.col("_rows") <= scan_rows) & (F.col("_tests") <= scan_rows)).select(*by, "component")
-    few = session.cut_lineage(comp.join(small, [*by, "component"], "left_semi"))
-    many = session.cut_lineage(comp.join(small, [*by, "component"], "left_anti"))
-
-    def edges_of(part: DataFrame) -> DataFrame:
-        joined = edges.join(part.withColumnRenamed("seg_id", "a"), [*by, "a"])
-        return joined.select(*[F.col(c).alias(c) for c in (*by, "component", "a", "b", "oa", "ob")])
+    ends = edges.select(*by, F.col("a").alias("seg_id")).unionByName(edges.select(*by, F.col("b").alias("seg_id"))).distinct()
+
+    def fitting(nodes: DataFrame, tests: DataFrame, piece: list[str]) -> DataFrame:
+        """Pieces that one task can scan, and whether there are others."""
+        load = nodes.join(seg.select(*by, "seg_id", "n"), [*by, "seg_id"]).groupBy(*piece).agg(F.sum("n").alias("_rows"))
+        load = load.join(tests.groupBy(*piece).agg(F.count(F.lit(1)).alias("_tests")), piece)
+        return load.select(*piece, ((F.col("_rows") <= scan_rows) & (F.col("_tests") <= scan_rows)).alias("_fits"))
+
+    def pieces_of(table: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """The rows of ``table`` that fit one task each, and the others; None where there are none."""
+        kinds = {r["_fits"] for r in table.select("_fits").distinct().collect()}
+        return tuple(table.where(c).drop("_fits") if k in kinds else None for k, c in ((True, F.col("_fits")), (False, ~F.col("_fits"))))
+
+    # A small cloud is a piece by itself; only larger ones are cut into the pieces of their graph.
+    clouds, wide = pieces_of(session.cut_lineage(fitting(ends, edges, by)))
+    tests, nodes, many = [], [], None
+    if clouds is not None:
+        own = clouds.withColumn("component", F.lit(-1).cast("long"))
+        tests.append(session.attach(edges, own, by))
+        nodes.append(session.attach(ends, own, by))
+    if wide is not None:
+        rest = edges.join(wide, by, "left_semi")
+        comp = session.cut_lineage(connected_components(rest, by, "a", "b").withColumnRenamed("node", "seg_id"))
+        named = session.cut_lineage(rest.join(comp.withColumnRenamed("seg_id", "a"), [*by, "a"]))
+        small, large = pieces_of(session.cut_lineage(fitting(comp, named, [*by, "component"])))
+        if small is not None:
+            tests.append(named.join(small, [*by, "component"], "left_semi"))
+            nodes.append(comp.join(small, [*by, "component"], "left_semi"))
+        if large is not None:
+            many = named.join(large, [*by, "component"], "left_semi").select(*by, "a", "b", "oa", "ob")
 
     found = []
-    if not session.is_empty(few):
-        own = few.join(seg.select(*by, "seg_id", "mx", "my", "mz", "c", "s"), [*by, "seg_id"])
+    if tests:
+        own = append_segments(*nodes).join(seg.select(*by, "seg_id", "mx", "my", "mz", "c", "s"), [*by, "seg_id"])
         rows = session.attach(points.select(*by, "seg_id", "x", "y", "z"), own, [*by, "seg_id"])
         schema = T.StructType([f for f in edges.schema if f.name in by]
                               + [T.StructField("into", T.LongType()), T.StructField("seg_id", T.LongType())])
         keys = [*by, "component"]
-        found.append(rows.groupBy(*keys).cogroup(edges_of(few).groupBy(*keys)).applyInPandas(
-            lambda p, e: _scan(p, e, by, curve), schema))
-    if not session.is_empty(many):
-        large = session.cut_lineage(session.attach(points, many.select(*by, "seg_id"), [*by, "seg_id"], "left_semi"))
-        found.append(_scan_rounds(large, seg, edges_of(many).select(*by, "a", "b", "oa", "ob"), by, curve))
+        # Each row gets its own name: both tables come from the same edges.
+        tests = append_segments(*tests).select(*[F.col(c).alias(c) for c in (*by, "component", "a", "b", "oa", "ob")])
+        found.append(rows.groupBy(*keys).cogroup(tests.groupBy(*keys)).applyInPandas(lambda p, e: _scan(p, e, by, curve), schema))
+    if many is not None:
+        found.append(_scan_rounds(points, seg, many, by, curve, scan_rows))
     if not found:
         return edges.select(*by, F.col("a").alias("into"), F.col("b").alias("seg_id")).limit(0)
-    return session.cut_lineage(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+    return session.cut_lineage(append_segments(*found))
 
 
 def merge_pass(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY, order: str = "stale",
                **gates) -> tuple[DataFrame, DataFrame, bool]:
     """One pass over segments (with ``ord``) and their points: (segments, points, changed)."""
     by = list(by)
+    segments = session.cut_lineage(segments)
     merged = find_merges(segments, points, by, **gates)
     changed = not session.is_empty(merged)
     gain = merged.join(segments.select(*by, "seg_id", "count"), [*by, "seg_id"]).groupBy(
         *by, F.col("into").alias("seg_id")).agg(F.sum("count").alias("_gain"))
     left = drop_absorbed(segments, by, merged).join(gain, [*by, "seg_id"], "left")
-    left = left.withColumn("count", F.col("count") + F.coalesce("_gain", F.lit(0).cast("long"))).drop("_gain")
+    left = session.cut_lineage(left.withColumn("count", F.col("count") + F.coalesce("_gain", F.lit(0).cast("long"))).drop("_gain"))
     after = session.cut_lineage(rerank_after_merge(segments, left, by, order))
     if changed:
         points = session.cut_lineage(absorb_points(points, merged, by))

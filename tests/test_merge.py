@@ -6,6 +6,7 @@ import pytest
 
 from sagline.operators import merge
 from sagline.operators import segments as seg_ops
+from sagline.session import cut_lineage as session_cut
 
 
 def pieces(seed=0, wires=4, parts=5, clouds=2):
@@ -105,6 +106,42 @@ def test_rounds_and_scan_agree_on_a_chain(spark):
     assert len(a) > 2 and set(zip(a.into, a.seg_id)) == set(zip(b.into, b.seg_id))
 
 
+def rounds_of(monkeypatch):
+    """Counts the rounds of scans by depth."""
+    made = []
+    plain = merge._ready_seeds
+    monkeypatch.setattr(merge, "_ready_seeds", lambda *a: made.append(1) or plain(*a))
+    return made
+
+
+@pytest.mark.parametrize("parts", [12])
+def test_a_wire_in_many_pieces_needs_few_rounds(spark, monkeypatch, parts):
+    """The first seed takes all other pieces in one round; only the graph, not a seed's candidates, is too large for a task."""
+    t = np.linspace(0, 5, 20)
+    rows = [pd.DataFrame({"cloud_id": "c", "seg_id": k, "x": t[:20 - (k > 0)] + 6 * k, "y": 0.0, "z": 10 + .0004 * (t[:20 - (k > 0)] + 6 * k) ** 2})
+            for k in range(parts)]
+    p = pd.concat(rows, ignore_index=True).assign(point_id=lambda d: range(len(d)))
+    df = spark.createDataFrame(p)
+    seg = seg_ops.rank_segments(seg_ops.build_segments(df))
+    made = rounds_of(monkeypatch)
+    got = merge.find_merges(seg, df, scan_rows=len(p) - 1).collect()
+    assert {(r["into"], r["seg_id"]) for r in got} == {(0, k) for k in range(1, parts)} and len(got) == parts - 1
+    assert len(made) == 1
+
+
+def test_every_limit_gives_the_plain_loop(spark, monkeypatch):
+    """Whole clouds, pieces of the graph, whole seeds and single steps, and mixtures of them."""
+    p = pieces(seed=11, wires=2, parts=4, clouds=1)
+    df = spark.createDataFrame(p).repartition(5)
+    seg = session_cut(seg_ops.rank_segments(seg_ops.build_segments(df)))
+    made, want = rounds_of(monkeypatch), None
+    for limit in (None, 60):
+        got = sorted((r["cloud_id"], r["into"], r["seg_id"]) for r in merge.find_merges(seg, df, scan_rows=limit).collect())
+        want = got if want is None else want
+        assert got == want and len(got) > 1
+    assert made
+
+
 @pytest.mark.parametrize("far", [10.0001, 10.5])
 def test_degenerate_seed_is_one_rule(spark, far):
     """A seed whose places are three only by rounding takes the same at every size."""
