@@ -11,8 +11,11 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sagline import session
 from sagline.functions.geometry import real_points
@@ -25,6 +28,11 @@ LEAF_PAIRS = 4_096
 # Cells are halved at most this many times.
 MAX_LEVEL = 12
 
+# A block is so many cells wide; a point is sent to its own block and to those whose rim of one cell holds it.
+BLOCK_CELLS = 8
+# Point pairs of a block that are compared at once.
+BLOCK_PAIRS = 1_000_000
+
 AXES = ("x", "y", "z")
 SUMS = ("n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz")
 
@@ -105,18 +113,79 @@ def neighbour_sums(points: DataFrame, radius: float, by: Sequence[str] = BY, x:
                    z: str = "z", cell_rows: int = CELL_ROWS, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:
     """``by..., point_id, n, sx..szz``: sums of offsets from each point to its neighbours within ``radius``.
 
-    Pairs are aggregated as they are joined. When a cell is fuller than ``cell_rows``, copies of a
+    Points meet in blocks, which give whole sums. When a cell is fuller than ``cell_rows``, copies of a
     position are merged first and full cells enter as sums (see :func:`_dense_sums`).
     """
     p = _xyz(points, by, x, y, z, "point_id")
     if fullest_cell(p, by, radius) > cell_rows:
         return _dense_sums(p, radius, list(by), leaf_pairs)
-    q = p.select(*by, F.col("point_id").alias("q_id"), *[F.col(a).alias(f"q{a}") for a in AXES])
-    t = p.select(*by, F.col("point_id").alias("n_id"), *[F.col(a).alias(f"n{a}") for a in AXES])
-    pairs = radius_pairs(q, t, radius, by)
-    d = {a: F.col(f"n{a}") - F.col(f"q{a}") for a in AXES}
-    pairs = pairs.select(*by, F.col("q_id").alias("point_id"), *[c.alias(f"d{a}") for a, c in d.items()])
-    return pairs.groupBy(*by, "point_id").agg(*_weighted_sums(F.lit(1.0)))
+    return _block_sums(p, radius, list(by))
+
+
+# --- blocks with a halo --------------------------------------------------------------------------
+
+def in_blocks(points: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
+    """Each point with a block ``_bx, _by, _bz``: once for its own (``_own``), and for every block whose halo holds it.
+
+    Blocks are ``BLOCK_CELLS`` cells wide and the halo is one cell, so a point is sent about twice. Cells are wider
+    than the radius by a hair, so that rounding cannot put two neighbours two cells apart.
+    """
+    side = radius * (1.0 + 1e-9)
+    last = BLOCK_CELLS - 1
+    out = points
+    for a in AXES:
+        inner = F.pmod(cell(a, side), F.lit(BLOCK_CELLS))
+        shift = F.when(inner == 0, F.array(F.lit(-1), F.lit(0))).when(inner == last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        out = out.withColumn(f"_s{a}", F.explode(shift))
+    block = {a: F.floor(cell(a, side) / BLOCK_CELLS).cast("long") + F.col(f"_s{a}") for a in AXES}
+    own = (F.col("_sx") == 0) & (F.col("_sy") == 0) & (F.col("_sz") == 0)
+    return out.select(*by, *[block[a].alias(f"_b{a}") for a in AXES], own.alias("_own"), "point_id", *AXES)
+
+
+def _sums_in_block(rows: pd.DataFrame, keys: list[str], radius: float) -> pd.DataFrame:
+    """:func:`neighbour_sums` of the points that own the block, among all that were sent to it."""
+    xyz = rows[list(AXES)].to_numpy(np.float64)
+    at = np.floor(xyz / (radius * (1.0 + 1e-9))).astype(np.int64)
+    # Cells counted from one below the block's halo; three neighbours in z are one run of the order.
+    at -= at.min(0) - 1
+    wide = at.max(0) + 2
+    number = (at[:, 0] * wide[1] + at[:, 1]) * wide[2] + at[:, 2]
+    # Neighbours are added up in the order of their ids, so that every run gives the same sums.
+    order = np.lexsort((rows["point_id"].to_numpy(), number))
+    number, xyz = number[order], xyz[order]
+    mine = np.flatnonzero(rows["_own"].to_numpy()[order])
+    runs = np.array([(i * wide[1] + j) * wide[2] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    first = np.searchsorted(number, number[mine][:, None] + runs - 1, "left").ravel()
+    length = np.searchsorted(number, number[mine][:, None] + runs + 1, "right").ravel() - first
+    sums = np.zeros((len(mine), len(SUMS)))
+    pairs = np.append(0, np.cumsum(length.reshape(-1, len(runs)).sum(1)))
+    start = 0
+    while start < len(mine):
+        end = max(int(np.searchsorted(pairs, pairs[start] + BLOCK_PAIRS, "right")) - 1, start + 1)
+        part = slice(start * len(runs), end * len(runs))
+        size, begin = length[part], first[part]
+        query = np.repeat(np.arange(end - start), size.reshape(-1, len(runs)).sum(1))
+        near = np.arange(len(query)) + np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size)
+        d = xyz[near] - xyz[mine[start + query]]
+        within = (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2] <= radius * radius
+        query, d = query[within], d[within]
+        terms = [None, *d.T, *(d[:, i] * d[:, j] for i, j in itertools.combinations_with_replacement(range(3), 2))]
+        for i, t in enumerate(terms):
+            sums[start:end, i] = np.bincount(query, t, end - start)
+        start = end
+    out = pd.DataFrame(sums, columns=list(SUMS))
+    out.insert(0, "point_id", rows["point_id"].to_numpy()[order][mine])
+    for k in reversed(keys):
+        out.insert(0, k, rows[k].iloc[0])
+    return out
+
+
+def _block_sums(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
+    """:func:`neighbour_sums` with one exchange; a block is bounded, as no cell of these clouds is full."""
+    fields = [f for f in points.schema if f.name in (*by, "point_id")]
+    schema = T.StructType([*sorted(fields, key=lambda f: [*by, "point_id"].index(f.name)), *[T.StructField(n, T.DoubleType()) for n in SUMS]])
+    sent = in_blocks(points, by, radius)
+    return sent.groupBy(*by, *[f"_b{a}" for a in AXES]).applyInPandas(lambda rows: _sums_in_block(rows, by, radius), schema)
 
 
 # --- cell halving ------------------------------------------------------------------------------

@@ -146,3 +146,32 @@ def test_nearest_is_brute_force(spark, metric):
         k = int(np.argmin(d))
         assert row.n_id == here.point_id.iloc[k]
         assert np.isclose(row.dist, np.sqrt(d[k]) if metric == "3d" else at.z - here.z.iloc[k])
+
+
+@pytest.mark.parametrize("block_pairs", [1_000_000, 50])
+def test_blocks_give_every_neighbour(spark, monkeypatch, block_pairs):
+    """Several blocks, negative coordinates, points and neighbours exactly on block borders and at the radius."""
+    monkeypatch.setattr(grid, "BLOCK_PAIRS", block_pairs)
+    p = cloud(7, n=500, copies=5, clouds=2)
+    p[["x", "y", "z"]] = np.concatenate([p[["x", "y", "z"]].to_numpy()[:-60] - 2, np.random.default_rng(1).integers(-8, 9, (60, 3)) * 0.25])
+    p.loc[3, "x"] = np.nan
+    got = grid.neighbour_sums(frame(spark, p), 0.25).toPandas().set_index(["cloud_id", "point_id"]).sort_index()
+    p = p.dropna()
+    assert len(got) == len(p)
+    for c, g in p.groupby("cloud_id"):
+        xyz = g[["x", "y", "z"]].to_numpy()
+        d = xyz[None] - xyz[:, None]
+        near = (d[..., 0] ** 2 + d[..., 1] ** 2) + d[..., 2] ** 2 <= 0.25 * 0.25
+        want = {"n": near.sum(1), "sy": (near * d[..., 1]).sum(1), "sxz": (near * d[..., 0] * d[..., 2]).sum(1), "szz": (near * d[..., 2] ** 2).sum(1)}
+        mine = got.loc[c].loc[g.point_id]
+        for name, values in want.items():
+            assert np.allclose(mine[name], values, atol=1e-12)
+
+
+def test_a_point_is_sent_about_twice_by_one_exchange(spark):
+    p = cloud(8, n=4000)
+    df = frame(spark, p)
+    sent = grid.in_blocks(df.select("cloud_id", "point_id", "x", "y", "z"), ["cloud_id"], 0.1)
+    assert sent.where("_own").count() == len(p) and sent.count() < 2.1 * len(p)
+    plan = shape.local_covariance(df, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
