@@ -1,7 +1,8 @@
 """Catenary fits, one per group, with the points distributed over the cluster.
 
-A damped Gauss-Newton search needs only ten sums per group and round. Each round is one aggregate
-over the points; the table of parameters has one row per group. The curve is written in its value,
+A damped Gauss-Newton search needs only ten sums per group and trial. Each round is one aggregate
+over the points, which tries a ladder of damping values for every group at once and takes the best; the table of
+parameters has one row per group. The curve is written in its value,
 slope and curvature at the mean abscissa, which stays well conditioned for nearly straight wires:
 
     f(t) = h + [cosh(k u + asinh s) - cosh(asinh s)] / k,   u = t - mean t
@@ -42,14 +43,17 @@ CURVE = (
 )
 TERMS = ("1D", "js", "jk", "js * js", "js * jk", "jk * jk", "res", "js * res", "jk * res", "res * res")
 
-# Accept or reject the trial.
+# A round tries these multiples of a group's damping; when none is better, the next ladder begins above them.
+LADDER = (1e-3, 1e-1, 1.0, 1e1, 1e3)
+
+# Accept or reject the best trial; ``tlam`` is the damping it was made with.
 JUDGE = (
     {"usable": "new_err is not null and not isnan(new_err) and new_err < double('infinity')"},
     {"better": "not done and usable and (err is null or new_err <= err)"},
     {"done": "done or (better and (new_err = 0 or coalesce(err - new_err <= 1e-14 * err, false)"
-             " or (lam < 1e-2 and coalesce(err - new_err <= 1e-11 * err, false))))"
-             " or (not better and (err is null or lam > 1e9))",
-     "lam": "if(better, greatest(lam / 10, 1e-8), lam * 10)",
+             " or (tlam < 1e-2 and coalesce(err - new_err <= 1e-11 * err, false))))"
+             " or (not better and (err is null or lam > 1e6))",
+     "lam": "if(better, greatest(tlam / 10, 1e-8), lam * 1e5)",
      **{c: f"if(better, t{c}, {c})" for c in "hsk"}, **{c: f"if(better, new_{c}, {c})" for c in SUMS}},
 )
 # Next trial: k from the damped normal equations, then s and h for that k.
@@ -77,8 +81,9 @@ EDGE_BACK = (
     {"arm": "sqrt(1 + ts * ts) / tk"},
     {"th": f"case when th - arm < {C_RANGE[0]!r} then {C_RANGE[0]!r} + arm when th - arm > {C_RANGE[1]!r} then {C_RANGE[1]!r} + arm else th end"},
 )
-STOP = ({"done": "done or coalesce(abs(th - h) <= 1e-13 * (1 + abs(h)) and abs(ts - s) <= 1e-13 * (1 + abs(s))"
-                 " and abs(tk - k) <= 1e-12 * abs(k), true)"},)
+# A trial that moves nothing is not made; a group without trials is done.
+STOP = ({"still": "coalesce(abs(th - h) <= 1e-13 * (1 + abs(h)) and abs(ts - s) <= 1e-13 * (1 + abs(s))"
+                  " and abs(tk - k) <= 1e-12 * abs(k), true)"},)
 BOUNDED = (*STEP, *CLAMP, *SOLVE, *EDGE, *CLAMP, *EDGE_BACK, *STOP)
 FREE = (*STEP, *SOLVE, *STOP)
 
@@ -93,11 +98,22 @@ def _apply(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
     return df
 
 
+def _tried(data: DataFrame, trials: DataFrame, by: list[str], curve: list[dict[str, Column]], sums: list[Column]) -> DataFrame:
+    """One read of the points: the best trial of each group, ``by..., th, ts, tk, tlam, new_*``."""
+    made = [*by, "rung", "tm", "th", "ts", "tk"]
+    found = _apply(data.join(trials.select(made), by), curve).groupBy(*by, "rung").agg(*sums)
+    found = found.join(trials.select(*by, "rung", "th", "ts", "tk", F.col("lam").alias("tlam")), [*by, "rung"])
+    # NaN and infinity stand after every number.
+    order = F.struct(F.coalesce("new_err", F.lit(float("nan"))), "rung")
+    kept = [c for c in found.columns if c not in (*by, "rung")]
+    return found.groupBy(*by).agg(F.min_by(F.struct(*kept), order).alias("_t")).select(*by, "_t.*")
+
+
 def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool, max_rounds: int | None) -> DataFrame:
     """Minimise each group's squared error from ``by..., tm, th, ts, tk`` (and ``blo, bhi``).
 
     ``data`` (``by..., t, z``) has been materialised by the caller. The search goes on until every group is done:
-    an accepted step lowers the error by a least share, and a rejected one raises the damping up to a limit. With
+    an accepted step lowers the error by a least share, and a ladder without one raises the damping up to a limit. With
     ``max_rounds`` it may end before; ``done`` tells which groups had ended. Whenever half of the groups have
     ended since, the points of the others are written anew, so that later rounds read only those.
     """
@@ -106,24 +122,32 @@ def _search(data: DataFrame, start: DataFrame, by: list[str], bounded: bool, max
     if bounded:
         state = _apply(state, _parsed(*CLAMP, {"b1": "tm - asinh(ts) / tk"},
                                       {"ts": "if(b1 < blo, sinh(tk * (tm - blo)), if(b1 > bhi, sinh(tk * (tm - bhi)), ts))"}))
-    keep = [c for c in state.columns if c != "b1"]
-    state = session.cut_lineage(state.select(keep))
-    small = state.limit(session.BROADCAST_ROWS + 1).count() <= session.BROADCAST_ROWS
+    keep = [c for c in state.columns if c not in ("b1", "th", "ts", "tk")]
+    trials = session.cut_lineage(state.withColumn("rung", F.lit(0)).select(*keep, "rung", "th", "ts", "tk"))
+    state = trials.select(keep)
+    held = state.count()
+    small = held <= session.BROADCAST_ROWS
     curve, judge, step = _parsed(*CURVE), _parsed(*JUDGE), _parsed(*(BOUNDED if bounded else FREE))
     sums = [F.sum(F.expr(e)).alias(f"new_{n}") for n, e in zip(SUMS, TERMS)]
-    open_, trial = F.expr("not done"), [*by, "tm", "th", "ts", "tk"]
-    held, rounds = state.count(), 0
+    rungs = F.posexplode(F.array(*[F.lit(m) for m in LADDER]))
+    rounds = 0
     while held and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        rows = state.where(open_).select(trial)
-        found = _apply(data.join(F.broadcast(rows) if small else rows, by), curve).groupBy(*by).agg(*sums)
-        state = session.cut_lineage(_apply(state.join(found, by, "left"), judge + step).select(keep))
-        left = state.where(open_).count()
+        best = _tried(data, F.broadcast(trials) if small else trials, by, curve, sums)
+        judged = _apply(state.join(best, by, "left"), judge).select(*keep, rungs.alias("rung", "_m"))
+        judged = judged.withColumns({"base": F.col("lam"), "lam": F.col("lam") * F.col("_m")})
+        # Filtered behind the cut: pushed below the steps, a condition would repeat their formulas many times over.
+        made = session.cut_lineage(_apply(judged, step).select(*keep, "base", "rung", "th", "ts", "tk", "still"))
+        state = made.where("rung = 0").withColumn("lam", F.col("base")).select(keep)
+        trials = made.where("not done and not still").select(*keep, "rung", "th", "ts", "tk")
+        open_ = trials.select(*by).distinct()
+        left = open_.count()
         if not left:
+            # What still stands open has no trial that moves it.
+            state = state.withColumn("done", F.lit(True))
             break
         if 2 * left <= held:
-            rest = state.where(open_).select(*by)
-            data, held = session.cut_lineage(data.join(F.broadcast(rest) if small else rest, by, "left_semi")), left
+            data, held = session.cut_lineage(data.join(F.broadcast(open_) if small else open_, by, "left_semi")), left
     return state
 
 

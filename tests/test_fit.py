@@ -195,3 +195,19 @@ def test_report_text(spark):
                        "mu = [mean=10.000000, std=2.000000]\n\nGround clearance (lowest point): 4.250 m")
     assert text[1] == "No poly info available for this wire."
     assert text[2] == "=== Wire 3 ===\np = [N/A]\nS.normr = 0.500000 | S.df = 7\n"
+
+
+def test_ladders_halve_the_reads(spark, monkeypatch):
+    """Reads of the points until all wires of a mixed set are done, and the curves they end in."""
+    reads = []
+    plain = catenary._tried
+    monkeypatch.setattr(catenary, "_tried", lambda *a: reads.append(1) or plain(*a))
+    rng = np.random.default_rng(6)
+    rows = []
+    for w, (a, b, n) in enumerate([(300.0, 20.0, 200), (80.0, 30.0, 150), (900.0, -10.0, 300), (45.0, 25.0, 90)]):
+        t = np.sort(rng.uniform(0, 60, n))
+        t[0], t[-1] = 0, 60
+        rows.append(pd.DataFrame({"cloud_id": "c", "wire_id": w, "point_id": range(n), "x": t, "y": 0.0, "z": a * np.cosh((t - b) / a) + 5}))
+    got = catenary.fit_catenary(spark.createDataFrame(pd.concat(rows))).toPandas().set_index("wire_id")
+    assert got.converged.all() and np.allclose(got.a[[0, 1, 2, 3]], [300, 80, 900, 45], rtol=1e-6) and np.allclose(got.b[[0, 1, 2, 3]], [20, 30, -10, 25], atol=1e-4)
+    assert len(reads) <= 8
