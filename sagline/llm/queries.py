@@ -131,13 +131,14 @@ def op9_vantage_point_search(spark, sf):
     return vptree.nearest(table(spark, sf, "embeddings"))
 
 
-# Sums run from first to last component, as in the operator.
+# Sums run from first to last component of vectors scaled by powers of two, as in the operator.
 ORACLES["op9_vantage_point_search"] = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-n AS (SELECT vec_id, e, list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y) AS s FROM v),
+u AS (SELECT vec_id, list_transform(e, lambda x: x * pow(2, -floor(log2(list_max(list_transform(e, lambda y: abs(y))))))) AS e FROM v),
+n AS (SELECT vec_id, e, list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y) AS s FROM u),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda x, y: x + y) / (sqrt(q.s) * sqrt(c.s)) AS score

@@ -124,15 +124,18 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """``doc_id, fp, component_id``, one row per row of ``docs``.
 
     Documents of the same or linked fingerprints form a component, named by its smallest id. Null and empty
-    texts have fingerprint 0 and are linked like any other. A row whose id is null gets its fingerprint's
-    component, null if no row with an id has it; repeated rows are all returned.
+    texts have fingerprint 0 and are linked like any other. A row whose id is null connects others and gets
+    its component, null if no row there has an id; repeated rows are all returned.
     """
     rows = stored(fingerprints(docs, text, key), "prints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "distinct-prints")
-    found = components(hamming_links(prints))
-    named = prints.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    # Fingerprints are linked as such, so that one whose rows have no id still connects others.
+    found = components(hamming_links(prints.select("fp", F.col("fp").alias("rep"))))
+    member = stored(prints.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), "first"), "print-components")
+    name = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = member.select("fp", "component").join(name, "component")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ less than 1 searches less.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, frexp, ldexp
 
 import numpy as np
 import pandas as pd
@@ -107,10 +107,16 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled ** 2).sum(1, keepdims=True))
 
 
+def _scaled(v: list[float]) -> list[float]:
+    """``v`` times the power of two that brings its largest component to 0.5 or more, below 1: sums neither overflow nor vanish."""
+    shift = frexp(max(map(abs, v)))[1]
+    return [ldexp(x, -shift) for x in v]
+
+
 def cosine(a: list[float], b: list[float]) -> float:
-    """Cosine in double precision, sums from first to last component."""
+    """Cosine in double precision, sums from first to last component; scaling by powers of two changes no digit of it."""
     ab = aa = bb = 0.0
-    for x, y in zip(a, b):
+    for x, y in zip(_scaled(a), _scaled(b)):
         ab += x * y
         aa += x * x
         bb += y * y

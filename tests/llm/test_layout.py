@@ -137,7 +137,7 @@ def test_nearest(spark, shard_vectors, query_block):
     rng = np.random.default_rng(12)
     fine = [(i, rng.normal(size=6).tolist()) for i in range(700)] + [(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(90)]
     fine += [(2000, [2.0, 4.0, 0.0, 0.0, 0.0, 2.0]), (2001, [1e300] * 6), (2002, [1e-200] * 6)]
-    fine = [(i, v) for i, v in fine if i not in (2001, 2002)]
+    fine += [(2050, [1e-200, 3e-200, 0.0, 0.0, 0.0, 5e-324]), (2100, [1e300, -1e300, 0.0, 1e-300, 1e308, 0.0])]
     bad = [(3000, None), (3050, [0.0] * 6), (3100, [float("nan")] * 6), (3150, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (3200, [float("inf")] + [0.0] * 5),
            (3250, []), (None, [1.0] * 6)]
     table = spark.createDataFrame([(i, v, "x") for i, v in fine + bad], "vec_id long, embedding array<double>, shard string")
@@ -157,3 +157,13 @@ def test_relaxed_search_recalls_most(spark):
     true = [set(np.argsort(-(unit @ q))[:5]) for q in unit[:100]]
     assert all(t <= set(e.tolist()) for t, e in zip(true, exact))
     assert np.mean([len(t & set(f.tolist())) / 5 for t, f in zip(true, loose)]) >= 0.9
+
+
+def test_cosine_of_tiny_and_huge_vectors():
+    rng = np.random.default_rng(1)
+    for a, b in rng.normal(size=(50, 2, 8)):
+        plain = float(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5))
+        assert vptree.cosine(a.tolist(), b.tolist()) == pytest.approx(plain, rel=1e-14)
+        for s in (2.0 ** 900, 2.0 ** -900):
+            assert vptree.cosine((a * s).tolist(), b.tolist()) == vptree.cosine(a.tolist(), b.tolist())
+    assert vptree.cosine([1e300, 1e300], [1.0, 1.0]) == pytest.approx(1) and vptree.cosine([1e-200, 1e-200], [1.0, -1.0]) == 0

@@ -57,6 +57,15 @@ def test_prints_and_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("middle", [5, None])
+def test_a_row_without_id_connects_others(spark, monkeypatch, middle):
+    """Two fingerprints that differ in eight bits meet through a third, whatever its id."""
+    prints = spark.createDataFrame([(2, 0), (1, 0xFF), (middle, 0x0F), (9, 0xFFFF0000), (None, 0xFFFF << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: prints)
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_groups(prints).collect()}
+    assert got == {(2, 0): 1, (1, 0xFF): 1, (middle, 0x0F): 1, (9, 0xFFFF0000): 9, (None, 0xFFFF << 40): None}
+
+
 @pytest.mark.parametrize("dense,block", [(1 << 14, 4096), (0, 5), (20, 3)])
 def test_hamming_links(spark, dense, block):
     rng = random.Random(2)
