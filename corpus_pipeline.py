@@ -37,9 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each drawn row goes: its run of the Hilbert curve, and its place there."""
+    """Where each drawn row goes: its run of the Hilbert curve, and its place there, in place of columns of these names."""
     found = hilbert.hilbert_shards(docs, SHARDS, carry=True)
-    return found.select("doc.*", "shard", "slot")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in own], "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
