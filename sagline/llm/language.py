@@ -1,36 +1,54 @@
 """Language identification by cross-parsing.
 
 A suffix automaton of sample text per language reads a document and tells where its longest match with the
-sample ends; the next phrase starts there. The language whose sample needs the fewest phrases, weighed by the
-bits that name a place in the sample, wins. Automata are complete tables of transitions, so that many pieces of
-text advance by one character in one vector operation. Texts are cut to pieces of fixed length for this; a
-phrase ends with its piece.
+sample ends; the next phrase starts there, and a character that the sample lacks is a phrase of its own. The
+language whose sample needs the fewest phrases, weighed by the bits that name a place in the sample, wins. The
+transitions of all states lie in one array, each state's shifted to free places, so that many pieces of text
+advance by one character in a few vector operations. Texts are cut to pieces of fixed length for this; a phrase
+ends with its piece.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sample characters per language (all languages together at most MAX_CHARS), at most DOC_CHARS of a document,
-# from about SAMPLE_DOCS documents per language; shingle by which a line counts as new to the sample.
-SAMPLE_CHARS, MAX_CHARS, DOC_CHARS, SAMPLE_DOCS, NEW = 20_000, 2_000_000, 1500, 400, 12
-MAX_SYMBOLS = 128
+from sagline.llm.shared import stored
+
+# Sample characters per language (all languages together at most MAX_CHARS), chosen among CHOICE times as many; from about
+# SAMPLE_DOCS documents per language, of the MAX_LABELS commonest labels; shingle by which a line counts as new to the sample.
+SAMPLE_CHARS, MAX_CHARS, CHOICE, SAMPLE_DOCS, MAX_LABELS, NEW = 20_000, 2_000_000, 10, 400, 2_000, 12
+# Longer lines are cut to stretches, all of which may be drawn.
+STRETCH = 400
 PIECE = 512
 BATCH_CHARS = 4_000_000
-NEW_PHRASE = np.int32(1 << 30)
 UNKNOWN, SPACE = 0, 1
 
 
+@cache
+def _folded() -> np.ndarray:
+    """Every code point's letter without case; zero for what is no letter."""
+    out = np.zeros(0x110000, np.int32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = ord(c.lower()[0])
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 @dataclass
 class Alphabet:
-    """Symbol of every character below 65,536: letters without case; other characters are spaces; rare letters unknown."""
+    """Symbol of every character: letters of the samples without case, each its own; other letters unknown; the rest spaces."""
 
     symbols: np.ndarray
     letters: np.ndarray
@@ -38,27 +56,45 @@ class Alphabet:
 
     @classmethod
     def of(cls, texts: list[str]) -> Alphabet:
-        common = [c for c, _ in sorted(Counter(x for t in texts for x in t.lower() if x.isalpha()).items(), key=lambda x: (-x[1], x[0]))]
-        code = {c: i + 2 for i, c in enumerate(common[:MAX_SYMBOLS - 2])}
-        symbols, letters = np.full(65537, SPACE, np.uint8), np.zeros(65537, bool)
-        for i in range(65536):
-            c = chr(i)
-            if c.isalpha():
-                letters[i], symbols[i] = True, code.get(c.lower(), UNKNOWN)
-        symbols[65536] = UNKNOWN
-        return cls(symbols, letters, len(code) + 2)
+        folded = _folded()
+        seen = np.zeros(len(folded), bool)
+        for t in texts:
+            seen[folded[_points(t)]] = True
+        seen[0] = False
+        code = np.zeros(len(folded), np.int32)
+        code[seen] = np.arange(2, 2 + int(seen.sum()))
+        return cls(np.where(folded > 0, code[folded], SPACE).astype(np.int32), folded > 0, int(seen.sum()) + 2)
 
     def encode(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text, runs of spaces as one; whether it has a letter."""
-        points = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 65536)
+        points = _points(text)
         out = self.symbols[points]
         space = out == SPACE
-        some = bool(self.letters[points].any()) or bool((points == 65536).any()) and any(map(str.isalpha, text))
-        return out[~(space & np.append(False, space[:-1]))], some
+        return out[~(space & np.append(False, space[:-1]))], bool(self.letters[points].any())
+
 
+@dataclass
+class Automaton:
+    """Transitions of state ``s`` by symbol ``c`` at ``base[s] + c``, valid where ``owner`` there is ``s``.
+
+    ``root`` holds the state after a phrase's first symbol. The last state has no transitions: a parse is there before its
+    first symbol and after one that the sample lacks.
+    """
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    root: np.ndarray
 
-def automaton(sample: np.ndarray, size: int) -> np.ndarray:
-    """Complete transition table of the suffix automaton of ``sample``; the flag marks the start of a new phrase."""
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more symbol each, and whether it began a phrase."""
+        at = self.base.take(state) + symbol
+        new = self.owner.take(at) != state
+        return np.where(new, self.root.take(symbol), self.target.take(at)), new
+
+
+def automaton(sample: np.ndarray, size: int) -> Automaton:
+    """The suffix automaton of ``sample`` over ``size`` symbols."""
     steps: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -85,27 +121,64 @@ def automaton(sample: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[own] = copy
         last = own
-    root = np.zeros(size, np.int32)
-    for c, t in steps[0].items():
-        root[c] = t
-    table = np.broadcast_to(root | NEW_PHRASE, (len(steps), size)).copy()
-    for s, own in enumerate(steps):
-        table[s, list(own)] = list(own.values())
-    table[:, UNKNOWN] = NEW_PHRASE
-    return table
+    return _placed(steps, size)
+
+
+def _placed(steps: list[dict[int, int]], size: int) -> Automaton:
+    """Rows of transitions shifted so that no two need the same place; the longest rows choose first."""
+    dead = len(steps)
+    root = np.full(size, dead, np.int32)
+    root[list(steps[0])] = list(steps[0].values())
+    total = sum(map(len, steps[1:]))
+    base = np.zeros(dead + 1, np.int32)
+    free = np.ones(3 * size + 2 * total + 4096, bool)
+    placed: list[tuple[int, np.ndarray]] = []
+    rows = sorted((s for s in range(1, dead) if len(steps[s]) > 1), key=lambda s: -len(steps[s]))
+    low, width = size, 0
+    for s in rows:
+        symbols = np.fromiter(steps[s], np.int64)
+        if len(symbols) != width:
+            low, width = size, len(symbols)
+        least = int(symbols.min())
+        while True:
+            if low + 2048 + size > len(free):
+                free = np.append(free, np.ones(len(free), bool))
+            fits = free[low:low + 2048].copy()
+            for c in symbols:
+                if c != least:
+                    fits &= free[low + c - least:low + c - least + 2048]
+            k = int(fits.argmax())
+            if fits[k]:
+                break
+            low += 2048
+        low += k
+        base[s] = low - least
+        at = base[s] + symbols
+        free[at] = False
+        placed.append((s, at))
+    single = [s for s in range(1, dead) if len(steps[s]) == 1]
+    at = size + np.flatnonzero(free[size:])[:len(single)]
+    # Every base may be read with every symbol.
+    owner, target = np.full(len(free) + size, -1, np.int32), np.zeros(len(free) + size, np.int32)
+    for s, own in placed:
+        owner[own], target[own] = s, list(steps[s].values())
+    owner[at], target[at] = single, [next(iter(steps[s].values())) for s in single]
+    base[single] = at - [next(iter(steps[s])) for s in single]
+    end = int(base.max()) + size
+    return Automaton(base, owner[:end], target[:end], root)
 
 
 @dataclass
 class Model:
     languages: list[str]
     alphabet: Alphabet
-    tables: list[np.ndarray]
+    tables: list[Automaton]
     bits: np.ndarray
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language's sample needs for each encoded text."""
         pieces = [max(-(-len(t) // PIECE), 1) for t in texts]
-        codes = np.zeros((sum(pieces), PIECE), np.uint8)
+        codes = np.zeros((sum(pieces), PIECE), np.int32)
         sizes = np.full(len(codes), PIECE)
         ends = np.cumsum(pieces)
         flat = codes.reshape(-1)
@@ -114,25 +187,23 @@ class Model:
             sizes[e - 1] = len(t) - (n - 1) * PIECE
         order = np.argsort(-sizes, kind="stable")
         alive = np.searchsorted(-sizes[order], -np.arange(PIECE), "left")
-        by_step = np.ascontiguousarray(codes[order].T).astype(np.int32)
+        by_step = np.ascontiguousarray(codes[order].T)
         out = np.zeros((len(self.tables), len(texts)), np.int64)
         for k, table in enumerate(self.tables):
-            cells, width = table.reshape(-1), np.int32(table.shape[1])
-            state, count = np.zeros(len(codes), np.int32), (sizes[order] > 0).astype(np.int32)
+            state, count = np.full(len(codes), len(table.base) - 1, np.int32), np.zeros(len(codes), np.int32)
             for step in range(PIECE):
                 n = alive[step]
                 if not n:
                     break
-                to = cells.take(state[:n] * width + by_step[step, :n])
-                count[:n] += to >> 30
-                state[:n] = to & (NEW_PHRASE - 1)
+                state[:n], new = table.step(state[:n], by_step[step, :n])
+                count[:n] += new
             back = np.empty_like(count)
             back[order] = count
             out[k] = np.add.reduceat(back, ends - pieces)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        coded = [self.alphabet.encode(t) if t else (np.zeros(0, np.uint8), False) for t in texts]
+        coded = [self.alphabet.encode(t) if t else (np.zeros(0, np.int32), False) for t in texts]
         if not self.tables or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
         cost = self.phrases([c for c, _ in coded]) * self.bits[:, None]
@@ -149,21 +220,16 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == part, F.lit(True))
 
 
-def _fresh_lines(docs: dict[str, list[str]], per: int) -> dict[str, list[str]]:
-    labels: dict[str, set[str]] = {}
-    for name, own in docs.items():
-        for line in {x for t in own for x in t.split("\n")}:
-            labels.setdefault(line, set()).add(name)
-    out = {}
-    for name, own in docs.items():
-        seen, lines, size = set(), [], 0
-        for line in (x for t in own for x in t.split("\n") if len(labels[x]) == 1):
-            parts = {line[i:i + NEW] for i in range(max(len(line) - NEW + 1, 1))}
-            if size < 2 * per and 2 * len(parts - seen) > max(len(parts), len(line) - NEW):
-                seen |= parts
-                lines.append(line)
-                size += len(line)
-        out[name] = lines
+def _fresh_lines(lines: list[str], per: int) -> list[str]:
+    """Lines most of whose shingles are new, up to twice the sample's size."""
+    seen: set[str] = set()
+    out, size = [], 0
+    for line in lines:
+        parts = {line[i:i + NEW] for i in range(max(len(line) - NEW + 1, 1))}
+        if size < 2 * per and 2 * len(parts - seen) > max(len(parts), len(line) - NEW):
+            seen |= parts
+            out.append(line)
+            size += len(line)
     return out
 
 
@@ -172,17 +238,32 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     Common texts must not crowd out the language: a line is taken if most of it is new to the sample and to itself, and lines
     seen under several labels are left out.
-    Languages are all distinct labels, in order; one whose sampled texts hold no letter is not learned.
+    Sampled documents take part whole: lines longer than STRETCH are cut, and lines are read in the order of their hash.
+    Languages are the distinct labels, in order, the MAX_LABELS commonest if there are more; one whose sampled texts hold no
+    letter is not learned.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30))
-    limit = F.element_at(F.create_map(*[F.lit(v) for name, n in counts.items() for v in (
-        name, min(1 << 30, int((1 << 30) * SAMPLE_DOCS / n) + 1))]), F.col(lang)) if counts else F.lit(0)
-    rows = labelled.where(draw <= limit).select(F.col(lang), draw, F.substring(text, 1, DOC_CHARS)).collect()
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"),
+        F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)).alias("draw"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()}
     per = min(SAMPLE_CHARS, MAX_CHARS // max(len(counts), 1))
-    texts = _fresh_lines({name: [t for n, _, t in sorted(rows, key=tuple) if n == name] for name in sorted(counts)}, per)
-    return build(_own_lines(texts, per), per)
+
+    def with_limit(rows: DataFrame, drawn: str, wanted: float, totals: dict[str, int]) -> DataFrame:
+        """Rows whose draw of ``1 << 30`` lies in their label's share; at most MAX_LABELS labels."""
+        shares = [(name, min(1 << 30, int((1 << 30) * wanted / max(n, 1)) + 1)) for name, n in totals.items()]
+        limits = docs.sparkSession.createDataFrame(shares, "lang string, upto long")
+        return rows.join(F.broadcast(limits), "lang").where(F.col(drawn) <= F.col("upto")).drop("upto")
+
+    parts = with_limit(labelled, "draw", SAMPLE_DOCS, counts).select("lang", F.explode(
+        F.regexp_extract_all("text", F.lit(r"([^\n]{1,%d})" % STRETCH), F.lit(1))).alias("line"))
+    lines = stored(parts.groupBy("line").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other").select(
+        "lang", "line", F.pmod(F.xxhash64(F.lit(12), "line"), F.lit(1 << 30)).alias("place")), "language-lines")
+    sizes = {r[0]: r[1] for r in lines.groupBy("lang").agg(F.sum(F.length("line"))).collect()}
+    rows = with_limit(lines, "place", CHOICE * per, sizes).select("lang", "place", "line").collect()
+    found: dict[str, list[str]] = {name: [] for name in sorted(sizes)}
+    for name, _, line in sorted(map(tuple, rows)):
+        found[name].append(line)
+    return build(_own_lines({name: _fresh_lines(own, per) for name, own in found.items()}, per), per)
 
 
 def build(texts: dict[str, list[str]], per: int = SAMPLE_CHARS) -> Model:

@@ -123,32 +123,46 @@ def test_kneser_ney_empty(spark):
 
 
 def greedy(sample, text):
-    """Phrases of a text by substring search; an unknown character joins the phrase after it."""
+    """Phrases of a text by substring search; an unknown character is a phrase."""
     s = "".join(chr(200 + x) for x in sample)
     phrases = 0
     for start in range(0, len(text), language.PIECE):
-        piece, at = [chr(200 + x) for x in text[start:start + language.PIECE]], 0
-        phrases += 1
-        own = ""
-        while at < len(piece):
-            if own + piece[at] in s:
-                own += piece[at]
+        own = None
+        for c in (chr(200 + x) for x in text[start:start + language.PIECE]):
+            if own is not None and own + c in s:
+                own += c
             else:
                 phrases += 1
-                own = piece[at] if piece[at] in s else ""
-            at += 1
-    return max(phrases, 0)
+                own = c if c in s else None
+    return phrases
 
 
-def test_automaton():
+@pytest.mark.parametrize("kinds", [6, 40, 3000])
+def test_automaton(kinds):
     rng = np.random.default_rng(7)
-    sample, texts = rng.integers(1, 6, 300).astype(np.uint8), [rng.integers(0, 7, n).astype(np.uint8) for n in (1, 5, 512, 513, 1500)]
-    sample[sample == 0] = 1
-    alphabet = language.Alphabet(np.zeros(65537, np.uint8), np.zeros(65537, bool), 8)
-    model = language.Model(["x"], alphabet, [language.automaton(sample, 8)], np.ones(1))
+    sample = rng.integers(1, kinds, 900).astype(np.int32)
+    texts = [rng.integers(0, kinds + 1, n).astype(np.int32) for n in (0, 1, 5, 512, 513, 1500)] + [sample[100:700], np.tile(sample[5:9], 200)]
+    alphabet = language.Alphabet(np.zeros(0x110000, np.int32), np.zeros(0x110000, bool), kinds + 2)
+    model = language.Model(["x"], alphabet, [language.automaton(sample, kinds + 2)], np.ones(1))
     assert model.phrases(texts)[0].tolist() == [greedy(sample, t) for t in texts]
 
 
+def test_languages_of_one_large_script(spark):
+    """Words of thousands of letters; both languages use all of them, also beyond U+FFFF; documents open with a shared passage."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(2500)] + [chr(0x20000 + i) for i in range(500)]
+    words = {name: ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(1500)] for name in ("first", "second")}
+    shared = "\n".join("shared opening words of every page " * 8 + str(i) for i in range(8)) + "\n"
+    rows = [(i, shared + "\n".join(" ".join(rng.choices(words[name], k=12)) for _ in range(6)), name)
+            for i, name in enumerate(["first", "second"] * 300)]
+    docs = spark.createDataFrame([*rows, *[(1000 + i, "short and odd", f"label {i}") for i in range(5)]], "doc_id long, text string, lang string")
+    model = language.learn(docs.where(~language.held_out()))
+    tests = spark.createDataFrame([(i, " ".join(rng.choices(words[name], k=20)), name) for i, name in enumerate(["first", "second"] * 100)],
+                                  "doc_id long, text string, lang string")
+    got = language.identify(tests, model).join(tests.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.99
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.learn(docs.where(~language.held_out()))
