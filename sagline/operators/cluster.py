@@ -17,6 +17,8 @@ from sagline.operators.grid import AXES, LEAF_PAIRS, link_join, linking_cells
 BY = ("cloud_id",)
 # Once a graph has shrunk to this many edges in total it is finished in one task per cloud.
 LOCAL_EDGES = 200_000
+# A node with more edges than this, and than its share of all edges that bounds the number of such nodes, is a hub.
+HUB_EDGES = 10_000
 
 
 def _finish(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
@@ -42,7 +44,9 @@ def connected_components(edges: DataFrame, by: Sequence[str] = BY, a: str = "nod
     """``by..., node, component`` for all nodes that have an edge; the component is its least node.
 
     Alternating large-star and small-star rounds, each of which keeps components intact and halves
-    path lengths. A graph of no more than ``local_edges`` edges is finished directly.
+    path lengths. A graph of no more than ``local_edges`` edges is finished directly. The edges of a
+    hub never meet in one task: they stay where they are and learn the hub's least neighbour from a
+    broadcast table, which has at most ``session.BROADCAST_ROWS`` rows as there are no more hubs.
     """
     by = list(by)
     local_edges = LOCAL_EDGES if local_edges is None else local_edges
@@ -58,22 +62,36 @@ def connected_components(edges: DataFrame, by: Sequence[str] = BY, a: str = "nod
         if state == (size, mark):
             break
         state = (size, mark)
-        e = session.cut_lineage(_small_star(_large_star(e, by), by))
+        e = session.cut_lineage(_small_star(_large_star(e, by, size), by, size))
     leaves = e.select(*by, F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(e.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _large_star(e: DataFrame, by: list[str]) -> DataFrame:
+def hub_degree(edges: int) -> int:
+    """Degree above which a node of a graph is a hub; fewer than ``session.BROADCAST_ROWS`` nodes can exceed it."""
+    return max(HUB_EDGES, 2 * edges // session.BROADCAST_ROWS)
+
+
+def with_least(e: DataFrame, low: DataFrame, by: list[str], edges: int) -> DataFrame:
+    """Add to the edges of ``e`` the value ``m`` of their node ``u``; ``low`` has ``by..., u, m, degree``."""
+    on, limit = [*by, "u"], hub_degree(edges)
+    hubs = low.where(F.col("degree") > limit).select(*on, F.col("m").alias("_hub"))
+    marked = e.join(F.broadcast(hubs), on, "left")
+    rest = marked.where("_hub IS NULL").drop("_hub").join(low.where(F.col("degree") <= limit).drop("degree"), on)
+    return marked.where("_hub IS NOT NULL").withColumnRenamed("_hub", "m").unionByName(rest)
+
+
+def _large_star(e: DataFrame, by: list[str], edges: int) -> DataFrame:
     """Link every larger neighbour of a node to the least node around it."""
     both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(*by, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy(*by, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    return with_least(both.where("v > u"), low, by, edges).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame, by: list[str]) -> DataFrame:
-    """Link every node and its smaller neighbours to the least of them."""
-    low = e.groupBy(*by, "u").agg(F.min("v").alias("m"))
-    moved = e.join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+def _small_star(e: DataFrame, by: list[str], edges: int) -> DataFrame:
+    """Link every node and its smaller neighbours to the least of them; a star round adds no edges."""
+    low = e.groupBy(*by, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    moved = with_least(e, low, by, edges).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(low.select(*by, "u", F.col("m").alias("v"))).distinct()
 
 

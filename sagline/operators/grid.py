@@ -385,14 +385,35 @@ def link_join(points: DataFrame, distance: float, by: Sequence[str] = BY, x: str
 
 # --- nearest point -----------------------------------------------------------------------------
 
+def pyramid(boxes: DataFrame, by: list[str], dims: Sequence[str], fan: int = 8, levels: int | None = None) -> list[DataFrame]:
+    """Boxes ``by..., k*, lo*, hi*`` and ever coarser ones, the last with at most two boxes per cloud and dimension.
+
+    Cells that are less than ``fan ** n`` apart fall into one coarse cell or two neighbours after ``n`` steps. All but the
+    finest are stored; those of few rows are marked for broadcast.
+    """
+    if levels is None:
+        spans = boxes.groupBy(*by).agg(*[(F.max(f"k{a}") - F.min(f"k{a}")).alias(f"k{a}") for a in dims])
+        width = max((v for v in spans.agg(*[F.max(f"k{a}") for a in dims]).first() if v is not None), default=0)
+        levels = 1
+        while fan ** (levels - 1) < width:
+            levels += 1
+    grids = [boxes]
+    for _ in range(levels - 1):
+        up = grids[-1].withColumns({f"k{a}": F.floor(F.col(f"k{a}") / fan).cast("long") for a in dims})
+        grids.append(session.sized(up.groupBy(*by, *[f"k{a}" for a in dims]).agg(
+            *[F.min(f"lo{a}").alias(f"lo{a}") for a in dims], *[F.max(f"hi{a}").alias(f"hi{a}") for a in dims])))
+    return grids
+
+
 def nearest_join(queries: DataFrame, targets: DataFrame, by: Sequence[str] = BY, query: str = "q_id",
-                 x: str = "x", y: str = "y", z: str = "z", side: float = 1.0, levels: int = 5, fan: int = 8,
+                 x: str = "x", y: str = "y", z: str = "z", side: float = 1.0, levels: int | None = None, fan: int = 8,
                  metric: str = "3d") -> DataFrame:
     """``by..., query, dist, nx, ny, nz, n_id``: the target nearest to each query (least id on ties).
 
-    Targets are boxed on ``levels`` grids of sides ``side * fan^level``. Going from the coarsest
-    grid down, each query keeps the boxes that may hold something nearer than the best box
-    certainly does, so only a few cells' points are compared. ``metric="vertical"`` looks for the
+    Targets are boxed on grids of sides ``side * fan^level``, as many as it takes until a cloud has
+    at most eight boxes, or ``levels``. Going from the coarsest grid down, each query keeps the
+    boxes that may hold something nearer than the best box certainly does, so only a few cells'
+    points are compared. Grids of few rows are broadcast, so queries stay in place on them. ``metric="vertical"`` looks for the
     nearest in plan and reports the height difference. Queries in a cloud without targets have no
     row.
     """
@@ -405,12 +426,8 @@ def nearest_join(queries: DataFrame, targets: DataFrame, by: Sequence[str] = BY,
     t = t.withColumns({f"k{a}": cell(a, side) for a in dims})
     boxes = t.groupBy(*by, *[f"k{a}" for a in dims]).agg(
         *[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in dims])
-    boxes = session.cut_lineage(boxes)
-    grids = [boxes]
-    for _ in range(levels - 1):
-        up = grids[-1].withColumns({f"k{a}": F.floor(F.col(f"k{a}") / fan).cast("long") for a in dims})
-        grids.append(up.groupBy(*by, *[f"k{a}" for a in dims]).agg(
-            *[F.min(f"lo{a}").alias(f"lo{a}") for a in dims], *[F.max(f"hi{a}").alias(f"hi{a}") for a in dims]))
+    grids = pyramid(session.cut_lineage(boxes), by, dims, fan, levels)
+    levels = len(grids)
     q = _xyz(queries, by, x, y, z, query).select(*by, query, *[F.col(a).alias(f"q{a}") for a in AXES])
 
     least, most = F.lit(0.0), F.lit(0.0)

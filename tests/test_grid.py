@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from sagline import session
 from sagline.operators import cluster, grid, shape
 
 
@@ -175,3 +177,63 @@ def test_a_point_is_sent_about_twice_by_one_exchange(spark):
     assert sent.where("_own").count() == len(p) and sent.count() < 2.1 * len(p)
     plan = shape.local_covariance(df, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("hub", [20, 10_000])
+def test_hubs_do_not_gather(spark, monkeypatch, hub):
+    """Components with hubs of both kinds: far larger and far smaller than their neighbours."""
+    monkeypatch.setattr(cluster, "HUB_EDGES", hub)
+    rng = np.random.default_rng(12)
+    pairs_ = [(0, i) for i in range(1, 300)] + [(5000, i) for i in range(1000, 1300)] + [(i, i + 1) for i in range(2000, 2060)]
+    pairs_ += [(5000, 5001), (7000, 7001), (7001, 7000), (8000, 8000)]
+    rng.shuffle(pairs_)
+    edges = spark.createDataFrame([(c, int(a), int(b)) for c in ("p", "q") for a, b in pairs_], "cloud_id string, node_a long, node_b long")
+    got = cluster.connected_components(edges, local_edges=0).toPandas()
+    want = {**{i: 0 for i in range(300)}, **{i: 1000 for i in [*range(1000, 1300), 5000, 5001]}, **{i: 2000 for i in range(2000, 2061)}, 7000: 7000, 7001: 7000}
+    for c in ("p", "q"):
+        mine = got[got.cloud_id == c]
+        assert dict(zip(mine.node, mine.component)) == want and len(mine) == len(want)
+
+
+def test_a_star_is_spread_over_the_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = 200_000
+        star = spark.range(1, n + 1, numPartitions=8).select(F.lit("c").alias("cloud_id"), F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+        low = star.groupBy("cloud_id", "u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        met = cluster.with_least(star, low, ["cloud_id"], n)
+        rows = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows) == n and max(rows) <= 2 * sorted(rows)[len(rows) // 2]
+        assert met.where("m <> 0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # No more hubs than may be broadcast, however many edges there are.
+    for edges in (1, 10 ** 6, 10 ** 13):
+        assert 2 * edges / (cluster.hub_degree(edges) + 1) < session.BROADCAST_ROWS
+
+
+def test_top_of_the_pyramid(spark):
+    """A 2 km cube in cells of a centimetre: at most eight boxes per cloud at the top, and the queries are not exchanged for it."""
+    rng = np.random.default_rng(8)
+    t = pd.DataFrame(rng.uniform(-1000, 1000, (3000, 3)), columns=list("xyz"))
+    t.insert(0, "cloud_id", np.where(np.arange(3000) % 3 == 0, "a", "b"))
+    t.insert(1, "point_id", np.arange(3000, dtype="int64"))
+    t.loc[t.cloud_id == "b", ["x", "y"]] += 292600.0
+    boxes = spark.createDataFrame(t).selectExpr("cloud_id", *[f"cast(floor({a} / 0.01) as long) as k{a}" for a in "xyz"],
+                                                *[f"{a} as lo{a}" for a in "xyz"], *[f"{a} as hi{a}" for a in "xyz"])
+    grids = grid.pyramid(boxes, ["cloud_id"], "xyz")
+    assert len(grids) == 7
+    assert all(r["count"] <= 8 for r in grids[-1].groupBy("cloud_id").count().collect())
+    q = pd.DataFrame(rng.uniform(-1200, 1200, (60, 3)), columns=list("xyz"))
+    q.insert(0, "cloud_id", "a")
+    q.insert(1, "q_id", np.arange(60, dtype="int64"))
+    found = grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(t), side=0.01)
+    a = t[t.cloud_id == "a"]
+    d2 = ((q[list("xyz")].to_numpy()[:, None] - a[list("xyz")].to_numpy()[None]) ** 2).sum(-1)
+    got = found.toPandas().set_index("q_id").sort_index()
+    assert (got.n_id.to_numpy() == a.point_id.to_numpy()[d2.argmin(1)]).all()
+    assert np.allclose(got.dist, np.sqrt(d2.min(1)))
+    # One cell, and no targets at all.
+    one = grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(a.head(1)), side=1e6).toPandas()
+    assert set(one.n_id) == {int(a.point_id.iloc[0])} and len(one) == 60
+    assert grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(a).limit(0)).count() == 0
