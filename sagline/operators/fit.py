@@ -1,4 +1,8 @@
-"""Least-squares fits per group, from power sums: the points are read once and never collected."""
+"""Least-squares fits per group, from power sums: the points are read once and never collected.
+
+Where a curve leaves almost nothing of the variance, the difference of power sums that gives the residuals is rounding noise;
+the points of such groups, and only those, are read a second time to sum their residuals.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sagline import session
 from sagline.functions import moments as M
 from sagline.functions.geometry import acos_deg, real_points, sym3_eigen
 
 BY = ("cloud_id", "seg_id")
+# Residuals below this share of the variance are summed from the points.
+CLOSE = 1e-6
+# A point's coordinate of a fit, of a group's ``_f``: the easting, or the distance along its axis.
+EASTING, ALONG = "(_x - _f.mx)", "((_x - _f.mx) * _f.c + (_y - _f.my) * _f.s)"
 
 
 def frames(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
@@ -43,6 +52,30 @@ def frame_parabola(g: DataFrame, scaled: bool = False) -> DataFrame:
                       "m002", scaled)
 
 
+def summed_residuals(g: DataFrame, points: DataFrame, by: Sequence[str], coefficients: Sequence[str], at: str,
+                     x: str, y: str, z: str) -> DataFrame:
+    """``g`` with ``sse`` summed from the points for groups whose curve is close to all of them.
+
+    ``coefficients`` are SQL texts over ``g``, lowest power first, of z about its mean; ``at`` is the coordinate they apply to.
+    """
+    by = list(by)
+    flat = at == EASTING
+    names = ["n", "mx", "mz", *([] if flat else ["my", "c", "s"])]
+    close = session.cut_lineage(g.where(F.col("sse") < CLOSE * F.col("m002")).select(*by, F.struct(
+        *names, "sd", *[F.expr(c).alias(f"b{i}") for i, c in enumerate(coefficients)]).alias("_f")))
+    groups = close.limit(session.BROADCAST_ROWS + 1).count()
+    if not groups:
+        return g
+    axes = (x, z) if flat else (x, y, z)
+    own = real_points(points, *axes).select(*by, *[F.col(c).cast("double").alias(f"_{a}") for a, c in zip("xz" if flat else "xyz", axes)])
+    met = own.join(F.broadcast(close) if groups <= session.BROADCAST_ROWS else close, by)
+    curve = " + ".join(f"_f.b{i} * {M.product(['_t'], (i,))}" for i in range(len(coefficients)))
+    met = met.withColumn("_t", F.expr(at)).withColumn("_r", F.expr(f"_z - _f.mz - ({curve})"))
+    # The mean residual is the rounding of the means, not of the fit.
+    found = met.groupBy(*by).agg(F.greatest(F.lit(0.0), F.sum(F.col("_r") * F.col("_r")) - F.sum("_r") * F.avg("_r")).alias("_sse"))
+    return session.attach(g, found, by, "left").withColumn("sse", F.coalesce("_sse", "sse")).drop("_sse")
+
+
 def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "z", axis: str = "x", y: str = "y",
              degree: int = 2, tile: float = 8.0) -> DataFrame:
     """``by..., n, p, normr, df, rsq, mu_mean, mu_std``: z on x, with x centred and scaled.
@@ -54,7 +87,7 @@ def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "
     if degree not in (1, 2):
         raise ValueError("degree must be 1 or 2")
     if axis == "along":
-        g = frame_parabola(frames(points, by, x, y, z, tile=tile), scaled=True).withColumn("mx", F.lit(0.0))
+        g = frame_parabola(frames(points, by, x, y, z, tile=tile), scaled=True)
         lin, sq, szz = F.expr(M.directed(1, 1)), F.expr(M.directed(2, 0)), F.col("m002")
     elif axis == "x":
         g = M.group_moments(points, by, M.PROFILE, x, y, z, tile)
@@ -69,10 +102,12 @@ def polyfit2(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "
                            "sse": F.when(slope.isNotNull(), F.when(rest < 0, 0.0).otherwise(rest))})
     else:
         g = g.withColumn("p", F.when(F.col("q2").isNotNull(), F.array("q2", "q1", F.col("q0") + F.col("mz"))))
+    curve = ("0D", "p[0] / sd") if degree == 1 else ("q0", "q1 / sd", "q2 / (sd * sd)")
+    g = summed_residuals(g, points, by, curve, EASTING if axis == "x" else ALONG, x, y, z)
     return g.select(
         *by, F.col("n").cast("long").alias("n"), "p", F.sqrt("sse").alias("normr"),
         (F.col("n") - (degree + 1)).alias("df"), F.when(szz > 0, 1.0 - F.col("sse") / szz).alias("rsq"),
-        F.col("mx").alias("mu_mean"), F.col("sd").alias("mu_std"))
+        (F.col("mx") if axis == "x" else F.lit(0.0)).alias("mu_mean"), F.col("sd").alias("mu_std"))
 
 
 def r_squared(points: DataFrame, by: Sequence[str] = BY, x: str = "x", z: str = "z") -> DataFrame:
@@ -91,6 +126,7 @@ def fit_rmse(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "
              tile: float = 8.0) -> DataFrame:
     """``by..., n, rmse`` of the degree-2 fit in the group's own frame; 10 below ten points."""
     g = frame_parabola(frames(points, by, x, y, z, tile=tile))
+    g = summed_residuals(g, points, by, ("q0", "q1", "q2"), ALONG, x, y, z)
     return g.select(*by, F.col("n").cast("long").alias("n"),
                     F.when(F.col("n") < 10, 10.0).otherwise(F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"))
 

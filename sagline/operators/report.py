@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sagline.functions.text import filled
 from sagline.operators.grid import nearest_join
 
 BY = ("cloud_id", "wire_id")
@@ -61,14 +62,14 @@ def wire_report(wires: DataFrame, wire: str = "wire_id", clearance: str | None =
     c = F.col
     told = lambda name: c(name).isNotNull() & (c(name) != 0)
     lines = [
-        F.format_string(TITLE, c(wire).cast("int") + 1),
-        F.when((F.size("p") >= 3) & c("p")[2].isNotNull(), F.format_string(COEFFICIENTS, c("p")[0], c("p")[1], c("p")[2])).otherwise(NO_COEFFICIENTS),
-        F.when(told("normr") & told("df") & told("rsq"), F.format_string(QUALITY, c("normr"), c("df").cast("long"), c("rsq")))
-        .when(told("normr") & told("df"), F.format_string(QUALITY_SHORT, c("normr"), c("df").cast("long"))),
-        F.when(told("mu_mean") & told("mu_std"), F.format_string(CENTRE, c("mu_mean"), c("mu_std"))),
+        filled(TITLE, f"cast({wire} AS int) + 1"),
+        F.when((F.size("p") >= 3) & c("p")[2].isNotNull(), filled(COEFFICIENTS, "p[0]", "p[1]", "p[2]")).otherwise(NO_COEFFICIENTS),
+        F.when(told("normr") & told("df") & told("rsq"), filled(QUALITY, "normr", "cast(df AS bigint)", "rsq"))
+        .when(told("normr") & told("df"), filled(QUALITY_SHORT, "normr", "cast(df AS bigint)")),
+        F.when(told("mu_mean") & told("mu_std"), filled(CENTRE, "mu_mean", "mu_std")),
     ]
     text = F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
     text = F.when(c("p").isNull() & c("df").isNull(), F.lit(NO_FIT)).otherwise(text)
     if clearance:
-        text = F.concat(text, F.when(c(clearance).isNotNull(), F.concat(F.lit("\n"), F.format_string(CLEARANCE, c(clearance)))).otherwise(""))
+        text = F.concat(text, F.when(c(clearance).isNotNull(), F.concat(F.lit("\n"), filled(CLEARANCE, clearance))).otherwise(""))
     return wires.withColumn("report", text)

@@ -2,7 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from golden import WIRES
+from pyspark.sql import functions as F
 
+from sagline.functions.text import fixed
 from sagline.operators import catenary, fit, generate, report, shape
 from sagline.operators import segments as seg_ops
 
@@ -211,3 +213,56 @@ def test_ladders_halve_the_reads(spark, monkeypatch):
     got = catenary.fit_catenary(spark.createDataFrame(pd.concat(rows))).toPandas().set_index("wire_id")
     assert got.converged.all() and np.allclose(got.a[[0, 1, 2, 3]], [300, 80, 900, 45], rtol=1e-6) and np.allclose(got.b[[0, 1, 2, 3]], [20, 30, -10, 25], atol=1e-4)
     assert len(reads) <= 8
+
+
+@pytest.mark.parametrize("axis,degree", [("x", 2), ("along", 2), ("x", 1)])
+def test_residuals_of_very_good_fits(spark, axis, degree):
+    """Noise of 1e-7 m on a curve of metres at projected coordinates, beside an ordinary group and one without noise."""
+    rng = np.random.default_rng(21)
+    parts = []
+    for i, noise in enumerate((1e-7, 0.1, 0.0)):
+        u = rng.uniform(-150, 150, 4000)
+        z = 300.0 + 0.02 * u + (1e-3 * u * u if degree == 2 else 0.0)
+        parts.append(pd.DataFrame({"cloud_id": "c", "wire_id": i, "mx": "a clashing name", "x": 292600.0 + u * 0.8, "y": 3500000.0 + u * 0.6,
+                                   "z": z + noise * rng.normal(size=4000)}))
+    points = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(points).repartition(4)
+    got = fit.polyfit2(df, WIRE, axis=axis, degree=degree).toPandas().set_index("wire_id").sort_index()
+    if axis == "along":
+        rmse = fit.fit_rmse(df, WIRE, "x", "y", "z").toPandas().set_index("wire_id").sort_index()
+    for i in (0, 1):
+        own = points[points.wire_id == i]
+        g = shape_frame(own) if axis == "along" else own.x.to_numpy() - 292600.0
+        zc = own.z.to_numpy() - 300.0
+        g = (g - g.mean()) / g.std()
+        basis = np.vander(g, degree + 1)
+        want = np.linalg.norm(zc - basis @ np.linalg.lstsq(basis, zc, rcond=None)[0])
+        assert np.isclose(got.normr[i], want, rtol=1e-3)
+        if axis == "along":
+            assert np.isclose(rmse.rmse[i], want / np.sqrt(len(own)), rtol=1e-3)
+    assert got.normr[2] < 1e-10 * np.sqrt(4000) * 100 and (got.df == 4000 - degree - 1).all()
+
+
+def shape_frame(own):
+    """Coordinates along the axis: its angle is that between the spatial axis and X."""
+    xyz = own[["x", "y", "z"]].to_numpy()
+    xyz = xyz - xyz.mean(0)
+    ex = np.linalg.eigh(np.cov(xyz.T))[1][:, -1]
+    ex = ex if ex[1] >= 0 else -ex
+    a = np.arccos(ex[0])
+    return xyz[:, 0] * np.cos(a) + xyz[:, 1] * np.sin(a)
+
+
+@pytest.mark.parametrize("digits", [0, 3, 4, 6])
+def test_numbers_as_text(spark, digits):
+    rng = np.random.default_rng(30 + digits)
+    values = [*(rng.normal(size=25_000) * 10.0 ** rng.integers(-8, 9, 25_000)), 0.0, -0.0, -1e-9, 1e-300, 5e-324, 0.9999996, 999.9999999, -0.9995,
+              2.0 ** 53 + 2, 1e18, float("inf"), float("-inf"), float("nan")]
+    # Every tie with up to nine binary places, its neighbours, and decimal halves that are no ties.
+    ties = [(2 * k + 1) / 2.0 ** b for b in range(1, 10) for k in range(-300, 300)]
+    values += ties + list(np.nextafter(ties, np.inf)) + list(np.nextafter(ties, -np.inf)) + [k / 10 ** digits + 0.5 / 10 ** digits for k in range(3000)]
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(values)), "v": values}))
+    got = df.select("i", F.expr(fixed("v", digits)).alias("t")).toPandas().set_index("i").t
+    wrong = [(v, got[i]) for i, v in enumerate(values) if got[i] != f"{v:.{digits}f}"]
+    assert not wrong, wrong[:5]
+    assert spark.sql("SELECT cast(NULL AS double) AS v").select(F.expr(fixed("v", digits))).first()[0] is None
