@@ -339,3 +339,58 @@ SELECT CAST(user_id AS VARCHAR) AS cloud_id, CAST(row_number() OVER (PARTITION B
   CASE WHEN event_id % 2 = 0 THEN 2::DOUBLE ELSE 4::DOUBLE END AS mu_std
 FROM events
 """
+
+
+# --- passes, as a scan over the gates in order ----------------------------------------------------
+
+def curve_of(points: str) -> str:
+    """The parabola of a list of ``{u, v}``: centre, scale and coefficients as a struct, null without three places."""
+    t = "(p.u - m.um) / m.sd"
+    return f"""list_transform(list_transform([{points}], lambda q: {{'q': q, 'um': list_avg(list_transform(q, lambda p: p.u)),
+  'sd': list_stddev_samp(list_transform(q, lambda p: p.u)), 'n': len(q)::DOUBLE}}), lambda m: {{'um': m.um, 'sd': m.sd, 'n': m.n,
+  's1': list_sum(list_transform(m.q, lambda p: {t})), 's2': list_sum(list_transform(m.q, lambda p: pow({t}, 2))),
+  's3': list_sum(list_transform(m.q, lambda p: pow({t}, 3))), 's4': list_sum(list_transform(m.q, lambda p: pow({t}, 4))),
+  't0': list_sum(list_transform(m.q, lambda p: p.v)), 't1': list_sum(list_transform(m.q, lambda p: p.v * {t})),
+  't2': list_sum(list_transform(m.q, lambda p: p.v * pow({t}, 2)))}})[1]"""
+
+
+def merge_passes(passes: int, line: float, curve: float, height: float, seed: int = 10) -> str:
+    """``k1``, ``k2`` ...: the segments after each pass; every gate is tried in the order of seed and candidate."""
+    steps = ["p0 AS (SELECT seg_id, x, y, z FROM seg), k0 AS (SELECT seg_id, pos, count, ord FROM rk)"]
+    for i in range(passes):
+        steps.append(f"""
+fr{i} AS (WITH {axis(f'p{i}')} SELECT seg_id, ord, axis.n, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s, slope
+  FROM axis JOIN k{i} USING (seg_id) JOIN (SELECT seg_id, regr_slope(y, x) AS slope FROM p{i} GROUP BY seg_id) USING (seg_id)),
+ed{i} AS (SELECT a.seg_id AS a, b.seg_id AS b, row_number() OVER (ORDER BY a.ord, b.ord) AS i, a.mx, a.my, a.mz, a.c, a.s
+  FROM fr{i} a JOIN fr{i} b ON a.ord < b.ord AND a.n >= {seed}
+  AND abs(a.my + a.slope * (b.mx - a.mx) - b.my) < {line} AND abs(a.mz - b.mz) < {height}),
+cand{i} AS MATERIALIZED (SELECT i, a, b, list({{'u': (x - mx) * c + (y - my) * s, 'v': z - mz}}) AS q
+  FROM ed{i} JOIN p{i} ON seg_id = b GROUP BY i, a, b),
+own{i} AS MATERIALIZED (SELECT seg_id AS a, list({{'u': (x - mx) * c + (y - my) * s, 'v': z - mz}}) AS q
+  FROM fr{i} JOIN p{i} USING (seg_id) WHERE seg_id IN (SELECT a FROM ed{i}) GROUP BY seg_id),
+rec{i} AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS a, NULL::BIGINT AS b, false AS took, []::BIGINT[] AS gone, NULL::STRUCT(u DOUBLE, v DOUBLE)[] AS mine
+  UNION ALL
+  SELECT i, a, b, took, CASE WHEN took THEN list_append(gone, b) ELSE gone END, CASE WHEN took THEN list_concat(mine, q) ELSE mine END
+  FROM (SELECT *, NOT list_contains(gone, a) AND NOT list_contains(gone, b) AND coalesce(list_max(list_transform(q, lambda p: abs(
+          f.c2 * pow((p.u - f.um) / f.sd, 2) + f.c1 * (p.u - f.um) / f.sd + f.c0 - p.v))) < {curve}, false) AS took
+    FROM (SELECT *, {{'um': g.um, 'sd': g.sd,
+            'c2': (g.t2 * (g.s2*g.n - g.s1*g.s1) - g.s3 * (g.t1*g.n - g.s1*g.t0) + g.s2 * (g.t1*g.s1 - g.s2*g.t0)) / det,
+            'c1': (g.s4 * (g.t1*g.n - g.s1*g.t0) - g.t2 * (g.s3*g.n - g.s1*g.s2) + g.s2 * (g.s3*g.t0 - g.t1*g.s2)) / det,
+            'c0': (g.s4 * (g.s2*g.t0 - g.t1*g.s1) - g.s3 * (g.s3*g.t0 - g.t1*g.s2) + g.t2 * (g.s3*g.s1 - g.s2*g.s2)) / det}} AS f
+      FROM (SELECT *, nullif(g.s4 * (g.s2*g.n - g.s1*g.s1) - g.s3 * (g.s3*g.n - g.s1*g.s2) + g.s2 * (g.s3*g.s1 - g.s2*g.s2), 0) AS det
+        FROM (SELECT *, {curve_of('mine')} AS g
+          FROM (SELECT c.i, c.a, c.b, c.q, r.gone, CASE WHEN r.a = c.a THEN r.mine ELSE o.q END AS mine
+                FROM rec{i} r JOIN cand{i} c ON c.i = r.i + 1 JOIN own{i} o ON o.a = c.a)))))),
+got{i} AS MATERIALIZED (SELECT a AS into_id, b AS seg_id FROM rec{i} WHERE took),
+left{i} AS (SELECT seg_id, row_number() OVER (ORDER BY pos) AS pos, k.count + coalesce(gain, 0) AS count FROM k{i} k LEFT JOIN (
+    SELECT into_id, sum(count) AS gain FROM got{i} JOIN k{i} USING (seg_id) GROUP BY into_id) ON into_id = seg_id
+  WHERE seg_id NOT IN (SELECT seg_id FROM got{i})),
+k{i + 1} AS MATERIALIZED (SELECT l.seg_id, l.pos, l.count::BIGINT AS count, row_number() OVER (ORDER BY k.count DESC, l.pos) AS ord
+  FROM left{i} l JOIN k{i} k ON k.pos = l.pos),
+p{i + 1} AS MATERIALIZED (SELECT coalesce(into_id, seg_id) AS seg_id, x, y, z FROM p{i} LEFT JOIN got{i} USING (seg_id))""")
+    return f"WITH RECURSIVE {SEG}, {RANK}, " + ",".join(steps) + f" SELECT seg_id, pos, count, ord FROM k{passes}"
+
+
+oracle("merge_pass", merge_passes(1, 0.5, 260.0, 40.0))
+oracle("merge_segments", merge_passes(3, 0.5, 260.0, 40.0))
