@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from checks.tables import PARAMS
 from sagline.operators.classes import CLASS_NAMES
+from sagline.schema import Params
 
 ORACLES: dict[str, str] = {}
 
@@ -355,14 +357,18 @@ def curve_of(points: str) -> str:
 
 
 def merge_passes(passes: int, line: float, curve: float, height: float, seed: int = 10) -> str:
-    """``k1``, ``k2`` ...: the segments after each pass; every gate is tried in the order of seed and candidate."""
+    """``k1``, ``k2`` ... and ``p1``, ``p2`` ...: segments and points after each pass over ``seg`` and ``rk``.
+
+    Every gate is tried in the order of seed and candidate.
+    """
     steps = ["p0 AS (SELECT seg_id, x, y, z FROM seg), k0 AS (SELECT seg_id, pos, count, ord FROM rk)"]
     for i in range(passes):
         steps.append(f"""
 fr{i} AS (WITH {axis(f'p{i}')} SELECT seg_id, ord, axis.n, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s, slope
   FROM axis JOIN k{i} USING (seg_id) JOIN (SELECT seg_id, regr_slope(y, x) AS slope FROM p{i} GROUP BY seg_id) USING (seg_id)),
+mean{i} AS (SELECT seg_id, ord, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p{i} JOIN k{i} USING (seg_id) GROUP BY seg_id, ord),
 ed{i} AS (SELECT a.seg_id AS a, b.seg_id AS b, row_number() OVER (ORDER BY a.ord, b.ord) AS i, a.mx, a.my, a.mz, a.c, a.s
-  FROM fr{i} a JOIN fr{i} b ON a.ord < b.ord AND a.n >= {seed}
+  FROM fr{i} a JOIN mean{i} b ON a.ord < b.ord AND a.n >= {seed}
   AND abs(a.my + a.slope * (b.mx - a.mx) - b.my) < {line} AND abs(a.mz - b.mz) < {height}),
 cand{i} AS MATERIALIZED (SELECT i, a, b, list({{'u': (x - mx) * c + (y - my) * s, 'v': z - mz}}) AS q
   FROM ed{i} JOIN p{i} ON seg_id = b GROUP BY i, a, b),
@@ -389,8 +395,39 @@ left{i} AS (SELECT seg_id, row_number() OVER (ORDER BY pos) AS pos, k.count + co
 k{i + 1} AS MATERIALIZED (SELECT l.seg_id, l.pos, l.count::BIGINT AS count, row_number() OVER (ORDER BY k.count DESC, l.pos) AS ord
   FROM left{i} l JOIN k{i} k ON k.pos = l.pos),
 p{i + 1} AS MATERIALIZED (SELECT coalesce(into_id, seg_id) AS seg_id, x, y, z FROM p{i} LEFT JOIN got{i} USING (seg_id))""")
-    return f"WITH RECURSIVE {SEG}, {RANK}, " + ",".join(steps) + f" SELECT seg_id, pos, count, ord FROM k{passes}"
+    return ",".join(steps)
+
+
+oracle("merge_pass", f"WITH RECURSIVE {SEG}, {RANK}, {merge_passes(1, 0.5, 260.0, 40.0)} SELECT seg_id, pos, count, ord FROM k1")
+oracle("merge_segments", f"WITH RECURSIVE {SEG}, {RANK}, {merge_passes(3, 0.5, 260.0, 40.0)} SELECT seg_id, pos, count, ord FROM k3")
 
 
-oracle("merge_pass", merge_passes(1, 0.5, 260.0, 40.0))
-oracle("merge_segments", merge_passes(3, 0.5, 260.0, 40.0))
+def linked(src: str, distance: float, out: str) -> str:
+    """``out``: the points of ``src`` with the least point id that a chain of short steps reaches."""
+    return f"""
+e_{out} AS (SELECT a.point_id AS u, b.point_id AS v FROM {src} a, {src} b
+  WHERE pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2) <= {distance} * {distance}),
+w_{out}(point_id, root) AS (SELECT point_id, point_id FROM {src} UNION SELECT v, root FROM w_{out} JOIN e_{out} ON u = w_{out}.point_id WHERE root < v),
+{out} AS MATERIALIZED (SELECT s.*, label FROM {src} s JOIN (SELECT point_id, min(root) AS label FROM w_{out} GROUP BY point_id) USING (point_id))"""
+
+
+def extraction(p: Params) -> str:
+    """``wires`` (seg_id, wire_id, count, length) and ``onwire`` (wire_id, x, y, z) of the cloud."""
+    near = f"pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2) <= {p.radius} * {p.radius}"
+    return f"""WITH RECURSIVE {PC}, up AS MATERIALIZED (WITH {threshold('pc')} SELECT pc.point_id, x, y, z FROM pc, thr WHERE z > threshold),
+near AS (SELECT a.point_id AS q_id, b.x, b.y, b.z FROM up a, up b WHERE {near}),
+lined AS MATERIALIZED (WITH {SHAPE} SELECT up.* FROM up JOIN shape USING (point_id) WHERE slope < {p.angle} AND linearity > {p.linearity}),
+{linked('lined', p.cluster_distance, 'coarse')},
+big AS (SELECT point_id, x, y, z FROM coarse WHERE label IN (SELECT label FROM coarse GROUP BY label HAVING count(*) >= {p.min_cluster})),
+{linked('big', p.segment_distance, 'fine')},
+seg AS MATERIALIZED (SELECT label AS seg_id, x, y, z FROM fine), {RANK}, {merge_passes(p.merge_passes, p.merge_line, p.merge_curve, p.merge_height, p.merge_seed)},
+len AS (WITH {axis(f'p{p.merge_passes}')} SELECT seg_id, CASE WHEN any_value(n) < 3 THEN 0 ELSE
+    max((x - mx) * cos(radians(angle)) + (y - my) * sin(radians(angle))) - min((x - mx) * cos(radians(angle)) + (y - my) * sin(radians(angle))) END AS length
+  FROM p{p.merge_passes} JOIN axis USING (seg_id) GROUP BY seg_id),
+wires AS MATERIALIZED (SELECT seg_id, (row_number() OVER (ORDER BY pos) - 1)::INT AS wire_id, count, length
+  FROM k{p.merge_passes} JOIN len USING (seg_id) WHERE length >= {p.min_length}),
+onwire AS MATERIALIZED (SELECT wire_id, x, y, z FROM p{p.merge_passes} JOIN wires USING (seg_id))"""
+
+
+oracle("extract_lines", f"""{extraction(PARAMS)}, {fit('onwire', 'wire_id', 'x', 'z')}
+SELECT wire_id, count, {r('length', 4)}, n - 3 AS df, {r('1 - sse / sst', 4, 'rsq')} FROM wires JOIN fit ON wire_id = k""")

@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.tables import cloud, lots, segments, table, wires
+from checks.tables import PARAMS, cloud, lots, segments, table, wires
 from sagline.functions.geometry import acos_deg
 from sagline.functions.models import polyval
 from sagline.operators import catenary, classes, cluster, fit, generate, grid, ground, merge, ordering, report, shape
 from sagline.operators import segments as seg_ops
 from sagline.plans import class_summary, extract_power_lines, wire_summary
-from sagline.schema import Params
 from sagline.sources import npz
 from sagline.sources import wires as wires_source
 
@@ -22,8 +21,6 @@ QUERIES: dict[str, Query] = {}
 
 SEG = ("cloud_id", "seg_id")
 WIRE = ("cloud_id", "wire_id")
-PARAMS = Params(radius=0.1, angle=30.0, linearity=0.5, cluster_distance=0.2, min_cluster=3, segment_distance=0.15,
-                min_length=0.05, merge_line=0.3, merge_curve=0.3, merge_height=1.0, merge_seed=4, resolution=0.02)
 
 
 def query(fn: Query) -> Query:
