@@ -431,3 +431,40 @@ onwire AS MATERIALIZED (SELECT wire_id, x, y, z FROM p{p.merge_passes} JOIN wire
 
 oracle("extract_lines", f"""{extraction(PARAMS)}, {fit('onwire', 'wire_id', 'x', 'z')}
 SELECT wire_id, count, {r('length', 4)}, n - 3 AS df, {r('1 - sse / sst', 4, 'rsq')} FROM wires JOIN fit ON wire_id = k""")
+
+
+# --- catenaries, by a grid of both shape parameters that closes in on its best point -----------------
+
+ZOOM, SHRINK = 34, 0.6
+GRID = "range(-6, 7) g(i), range(-6, 7) h(j)"
+
+# For a vertex b and a curvature exp(lk) the best height is a mean, so the squared error is a variance.
+oracle("fit_catenary", f"""WITH RECURSIVE {SEG}, {XY},
+w AS MATERIALIZED (SELECT seg_id, tt AS t, z, min(tt) OVER s AS t0, max(tt) OVER s - min(tt) OVER s AS span, n FROM pj WINDOW s AS (PARTITION BY seg_id)),
+start AS MATERIALIZED (SELECT DISTINCT seg_id, n, span, t0 - span - 1 AS lo, t0 + 2 * span + 1 AS hi FROM w WHERE n >= 4),
+zoom AS (
+  SELECT 0 AS step, seg_id, (lo + hi) / 2 AS b, (hi - lo) / 2 AS bw, (ln(1e-6) + ln(0.1)) / 2 AS lk, (ln(0.1) - ln(1e-6)) / 2 AS kw, NULL::DOUBLE AS sse FROM start
+  UNION ALL
+  SELECT step + 1, seg_id, best.b, bw * {SHRINK}, best.lk, kw * {SHRINK}, best.sse FROM (
+    SELECT step, seg_id, bw, kw, min_by({{'b': b, 'lk': lk, 'sse': sse}}, sse) AS best FROM (
+      SELECT step, seg_id, bw, kw, b, lk, count(*) * var_pop(z - cosh(exp(lk) * (t - b)) / exp(lk)) AS sse FROM (
+        SELECT step, zoom.seg_id, bw, kw, greatest(lo, least(hi, b + i / 6.0 * bw)) AS b, greatest(ln(1e-6), lk + j / 6.0 * kw) AS lk
+        FROM zoom JOIN start USING (seg_id), {GRID} WHERE step < {ZOOM}) JOIN w USING (seg_id)
+      GROUP BY step, seg_id, bw, kw, b, lk) GROUP BY step, seg_id, bw, kw))
+SELECT seg_id::INT AS wire_id, n, {r('span', 4)}, {r('sse', 1)}, 'catenary' AS method FROM zoom JOIN start USING (seg_id) WHERE step = {ZOOM}""")
+
+# Points of one abscissa are one weighted point and their own scatter; s and k are slope and curvature at the mean.
+oracle("fit_catenary_offset", f"""WITH RECURSIVE {LOTS},
+w AS MATERIALIZED (SELECT cloud_id, x, count(*) AS m, avg(z) AS z, count(*) * var_pop(z) AS own FROM lots GROUP BY cloud_id, x),
+start AS MATERIALIZED (SELECT cloud_id, count(*) AS n, avg(x) AS tm, avg(z) AS zm, regr_slope(z, x) AS s0 FROM lots GROUP BY cloud_id),
+zoom AS (
+  SELECT 0 AS step, cloud_id, s0 AS s, 0.5::DOUBLE AS sw, 1e-7::DOUBLE AS k, 0.05::DOUBLE AS kw, NULL::DOUBLE AS sse FROM start
+  UNION ALL
+  SELECT step + 1, cloud_id, best.s, sw * {SHRINK}, best.k, kw * {SHRINK}, best.sse FROM (
+    SELECT step, cloud_id, sw, kw, min_by({{'s': s, 'k': k, 'sse': sse}}, sse) AS best FROM (
+      SELECT step, cloud_id, sw, kw, s, k, sum(own) + sum(m * d * d) - pow(sum(m * d), 2) / sum(m) AS sse FROM (
+        SELECT *, z - zm - (cosh(k * (x - tm) + asinh(s)) - cosh(asinh(s))) / k AS d FROM (
+          SELECT step, cloud_id, sw, kw, s + i / 6.0 * sw AS s, k + j / 6.0 * kw AS k FROM zoom, {GRID} WHERE step < {ZOOM})
+        JOIN w USING (cloud_id) JOIN start USING (cloud_id))
+      GROUP BY step, cloud_id, sw, kw, s, k) GROUP BY step, cloud_id, sw, kw))
+SELECT cloud_id, n, {r('sse', 0)} FROM zoom JOIN start USING (cloud_id) WHERE step = {ZOOM}""")
