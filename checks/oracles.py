@@ -468,3 +468,22 @@ zoom AS (
         JOIN w USING (cloud_id) JOIN start USING (cloud_id))
       GROUP BY step, cloud_id, sw, kw, s, k) GROUP BY step, cloud_id, sw, kw))
 SELECT cloud_id, n, {r('sse', 0)} FROM zoom JOIN start USING (cloud_id) WHERE step = {ZOOM}""")
+
+oracle("pair_merge_test", f"""WITH RECURSIVE ax AS MATERIALIZED (WITH {SEG}, {axis()} SELECT * FROM axis), {SEG},
+fr AS MATERIALIZED (SELECT seg_id AS a, n, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s FROM ax),
+w AS MATERIALIZED (SELECT a, (x - mx) * c + (y - my) * s AS u, z - mz AS v FROM seg JOIN fr ON a = seg_id WHERE n >= 3),
+start AS MATERIALIZED (SELECT a, avg(u) AS um, regr_slope(v, u) AS s0 FROM w GROUP BY a),
+zoom AS (
+  SELECT 0 AS step, a, s0 AS s, 0.2::DOUBLE AS sw, 1e-7::DOUBLE AS k, 0.003::DOUBLE AS kw, 0.0::DOUBLE AS h FROM start
+  UNION ALL
+  SELECT step + 1, a, best.s, sw * {SHRINK}, best.k, kw * {SHRINK}, best.h FROM (
+    SELECT step, a, sw, kw, min_by({{'s': s, 'k': k, 'h': h}}, sse) AS best FROM (
+      SELECT step, a, sw, kw, s, k, avg(d) AS h, var_pop(d) AS sse FROM (
+        SELECT *, v - (cosh(k * (u - um) + asinh(s)) - cosh(asinh(s))) / k AS d FROM (
+          SELECT step, a, sw, kw, s + i / 6.0 * sw AS s, k + j / 6.0 * kw AS k FROM zoom, {GRID} WHERE step < {ZOOM})
+        JOIN w USING (a) JOIN start USING (a))
+      GROUP BY step, a, sw, kw, s, k) GROUP BY step, a, sw, kw)),
+o AS (SELECT fr.a, seg_id AS b, (y - my) * c - (x - mx) * fr.s AS off, z - mz AS v, (x - mx) * c + (y - my) * fr.s AS u FROM seg JOIN fr ON seg_id = fr.a + 1),
+g AS (SELECT a, b, avg(off) AS mean_off, avg(h + (cosh(k * (u - um) + asinh(s)) - cosh(asinh(s))) / k - v) AS mean_gap
+  FROM o JOIN zoom USING (a) JOIN start USING (a) WHERE step = {ZOOM} GROUP BY a, b)
+SELECT a, b, {r('mean_off', 3)}, {r('mean_gap', 2)}, (abs(mean_off) < 0.1 AND abs(mean_gap) < 0.1)::INT AS merge FROM g""")
