@@ -469,10 +469,8 @@ zoom AS (
       GROUP BY step, cloud_id, sw, kw, s, k) GROUP BY step, cloud_id, sw, kw))
 SELECT cloud_id, n, {r('sse', 0)} FROM zoom JOIN start USING (cloud_id) WHERE step = {ZOOM}""")
 
-oracle("pair_merge_test", f"""WITH RECURSIVE ax AS MATERIALIZED (WITH {SEG}, {axis()} SELECT * FROM axis), {SEG},
-fr AS MATERIALIZED (SELECT seg_id AS a, n, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s FROM ax),
-w AS MATERIALIZED (SELECT a, (x - mx) * c + (y - my) * s AS u, z - mz AS v FROM seg JOIN fr ON a = seg_id WHERE n >= 3),
-start AS MATERIALIZED (SELECT a, avg(u) AS um, regr_slope(v, u) AS s0 FROM w GROUP BY a),
+# ``zoom`` at its last step: mean residual h, slope s and curvature k at ``um`` of the points ``w`` (a, u, v) of each a.
+FREE_FIT = f"""start AS MATERIALIZED (SELECT a, avg(u) AS um, regr_slope(v, u) AS s0 FROM w GROUP BY a),
 zoom AS (
   SELECT 0 AS step, a, s0 AS s, 0.2::DOUBLE AS sw, 1e-7::DOUBLE AS k, 0.003::DOUBLE AS kw, 0.0::DOUBLE AS h FROM start
   UNION ALL
@@ -482,8 +480,26 @@ zoom AS (
         SELECT *, v - (cosh(k * (u - um) + asinh(s)) - cosh(asinh(s))) / k AS d FROM (
           SELECT step, a, sw, kw, s + i / 6.0 * sw AS s, k + j / 6.0 * kw AS k FROM zoom, {GRID} WHERE step < {ZOOM})
         JOIN w USING (a) JOIN start USING (a))
-      GROUP BY step, a, sw, kw, s, k) GROUP BY step, a, sw, kw)),
+      GROUP BY step, a, sw, kw, s, k) GROUP BY step, a, sw, kw))"""
+
+oracle("pair_merge_test", f"""WITH RECURSIVE ax AS MATERIALIZED (WITH {SEG}, {axis()} SELECT * FROM axis), {SEG},
+fr AS MATERIALIZED (SELECT seg_id AS a, n, mx, my, mz, cos(radians(angle)) AS c, sin(radians(angle)) AS s FROM ax),
+w AS MATERIALIZED (SELECT a, (x - mx) * c + (y - my) * s AS u, z - mz AS v FROM seg JOIN fr ON a = seg_id WHERE n >= 3),
+{FREE_FIT},
 o AS (SELECT fr.a, seg_id AS b, (y - my) * c - (x - mx) * fr.s AS off, z - mz AS v, (x - mx) * c + (y - my) * fr.s AS u FROM seg JOIN fr ON seg_id = fr.a + 1),
 g AS (SELECT a, b, avg(off) AS mean_off, avg(h + (cosh(k * (u - um) + asinh(s)) - cosh(asinh(s))) / k - v) AS mean_gap
   FROM o JOIN zoom USING (a) JOIN start USING (a) WHERE step = {ZOOM} GROUP BY a, b)
 SELECT a, b, {r('mean_off', 3)}, {r('mean_gap', 2)}, (abs(mean_off) < 0.1 AND abs(mean_gap) < 0.1)::INT AS merge FROM g""")
+
+oracle("predict_gap", f"""WITH RECURSIVE al AS MATERIALIZED (WITH {SEG},
+    half AS (SELECT * FROM seg QUALIFY (row_number() OVER (PARTITION BY seg_id ORDER BY point_id) - 1) % 2 = 0), {axis('half')}
+  SELECT seg_id, point_id, (x - mx) * cos(radians(angle)) + (y - my) * sin(radians(angle)) AS x, z - mz AS z FROM half JOIN axis USING (seg_id)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY x, point_id) AS i, count(*) OVER (PARTITION BY seg_id) AS n FROM al),
+w AS MATERIALIZED (SELECT seg_id AS a, x AS u, z AS v FROM ranked WHERE i <= n // 2 UNION ALL SELECT seg_id, x, z FROM ranked WHERE i >= (2 * n) // 3),
+{FREE_FIT},
+span AS (SELECT seg_id AS a, min(x) AS lo, max(x) AS hi, floor((max(x) - min(x)) / 40.0)::BIGINT AS count FROM ranked
+  WHERE i BETWEEN n // 2 AND (2 * n) // 3 GROUP BY seg_id),
+grid AS (SELECT a, i::INT AS sample, CASE WHEN count = 1 THEN hi ELSE lo + i * (hi - lo) / (count - 1) END AS x
+  FROM span, LATERAL (SELECT unnest(range(0, count)) AS i) WHERE count > 0)
+SELECT a::INT AS wire_id, sample, {r('x', 1)}, {r('h + (cosh(k * (x - um) + asinh(s)) - cosh(asinh(s))) / k', 1, 'z')}
+FROM grid JOIN zoom USING (a) JOIN start USING (a) WHERE step = {ZOOM}""")
