@@ -33,6 +33,10 @@ BLOCK_CELLS = 8
 # Point pairs of a block that are compared at once.
 BLOCK_PAIRS = 1_000_000
 
+# The nearest point's cells are cut until none holds more points than this, at most so many times.
+LEAF_ROWS = 64
+MAX_CUTS = 12
+
 AXES = ("x", "y", "z")
 SUMS = ("n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz")
 
@@ -405,15 +409,44 @@ def pyramid(boxes: DataFrame, by: list[str], dims: Sequence[str], fan: int = 8,
     return grids
 
 
+def _halvings(targets: DataFrame, by: list[str], dims: Sequence[str], side: float, fan: int) -> int:
+    """How often cells of ``side`` are cut by ``fan`` until none that holds several places is fuller than ``LEAF_ROWS``."""
+    spread = F.lit(False)
+    for a in dims:
+        spread = spread | (F.col(f"lo{a}") < F.col(f"hi{a}"))
+    for cuts in range(MAX_CUTS):
+        fullest = _boxes(targets, by, dims, side / fan ** cuts).where(spread).agg(F.max("m")).first()[0]
+        if (fullest or 0) <= LEAF_ROWS:
+            return cuts
+    return MAX_CUTS
+
+
+def _boxes(targets: DataFrame, by: list[str], dims: Sequence[str], side: float) -> DataFrame:
+    """Occupied cells ``by..., k*`` with their box ``lo*, hi*`` and number of points ``m``."""
+    return targets.groupBy(*by, *[cell(a, side).alias(f"k{a}") for a in dims]).agg(
+        F.count(F.lit(1)).alias("m"), *[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in dims])
+
+
+def _leaf_rows(targets: DataFrame, wanted: DataFrame, keys: list[str], dims: Sequence[str]) -> DataFrame:
+    """``keys, _rows``: the places in the cells of ``wanted``, each with its point of the least id; only these are exchanged."""
+    rest = [a for a in AXES if a not in dims]
+    held = session.attach(targets, wanted.select(*keys).distinct(), keys, "left_semi")
+    held = held.groupBy(*keys, *dims).agg(F.min(F.struct("point_id", *rest) if rest else F.col("point_id")).alias("_one"))
+    own = ["_one.point_id", *[f"_one.{a}" for a in rest]] if rest else [F.col("_one").alias("point_id")]
+    held = held.select(*keys, *dims, *own)
+    return held.groupBy(*keys).agg(F.collect_list(F.struct(*AXES, "point_id")).alias("_rows"))
+
+
 def nearest_join(queries: DataFrame, targets: DataFrame, by: Sequence[str] = BY, query: str = "q_id",
-                 x: str = "x", y: str = "y", z: str = "z", side: float = 1.0, levels: int | None = None, fan: int = 8,
+                 x: str = "x", y: str = "y", z: str = "z", side: float = 1.0, levels: int | None = None, fan: int = 2,
                  metric: str = "3d") -> DataFrame:
     """``by..., query, dist, nx, ny, nz, n_id``: the target nearest to each query (least id on ties).
 
     Targets are boxed on grids of sides ``side * fan^level``, as many as it takes until a cloud has
-    at most eight boxes, or ``levels``. Going from the coarsest grid down, each query keeps the
-    boxes that may hold something nearer than the best box certainly does, so only a few cells'
-    points are compared. Grids of few rows are broadcast, so queries stay in place on them. ``metric="vertical"`` looks for the
+    at most eight boxes, or ``levels``; full cells are cut further, until few places are left in each. Each query first
+    goes down to the nearest box of every grid, and the nearest point there bounds its distance. Then it goes down to all
+    boxes that reach into that distance, and meets their points. No step orders the boxes of a query, grids of few
+    rows are broadcast, and a box's points are one row. ``metric="vertical"`` looks for the
     nearest in plan and reports the height difference. Queries in a cloud without targets have no
     row.
     """
@@ -422,38 +455,65 @@ def nearest_join(queries: DataFrame, targets: DataFrame, by: Sequence[str] = BY,
     if metric not in ("3d", "vertical"):
         raise ValueError("metric must be '3d' or 'vertical'")
     dims = AXES[:2] if flat else AXES
-    t = _xyz(targets, by, x, y, z, "point_id").groupBy(*by, *AXES).agg(F.min("point_id").alias("n_id"))
-    t = t.withColumns({f"k{a}": cell(a, side) for a in dims})
-    boxes = t.groupBy(*by, *[f"k{a}" for a in dims]).agg(
-        *[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in dims])
-    grids = pyramid(session.cut_lineage(boxes), by, dims, fan, levels)
-    levels = len(grids)
+    t = _xyz(targets, by, x, y, z, "point_id")
+    cuts = _halvings(t, by, dims, side, fan)
+    fine = side / fan ** cuts
+    boxes = session.cut_lineage(_boxes(t, by, dims, fine).drop("m"))
+    t = t.withColumns({f"k{a}": cell(a, fine) for a in dims})
+    grids = pyramid(boxes, by, dims, fan, levels and levels + cuts)
+    small = [session.is_small(g) for g in grids]
+    grids[0] = F.broadcast(boxes) if small[0] else boxes
     q = _xyz(queries, by, x, y, z, query).select(*by, query, *[F.col(a).alias(f"q{a}") for a in AXES])
-
-    least, most = F.lit(0.0), F.lit(0.0)
-    for a in dims:
-        gap = F.greatest(F.col(f"lo{a}") - F.col(f"q{a}"), F.col(f"q{a}") - F.col(f"hi{a}"), F.lit(0.0))
-        span = F.greatest(F.col(f"hi{a}") - F.col(f"q{a}"), F.col(f"q{a}") - F.col(f"lo{a}"))
-        least, most = least + gap * gap, most + span * span
-    best = F.min("_most").over(Window.partitionBy(*by, query))
-    frontier = q
-    for level in range(levels - 1, -1, -1):
-        grid = grids[level]
-        if level == levels - 1:
-            frontier = frontier.join(grid, by)
+    keys, ups = [f"k{a}" for a in dims], [f"u{a}" for a in dims]
+
+    def square(gaps: list[Column]) -> Column:
+        total = F.lit(0.0)
+        for g in gaps:
+            total = total + g * g
+        return total
+
+    def reach(lo: Column, hi: Column, at: Column) -> Column:
+        return F.greatest(lo - at, at - hi, F.lit(0.0))
+
+    def apart(row: Column) -> Column:
+        return square([row[a] - F.col(f"q{a}") for a in dims])
+
+    # One box of each grid, the children of a box as one row. The work is in the boxes met, so few queries are spread as well.
+    spread = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = q.repartition(spread, *by, query)
+    for level in range(len(grids) - 1, -1, -1):
+        top = level == len(grids) - 1
+        kids = grids[level] if top else grids[level].withColumns({u: F.floor(F.col(k) / fan).cast("long") for u, k in zip(ups, keys)})
+        on = by if top else [*by, *ups]
+        kids = kids.groupBy(*on).agg(F.collect_list(F.struct(*keys, *[f"{n}{a}" for n in ("lo", "hi") for a in dims])).alias("_kids"))
+        ends = ends.join(F.broadcast(kids) if small[level] else kids, on)
+        near = F.array_min(F.transform("_kids", lambda c: F.struct(
+            square([reach(c[f"lo{a}"], c[f"hi{a}"], F.col(f"q{a}")) for a in dims]).alias("least"), *[c[k].alias(k) for k in keys])))
+        # Behind a generator, so that tests on the keys do not repeat the search for the least.
+        ends = ends.select(*by, query, "qx", "qy", "qz", F.inline(F.array(near))).drop("least")
+        ends = ends.withColumnsRenamed(dict(zip(keys, ups))) if level else ends
+    ends = session.cut_lineage(ends)
+    bound = ends.join(_leaf_rows(t, ends, [*by, *keys], dims), [*by, *keys]).select(
+        *by, query, "qx", "qy", "qz", F.array_min(F.transform("_rows", apart)).alias("_bound"))
+
+    # All boxes that reach into the distance found.
+    bound = bound.repartition(spread, *by, query)
+    least = square([reach(F.col(f"lo{a}"), F.col(f"hi{a}"), F.col(f"q{a}")) for a in dims])
+    frontier = session.cut_lineage(bound)
+    for level in range(len(grids) - 1, -1, -1):
+        if level == len(grids) - 1:
+            frontier = frontier.join(grids[level], by)
         else:
-            child = grid.withColumns({f"u{a}": F.floor(F.col(f"k{a}") / fan).cast("long") for a in dims})
-            frontier = frontier.join(child, [*by, *[f"u{a}" for a in dims]])
-        frontier = frontier.withColumns({"_least": least, "_most": most}).withColumn("_best", best)
-        frontier = frontier.where(F.col("_least") <= F.col("_best"))
-        frontier = frontier.select(*by, query, "qx", "qy", "qz", *[F.col(f"k{a}").alias(f"u{a}" if level else f"k{a}") for a in dims])
-    pairs = frontier.join(t, [*by, *[f"k{a}" for a in dims]])
-    d2 = F.lit(0.0)
-    for a in dims:
-        d2 = d2 + (F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}"))
-    pairs = pairs.withColumns({"_d2": d2, "_drop": F.col("qz") - F.col("z")})
-    near = pairs.groupBy(*by, query).agg(F.min_by(
-        F.struct("_d2", "_drop", "x", "y", "z", "n_id"), F.struct("_d2", "n_id")).alias("b"))
-    dist = F.col("b._drop") if flat else F.sqrt("b._d2")
+            child = grids[level].withColumns({u: F.floor(F.col(k) / fan).cast("long") for u, k in zip(ups, keys)})
+            frontier = frontier.join(child, [*by, *ups])
+        frontier = frontier.where(least <= F.col("_bound"))
+        frontier = frontier.select(*by, query, "qx", "qy", "qz", "_bound", *[F.col(k).alias(u if level else k) for u, k in zip(ups, keys)])
+    frontier = session.cut_lineage(frontier)
+    met = frontier.join(_leaf_rows(t, frontier, [*by, *keys], dims), [*by, *keys])
+    first = F.array_min(F.transform("_rows", lambda p: F.struct(
+        apart(p).alias("d2"), p["point_id"].alias("n_id"), (F.col("qz") - p["z"]).alias("drop"), *[p[a].alias(a) for a in AXES])))
+    met = met.select(*by, query, "_bound", F.inline(F.array(first))).where(F.col("d2") <= F.col("_bound"))
+    near = met.groupBy(*by, query).agg(F.min(F.struct("d2", "n_id", "drop", *AXES)).alias("b"))
+    dist = F.col("b.drop") if flat else F.sqrt("b.d2")
     return near.select(*by, query, dist.alias("dist"), F.col("b.x").alias("nx"), F.col("b.y").alias("ny"),
                        F.col("b.z").alias("nz"), F.col("b.n_id").alias("n_id"))

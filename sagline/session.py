@@ -56,9 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Materialise a per-group table and mark it for broadcast when its row count allows that."""
-    limit = BROADCAST_ROWS if limit is None else limit
     df = cut_lineage(df)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` has few enough rows to be broadcast."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return df.limit(limit + 1).count() <= limit
 
 
 def attach(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

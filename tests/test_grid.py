@@ -237,3 +237,19 @@ def test_top_of_the_pyramid(spark):
     one = grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(a.head(1)), side=1e6).toPandas()
     assert set(one.n_id) == {int(a.point_id.iloc[0])} and len(one) == 60
     assert grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(a).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["3d", "vertical"])
+def test_nearest_cuts_full_cells(spark, monkeypatch, metric):
+    """Many points in one cell, 300 of them copies: no query meets more than a few places at once."""
+    rng = np.random.default_rng(4)
+    t = pd.DataFrame(rng.uniform(0, 1, (3000, 3)), columns=list("xyz")).assign(cloud_id="c", point_id=range(3000))
+    t.loc[:299, ["x", "y", "z"]] = 0.25
+    q = pd.DataFrame(rng.uniform(-0.2, 1.2, (40, 3)), columns=list("xyz")).assign(cloud_id="c", q_id=range(40))
+    held, plain = [], grid._leaf_rows
+    monkeypatch.setattr(grid, "_leaf_rows", lambda *a: held.append(plain(*a)) or held[-1])
+    got = grid.nearest_join(spark.createDataFrame(q), spark.createDataFrame(t), side=2.0, metric=metric).toPandas().set_index("q_id").sort_index()
+    cols = list("xyz") if metric == "3d" else list("xy")
+    d2 = ((q[cols].to_numpy()[:, None] - t[cols].to_numpy()[None]) ** 2).sum(-1)
+    assert (got.n_id.to_numpy() == t.point_id.to_numpy()[d2.argmin(1)]).all()
+    assert len(held) == 2 and all(h.selectExpr("max(size(_rows))").first()[0] <= grid.LEAF_ROWS for h in held)
