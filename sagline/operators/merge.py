@@ -3,8 +3,10 @@
 Each pass looks at segments from the largest down. A seed takes, in that order, every later segment
 whose height and plan position agree with it and whose points lie on its parabola, refitting the
 parabola after each take. Plan and height tests depend only on the seed and the candidate, so they
-form a graph, and pieces of the graph cannot affect each other. A cloud with few points, or else a piece with few,
-is scanned in one task. A larger piece is scanned in rounds by depth of the seed order: all seeds that no earlier seed
+form a graph, and pieces of the graph cannot affect each other. A cloud with few points is scanned in one task, which
+finds each seed's candidates as it comes to it, and a larger cloud where most segments are candidates of most seeds in
+runs of its order, one after the other: a run of segments is affected only by the seeds before it, so it needs their power
+sums alone. Other clouds are cut into the pieces of their graph, and a piece with few points is scanned in one task. A larger piece is scanned in rounds by depth of the seed order: all seeds that no earlier seed
 can still affect go ahead at once. A seed whose candidates have few points makes its whole ordered scan in that round,
 in a task of its own; one with more takes its next segment with the points distributed. Only power sums per segment
 move between rounds. All ways solve for the parabola from power sums by the same formula, where a seed
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,11 @@ from sagline.operators.shape import principal_axis
 BY = ("cloud_id",)
 # Clouds, pieces of the gate graph or seeds with at most this many points to scan, and as many edges, are scanned in one task.
 SCAN_ROWS = 1_000_000
+# Clouds with more gates than this are never written as a graph; so many segments of each are paired to estimate them.
+GATE_ROWS = 20_000_000
+GATE_SAMPLE = 300
+# Candidates that a seed tests at once, at first.
+TEST_ROWS = 16
 
 
 def segment_frames(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
@@ -105,6 +112,144 @@ def _take(frame: tuple[float, ...], sums: np.ndarray, candidates: np.ndarray, xy
     return taken
 
 
+class _Run:
+    """Segments of one run of the order with their points, taken by seeds as :func:`_take` does, gates included."""
+
+    def __init__(self, points: pd.DataFrame, segs: pd.DataFrame, line: float, curve: float, height: float) -> None:
+        self.line, self.curve, self.height = line, curve, height
+        self.segs = segs.sort_values("o")
+        self.ids = self.segs["seg_id"].to_numpy()
+        self.mean = self.segs[["mx", "my", "mz"]].to_numpy(np.float64)
+        self.alive = np.arange(len(self.ids))
+        by_id = np.argsort(self.ids)
+        at = by_id[np.searchsorted(self.ids[by_id], points["seg_id"].to_numpy())]
+        order = np.argsort(at, kind="stable")
+        self.xyz = points[["x", "y", "z"]].to_numpy(np.float64)[order]
+        self.start = np.searchsorted(at[order], np.arange(len(self.ids) + 1))
+        # A segment whose highest or lowest point is off the curve is off it.
+        size, z = np.diff(self.start), self.xyz[:, 2]
+        by_z = np.lexsort((z, at[order]))
+        self.ends = self.xyz[np.stack([by_z[self.start[:-1]], by_z[self.start[:-1] + size - 1]], 1)] if len(z) else np.zeros((0, 2, 3))
+
+    def own(self, i: int) -> np.ndarray:
+        return self.xyz[self.start[i]:self.start[i + 1]]
+
+    def take(self, frame: tuple[float, ...], slope: float, sums: np.ndarray, after: int) -> tuple[list[int], np.ndarray]:
+        """Places of the segments behind ``after`` that a seed takes, in order, and its sums with theirs."""
+        mx, my, mz, c, s = frame
+        self.alive = self.alive[np.searchsorted(self.alive, after, "right"):]
+        m = self.mean[self.alive]
+        gate = (np.abs(my + slope * (m[:, 0] - mx) - m[:, 1]) < self.line) & (np.abs(mz - m[:, 2]) < self.height)
+        cand, taken = self.alive[gate], []
+        p = _solve(sums) if len(cand) else None
+        if p is None:
+            return taken, sums
+
+        def miss(q: np.ndarray) -> np.ndarray:
+            u = (q[..., 0] - mx) * c + (q[..., 1] - my) * s - p[0]
+            return np.abs((p[2] * u + p[3]) * u + p[4] + p[1] - (q[..., 2] - mz))
+
+        k, width = 0, TEST_ROWS
+        while k < len(cand) and p is not None:
+            part = cand[k:k + width]
+            for j in np.flatnonzero((miss(self.ends[part]) < self.curve).all(1)):
+                q = self.own(part[j])
+                if miss(q).max() < self.curve:
+                    taken.append(int(part[j]))
+                    sums = sums + _power_sums((q[:, 0] - mx) * c + (q[:, 1] - my) * s, q[:, 2] - mz)
+                    p = _solve(sums)
+                    k, width = k + int(j) + 1, TEST_ROWS
+                    break
+            else:
+                k, width = k + width, width * 4
+        if taken:
+            self.alive = np.setdiff1d(self.alive, taken, assume_unique=True)
+        return taken, sums
+
+
+FRAME = ("mx", "my", "mz", "c", "s")
+
+
+def _scan_run(points: pd.DataFrame, segs: pd.DataFrame, keys: list[str], line: float, curve: float, height: float, seed: int) -> pd.DataFrame:
+    """One run of a cloud's order: rows ``into, seg_id`` of what was taken, and of each seed left, ``seg_id`` null, its sums.
+
+    Rows of ``segs`` that are ``held`` are seeds of earlier runs with their sums.
+    """
+    held = segs[segs["held"]].sort_values("o")
+    # The seeds before this run go first; alive segments of the run are still behind them all.
+    run = _Run(points, segs[~segs["held"]], line, curve, height)
+    pairs, left = [], []
+
+    def kept(o: int, a: int, frame: tuple[float, ...], slope: float, sums: np.ndarray) -> None:
+        left.append((o, a, *frame, slope, *sums))
+
+    for o, a, frame, slope, sums in zip(held["o"], held["seg_id"], held[list(FRAME)].to_numpy(), held["slope"], held[list(KEEP)].to_numpy(np.float64)):
+        taken, sums = run.take(tuple(frame), slope, sums, -1)
+        pairs += [(a, run.ids[b]) for b in taken]
+        kept(o, a, frame, slope, sums)
+    own = run.segs
+    open_ = (own["n"].to_numpy() >= seed) & own["slope"].notna().to_numpy()
+    gone = np.ones(len(own), bool)
+    gone[run.alive] = False
+    for i, (o, a, slope) in enumerate(zip(own["o"], own["seg_id"], own["slope"])):
+        if gone[i] or not open_[i]:
+            continue
+        frame = tuple(own[list(FRAME)].iloc[i])
+        mx, my, mz, c, s = frame
+        q = run.own(i)
+        taken, sums = run.take(frame, slope, _power_sums((q[:, 0] - mx) * c + (q[:, 1] - my) * s, q[:, 2] - mz), i)
+        gone[taken] = True
+        pairs += [(a, run.ids[b]) for b in taken]
+        kept(o, a, frame, slope, sums)
+    # Nullable integers, as ids may exceed what a double tells apart.
+    out = pd.concat([pd.DataFrame(pairs, columns=["into", "seg_id"]).astype("Int64").assign(o=pd.array([pd.NA] * len(pairs), "Int64")),
+                     pd.DataFrame(left, columns=["o", "into", *FRAME, "slope", *KEEP]).astype({"o": "Int64", "into": "Int64"}).assign(
+                         seg_id=pd.array([pd.NA] * len(left), "Int64"))])
+    for k in keys:
+        out[k] = segs[k].iloc[0]
+    return out[[*keys, "into", "seg_id", "o", *FRAME, "slope", *KEEP]]
+
+
+def _scan_order(points: DataFrame, seg: DataFrame, by: list[str], line: float, curve: float, height: float, seed: int,
+                scan_rows: int) -> DataFrame:
+    """Accepted pairs of whole clouds, in runs of about ``scan_rows`` points and one segment more at most, one after the other."""
+    schema = T.StructType([*[f for f in seg.schema if f.name in by], *[T.StructField(c, T.LongType()) for c in ("into", "seg_id", "o")],
+                           *[T.StructField(c, T.DoubleType()) for c in (*FRAME, "slope", *KEEP)]])
+    # The order is a window over one row per segment.
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    segs = seg.select(*by, "seg_id", F.col("ord").cast("long").alias("o"), "n", *FRAME, "slope", F.lit(False).alias("held"))
+    segs = session.cut_lineage(segs.withColumn("run", F.floor((before - 1) / max(scan_rows, 1)).cast("int")))
+    runs = segs.agg(F.max("run")).first()[0]
+    found, held = [], None
+    for run in range(0 if runs is None else runs + 1):
+        mine = segs.where(F.col("run") == run).drop("run").withColumns({c: F.lit(None).cast("double") for c in KEEP if c != "n"})
+        rows = session.attach(points.select(*by, "seg_id", "x", "y", "z"), mine.select(*by, "seg_id"), [*by, "seg_id"], "left_semi")
+        if held is not None:
+            mine = mine.withColumn("n", F.col("n").cast("double")).unionByName(held.select(
+                *by, F.col("into").alias("seg_id"), "o", *FRAME, "slope", *KEEP, F.lit(True).alias("held")))
+        mine = mine.select(*[F.col(c).alias(c) for c in mine.columns])
+        out = rows.groupBy(*by).cogroup(mine.groupBy(*by)).applyInPandas(
+            lambda p, e: _scan_run(p, e, by, line, curve, height, seed), schema)
+        out = session.cut_lineage(out)
+        found.append(out.where(F.col("seg_id").isNotNull()).select(*by, "into", "seg_id"))
+        held = out.where(F.col("seg_id").isNull())
+    return append_segments(*found)
+
+
+def _crowded(seg: DataFrame, by: list[str], line: float, height: float, seed: int) -> DataFrame:
+    """Clouds that have more than ``GATE_ROWS`` gates, by the share of gates among pairs of a sample of their segments."""
+    every = F.ceil(F.col("_count") / GATE_SAMPLE)
+    counts = seg.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
+    some = session.attach(seg, counts, by).where(F.pmod(F.xxhash64("seg_id"), every) == 0)
+    some = session.cut_lineage(some.select(*by, "_count", "seg_id", "ord", "n", "mx", "my", "mz", "slope"))
+    a, b = (some.select(*by, "_count", *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "n", "mx", "my", "mz", "slope")]) for p in "ab")
+    off = F.abs(F.col("a_my") + F.col("a_slope") * (F.col("b_mx") - F.col("a_mx")) - F.col("b_my"))
+    passes = (F.col("a_n") >= seed) & (off < line) & (F.abs(F.col("a_mz") - F.col("b_mz")) < height)
+    met = a.join(b.drop("_count"), by).where("a_ord < b_ord")
+    met = met.groupBy(*by).agg((F.avg(F.coalesce(passes.cast("double"), F.lit(0.0))) * F.max("_count") * F.max("_count") / 2).alias("_gates"))
+    return session.cut_lineage(met.where(F.col("_gates") > GATE_ROWS).select(*by))
+
+
 def _by_segment(points: pd.DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray, pd.DataFrame]:
     """Coordinates by segment, the segments, and the first row of each."""
     points = points.sort_values("seg_id", kind="stable")
@@ -290,17 +435,10 @@ def _step(points: DataFrame, seg: DataFrame, edges: DataFrame, model: DataFrame,
     return hit, session.cut_lineage(model)
 
 
-# --- passes -------------------------------------------------------------------------------------
-
-def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY, line: float = 0.5, curve: float = 0.2,
-                height: float = 4.0, seed: int = 10, azimuth: bool = False, scan_rows: int | None = None) -> DataFrame:
-    """``by..., into, seg_id``: which segment each absorbed one goes to. ``segments`` has ``ord``."""
-    by = list(by)
-    scan_rows = SCAN_ROWS if scan_rows is None else scan_rows
-    points = real_points(points, "x", "y", "z")
-    seg = session.cut_lineage(segment_frames(points, by, azimuth=azimuth).join(segments.select(*by, "seg_id", "ord"), [*by, "seg_id"]))
+def _scan_graph(points: DataFrame, seg: DataFrame, by: list[str], line: float, curve: float, height: float, seed: int,
+                scan_rows: int) -> list[DataFrame]:
+    """Accepted pairs of clouds with few gates: small pieces of their graph in one task each, others in rounds."""
     edges = session.cut_lineage(merge_gate_join(seg, line, height, seed, by))
-    ends = edges.select(*by, F.col("a").alias("seg_id")).unionByName(edges.select(*by, F.col("b").alias("seg_id"))).distinct()
 
     def fitting(nodes: DataFrame, tests: DataFrame, piece: list[str]) -> DataFrame:
         """Pieces that one task can scan, and whether there are others."""
@@ -308,43 +446,55 @@ def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY,
         load = load.join(tests.groupBy(*piece).agg(F.count(F.lit(1)).alias("_tests")), piece)
         return load.select(*piece, ((F.col("_rows") <= scan_rows) & (F.col("_tests") <= scan_rows)).alias("_fits"))
 
-    def pieces_of(table: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-        """The rows of ``table`` that fit one task each, and the others; None where there are none."""
-        kinds = {r["_fits"] for r in table.select("_fits").distinct().collect()}
-        return tuple(table.where(c).drop("_fits") if k in kinds else None for k, c in ((True, F.col("_fits")), (False, ~F.col("_fits"))))
-
-    # A small cloud is a piece by itself; only larger ones are cut into the pieces of their graph.
-    clouds, wide = pieces_of(session.cut_lineage(fitting(ends, edges, by)))
-    tests, nodes, many = [], [], None
-    if clouds is not None:
-        own = clouds.withColumn("component", F.lit(-1).cast("long"))
-        tests.append(session.attach(edges, own, by))
-        nodes.append(session.attach(ends, own, by))
-    if wide is not None:
-        rest = edges.join(wide, by, "left_semi")
-        comp = session.cut_lineage(connected_components(rest, by, "a", "b").withColumnRenamed("node", "seg_id"))
-        named = session.cut_lineage(rest.join(comp.withColumnRenamed("seg_id", "a"), [*by, "a"]))
-        small, large = pieces_of(session.cut_lineage(fitting(comp, named, [*by, "component"])))
-        if small is not None:
-            tests.append(named.join(small, [*by, "component"], "left_semi"))
-            nodes.append(comp.join(small, [*by, "component"], "left_semi"))
-        if large is not None:
-            many = named.join(large, [*by, "component"], "left_semi").select(*by, "a", "b", "oa", "ob")
-
-    found = []
-    if tests:
-        own = append_segments(*nodes).join(seg.select(*by, "seg_id", "mx", "my", "mz", "c", "s"), [*by, "seg_id"])
+    keys, found = [*by, "component"], []
+    comp = session.cut_lineage(connected_components(edges, by, "a", "b").withColumnRenamed("node", "seg_id"))
+    named = session.cut_lineage(edges.join(comp.withColumnRenamed("seg_id", "a"), [*by, "a"]))
+    small, large = _pieces(session.cut_lineage(fitting(comp, named, keys)))
+    if small is not None:
+        own = comp.join(small, keys, "left_semi").join(seg.select(*by, "seg_id", *FRAME), [*by, "seg_id"])
         rows = session.attach(points.select(*by, "seg_id", "x", "y", "z"), own, [*by, "seg_id"])
         schema = T.StructType([f for f in edges.schema if f.name in by]
                               + [T.StructField("into", T.LongType()), T.StructField("seg_id", T.LongType())])
-        keys = [*by, "component"]
         # Each row gets its own name: both tables come from the same edges.
-        tests = append_segments(*tests).select(*[F.col(c).alias(c) for c in (*by, "component", "a", "b", "oa", "ob")])
+        tests = named.join(small, keys, "left_semi").select(*[F.col(c).alias(c) for c in (*by, "component", "a", "b", "oa", "ob")])
         found.append(rows.groupBy(*keys).cogroup(tests.groupBy(*keys)).applyInPandas(lambda p, e: _scan(p, e, by, curve), schema))
-    if many is not None:
+    if large is not None:
+        many = named.join(large, keys, "left_semi").select(*by, "a", "b", "oa", "ob")
         found.append(_scan_rounds(points, seg, many, by, curve, scan_rows))
+    return found
+
+
+def _pieces(table: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of ``table`` that fit one task each, and the others; None where there are none."""
+    kinds = {r["_fits"] for r in table.select("_fits").distinct().collect()}
+    return tuple(table.where(c).drop("_fits") if k in kinds else None for k, c in ((True, F.col("_fits")), (False, ~F.col("_fits"))))
+
+
+# --- passes -------------------------------------------------------------------------------------
+
+def find_merges(segments: DataFrame, points: DataFrame, by: Sequence[str] = BY, line: float = 0.5, curve: float = 0.2,
+                height: float = 4.0, seed: int = 10, azimuth: bool = False, scan_rows: int | None = None) -> DataFrame:
+    """``by..., into, seg_id``: which segment each absorbed one goes to. ``segments`` has ``ord``."""
+    by = list(by)
+    scan_rows = SCAN_ROWS if scan_rows is None else scan_rows
+    points = real_points(points, "x", "y", "z")
+    seg = session.cut_lineage(segment_frames(points, by, azimuth=azimuth).join(segments.select(*by, "seg_id", "ord"), [*by, "seg_id"]))
+    # A small cloud is scanned whole; only larger ones are cut, in runs of their order or into the pieces of their graph.
+    load = session.cut_lineage(seg.groupBy(*by).agg((F.sum("n") <= scan_rows).alias("_fits")))
+    clouds, wide = _pieces(load)
+    crowded = _crowded(seg.join(wide, by, "left_semi"), by, line, height, seed) if wide is not None else None
+    crowded = None if crowded is None or session.is_empty(crowded) else crowded
+    found = []
+    whole = [t.select(*by) for t in (clouds, crowded) if t is not None]
+    if whole:
+        own = append_segments(*whole)
+        found.append(_scan_order(points, seg.join(own, by, "left_semi"), by, line, curve, height, seed, scan_rows))
+    if crowded is not None:
+        wide = wide.join(crowded, by, "left_anti")
+    if wide is not None and not session.is_empty(wide):
+        found += _scan_graph(points, seg.join(wide, by, "left_semi"), by, line, curve, height, seed, scan_rows)
     if not found:
-        return edges.select(*by, F.col("a").alias("into"), F.col("b").alias("seg_id")).limit(0)
+        return seg.select(*by, F.col("seg_id").alias("into"), "seg_id").limit(0)
     return session.cut_lineage(append_segments(*found))
 
 

@@ -187,3 +187,27 @@ def test_pair_test_accepts_the_same_wire(spark):
     pairs = spark.createDataFrame([("c", 1, 0), ("c", 1, 2), ("c", 1, 3)], "cloud_id string, a long, b long")
     got = merge.pair_merge_test(pairs, df).toPandas().set_index("b")
     assert (got["merge"][[0, 2]] == 1).all() and got["merge"][3] == 0
+
+
+def crossing(segments=60):
+    """Segments that nearly all pass each other's gates, and of which a curve takes about half."""
+    rng = np.random.default_rng(5)
+    rows = [pd.DataFrame({"cloud_id": "c", "seg_id": s, "x": np.sort(rng.uniform(0, 50, 12)), "y": rng.normal(0, .1, 12),
+                          "z": 10 + rng.normal(0, 1, 12) + (rng.random(12) < .06) * 6}) for s in range(segments)]
+    return pd.concat(rows, ignore_index=True).assign(point_id=lambda d: range(len(d)))
+
+
+def test_crowded_cloud_writes_no_graph(spark, monkeypatch):
+    """A cloud of one task, and a larger one in runs of its order, take what the plain loop takes without writing the gates."""
+    p = crossing()
+    df = spark.createDataFrame(p).repartition(4)
+    seg = session_cut(seg_ops.rank_segments(seg_ops.build_segments(df)))
+    gates = {"line": 0.5, "curve": 5.0, "height": 4.0}
+    parts = {s: g[["x", "y", "z"]].to_numpy() for s, g in p.groupby("seg_id")}
+    want = {(a, b) for a, v in plain_pass(parts, sorted(parts), **gates).items() for b in v}
+    assert len({a for a, _ in want}) > 2 and len(want) > 20
+    monkeypatch.setattr(merge, "GATE_ROWS", 100)
+    monkeypatch.setattr(merge, "merge_gate_join", None)
+    for limit in (None, 100):
+        got = [(r["into"], r["seg_id"]) for r in merge.find_merges(seg, df, scan_rows=limit, **gates).collect()]
+        assert len(got) == len(want) and set(got) == want
