@@ -239,7 +239,7 @@ SELECT seg_id, pos, count, row_number() OVER (ORDER BY stale DESC, pos) AS ord F
 oracle("merge_gate_join", f"""WITH {SEG}, {RANK}, s AS (SELECT seg_id, ord, rk.count AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_slope(y, x) AS slope
   FROM seg JOIN rk USING (seg_id) GROUP BY seg_id, ord, rk.count)
 SELECT a.seg_id AS a, b.seg_id AS b, a.ord AS oa, b.ord AS ob FROM s a, s b WHERE a.ord < b.ord AND a.n >= 10
-AND abs(a.my + a.slope * (b.mx - a.mx) - b.my) < 0.05 AND abs(a.mz - b.mz) < 1.0""")
+AND abs(a.my + a.slope * (b.mx - a.mx) - b.my) < 0.05 - 1e-9 AND abs(a.mz - b.mz) < 1.0 - 1e-9""")
 oracle("drop_absorbed", f"""WITH {SEG}, {RANK} SELECT seg_id, count FROM rk
 WHERE seg_id NOT IN (SELECT seg_id + 1 FROM rk WHERE seg_id % 5 = 0 UNION ALL SELECT seg_id + 3 FROM rk WHERE seg_id % 5 = 0)""")
 

@@ -37,6 +37,8 @@ from sagline.operators.shape import principal_axis
 BY = ("cloud_id",)
 # Clouds, pieces of the gate graph or seeds with at most this many points to scan, and as many edges, are scanned in one task.
 SCAN_ROWS = 1_000_000
+# A difference of means this close to a gate's limit is at the limit, which does not pass; rounding does not decide it.
+TIE = 1e-9
 # Clouds with more gates than this are never written as a graph; so many segments of each are paired to estimate them.
 GATE_ROWS = 20_000_000
 GATE_SAMPLE = 300
@@ -87,7 +89,7 @@ def merge_gate_join(segments: DataFrame, line: float = 0.5, height: float = 4.0,
     a = a.select(*by, F.col("seg_id").alias("a"), F.col("o").alias("oa"), "mx", "my", "mz", "slope", "tx", "ty", "tz")
     off = F.abs(F.col("my") + F.col("slope") * (F.col("bx") - F.col("mx")) - F.col("by_"))
     return (a.join(b, [*by, "tx", "ty", "tz"])
-            .where((F.col("oa") < F.col("ob")) & (off < line) & (F.abs(F.col("mz") - F.col("bz")) < height))
+            .where((F.col("oa") < F.col("ob")) & (off < line - TIE) & (F.abs(F.col("mz") - F.col("bz")) < height - TIE))
             .select(*by, "a", "b", "oa", "ob"))
 
 
@@ -139,7 +141,7 @@ class _Run:
         mx, my, mz, c, s = frame
         self.alive = self.alive[np.searchsorted(self.alive, after, "right"):]
         m = self.mean[self.alive]
-        gate = (np.abs(my + slope * (m[:, 0] - mx) - m[:, 1]) < self.line) & (np.abs(mz - m[:, 2]) < self.height)
+        gate = (np.abs(my + slope * (m[:, 0] - mx) - m[:, 1]) < self.line - TIE) & (np.abs(mz - m[:, 2]) < self.height - TIE)
         cand, taken = self.alive[gate], []
         p = _solve(sums) if len(cand) else None
         if p is None:

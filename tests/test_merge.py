@@ -211,3 +211,13 @@ def test_crowded_cloud_writes_no_graph(spark, monkeypatch):
     for limit in (None, 100):
         got = [(r["into"], r["seg_id"]) for r in merge.find_merges(seg, df, scan_rows=limit, **gates).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_a_gate_at_its_limit_is_closed(spark):
+    """4.1 - 3.1 and 0.35 - 0.3 are below 1 and 0.05 by rounding only."""
+    rows = [("c", 0, 1, 20, 0.0, 0.3, 3.1, 0.0), ("c", 1, 2, 20, 1.0, 0.3, 4.1, 0.0), ("c", 2, 3, 20, 2.0, 0.35, 3.1, 0.0),
+            ("c", 3, 4, 20, 3.0, 0.349, 4.099, 0.0)]
+    assert 4.1 - 3.1 < 1.0 and 0.35 - 0.3 < 0.05
+    seg = spark.createDataFrame(rows, "cloud_id string, seg_id long, ord long, n long, mx double, my double, mz double, slope double")
+    got = {(r["a"], r["b"]) for r in merge.merge_gate_join(seg, 0.05, 1.0).collect() if r["a"] == 0}
+    assert got == {(0, 3)}
