@@ -28,6 +28,12 @@ LEAF_PAIRS = 4_096
 # Cells are halved at most this many times.
 MAX_LEVEL = 12
 
+# Neighbourhood sums of clouds with cells up to so many times fuller come from matrix products per cell, without halving.
+MATRIX_CELLS = 20
+# Such a cell is cut into this many parts along each axis, and so many pairs of points are compared at once.
+PARTS = 4
+MATRIX_PAIRS = 131_072
+
 # A block is so many cells wide; a point is sent to its own block and to those whose rim of one cell holds it.
 BLOCK_CELLS = 8
 # Point pairs of a block that are compared at once.
@@ -117,31 +123,35 @@ def neighbour_sums(points: DataFrame, radius: float, by: Sequence[str] = BY, x:
                    z: str = "z", cell_rows: int = CELL_ROWS, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:
     """``by..., point_id, n, sx..szz``: sums of offsets from each point to its neighbours within ``radius``.
 
-    Points meet in blocks, which give whole sums. When a cell is fuller than ``cell_rows``, copies of a
-    position are merged first and full cells enter as sums (see :func:`_dense_sums`).
+    Points meet in blocks, which give whole sums; when a cell is fuller than ``cell_rows``, blocks are single cells and
+    the sums are matrix products. Where a cell is fuller than ``MATRIX_CELLS`` times that, copies of a position are
+    merged first and full cells enter as sums (see :func:`_dense_sums`).
     """
     p = _xyz(points, by, x, y, z, "point_id")
-    if fullest_cell(p, by, radius) > cell_rows:
+    fullest = fullest_cell(p, by, radius)
+    if fullest > cell_rows * MATRIX_CELLS:
         return _dense_sums(p, radius, list(by), leaf_pairs)
-    return _block_sums(p, radius, list(by))
+    if fullest > cell_rows:
+        return _block_sums(p, radius, list(by), _sums_in_cell, 1)
+    return _block_sums(p, radius, list(by), _sums_in_block, BLOCK_CELLS)
 
 
 # --- blocks with a halo --------------------------------------------------------------------------
 
-def in_blocks(points: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
+def in_blocks(points: DataFrame, by: Sequence[str], radius: float, cells: int = BLOCK_CELLS) -> DataFrame:
     """Each point with a block ``_bx, _by, _bz``: once for its own (``_own``), and for every block whose halo holds it.
 
-    Blocks are ``BLOCK_CELLS`` cells wide and the halo is one cell, so a point is sent about twice. Cells are wider
-    than the radius by a hair, so that rounding cannot put two neighbours two cells apart.
+    Blocks are ``cells`` cells wide and the halo is one cell, so with eight cells a point is sent about twice, with one 27
+    times. Cells are wider than the radius by a hair, so that rounding cannot put two neighbours two cells apart.
     """
     side = radius * (1.0 + 1e-9)
-    last = BLOCK_CELLS - 1
+    last = cells - 1
     out = points
     for a in AXES:
-        inner = F.pmod(cell(a, side), F.lit(BLOCK_CELLS))
+        inner = F.pmod(cell(a, side), F.lit(cells))
         shift = F.when(inner == 0, F.array(F.lit(-1), F.lit(0))).when(inner == last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        out = out.withColumn(f"_s{a}", F.explode(shift))
-    block = {a: F.floor(cell(a, side) / BLOCK_CELLS).cast("long") + F.col(f"_s{a}") for a in AXES}
+        out = out.withColumn(f"_s{a}", F.explode(shift if last else F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    block = {a: F.floor(cell(a, side) / cells).cast("long") + F.col(f"_s{a}") for a in AXES}
     own = (F.col("_sx") == 0) & (F.col("_sy") == 0) & (F.col("_sz") == 0)
     return out.select(*by, *[block[a].alias(f"_b{a}") for a in AXES], own.alias("_own"), "point_id", *AXES)
 
@@ -177,19 +187,86 @@ def _sums_in_block(rows: pd.DataFrame, keys: list[str], radius: float) -> pd.Dat
         for i, t in enumerate(terms):
             sums[start:end, i] = np.bincount(query, t, end - start)
         start = end
+    return _with_ids(sums, rows["point_id"].to_numpy()[order][mine], rows, keys)
+
+
+def _with_ids(sums: np.ndarray, ids: np.ndarray, rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(sums, columns=list(SUMS))
-    out.insert(0, "point_id", rows["point_id"].to_numpy()[order][mine])
+    out.insert(0, "point_id", ids)
     for k in reversed(keys):
         out.insert(0, k, rows[k].iloc[0])
     return out
 
 
-def _block_sums(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
-    """:func:`neighbour_sums` with one exchange; a block is bounded, as no cell of these clouds is full."""
+def _terms(d: np.ndarray) -> np.ndarray:
+    """What :data:`SUMS` adds up, a column each, of offsets ``d``."""
+    squares = [d[:, i] * d[:, j] for i, j in itertools.combinations_with_replacement(range(3), 2)]
+    return np.column_stack([np.ones(len(d)), d, *squares])
+
+
+def _sums_in_cell(rows: pd.DataFrame, keys: list[str], radius: float) -> pd.DataFrame:
+    """:func:`_sums_in_block` for full cells. The points of a small part of the cell meet all others together.
+
+    Points that all of them have as neighbours are added up once. The others' part is the product of the matrix that tells
+    who is whose neighbour with the terms of the sums, which are about the middle of the part and then moved to each point.
+    """
+    own, ids = rows["_own"].to_numpy(), rows["point_id"].to_numpy()
+    xyz = rows[list(AXES)].to_numpy(np.float64)
+    order = np.argsort(ids, kind="stable")
+    own, ids, xyz = own[order], ids[order], xyz[order]
+    mine = np.flatnonzero(own)
+    sums = np.zeros((len(mine), len(SUMS)))
+    if len(mine):
+        at = np.floor(xyz[mine] / (radius * (1.0 + 1e-9) / PARTS)).astype(np.int64)
+        at -= at.min(0)
+        number = (at[:, 0] * (at[:, 1].max() + 1) + at[:, 1]) * (at[:, 2].max() + 1) + at[:, 2]
+        part = np.argsort(number, kind="stable")
+        for group in np.split(part, np.flatnonzero(np.diff(number[part])) + 1):
+            sums[group] = _sums_of_part(xyz[mine[group]], xyz, radius)
+    return _with_ids(sums, ids[mine], rows, keys)
+
+
+def _sums_of_part(q: np.ndarray, xyz: np.ndarray, radius: float) -> np.ndarray:
+    lo, hi, r2 = q.min(0), q.max(0), radius * radius
+    pivot = (lo + hi) / 2
+    below, above = lo - xyz, xyz - hi
+    near = np.maximum(np.maximum(below, above), 0.0)
+    met = np.flatnonzero((near * near).sum(1) <= r2 * (1 + 1e-9))
+    far = np.maximum(hi - xyz[met], xyz[met] - lo)
+    # The margin leaves what rounding might decide to the comparison of single points.
+    full = (far * far).sum(1) <= r2 * (1 - 1e-9)
+    always = _terms(xyz[met[full]] - pivot).sum(0)
+    other = xyz[met[~full]]
+    terms = _terms(other - pivot)
+    sums = np.empty((len(q), len(SUMS)))
+    step = max(MATRIX_PAIRS // max(len(other), 1), 1)
+    for start in range(0, len(q), step):
+        some = q[start:start + step]
+        d2 = np.zeros((len(some), len(other)))
+        for i in range(3):
+            d = other[None, :, i] - some[:, None, i]
+            d *= d
+            d2 += d
+        sums[start:start + step] = (d2 <= r2).astype(np.float64) @ terms + always
+    o, n = q - pivot, sums[:, 0]
+    first = sums[:, 1:4].copy()
+    sums[:, 1:4] -= n[:, None] * o
+    for k, (i, j) in enumerate(itertools.combinations_with_replacement(range(3), 2)):
+        sums[:, 4 + k] += n * o[:, i] * o[:, j] - o[:, i] * first[:, j] - o[:, j] * first[:, i]
+    return sums
+
+
+def _block_sums(points: DataFrame, radius: float, by: list[str], summed, cells: int) -> DataFrame:
+    """:func:`neighbour_sums` with one exchange; a block is bounded, as no cell of these clouds is fuller than was counted.
+
+    The work is in the pairs, so few rows are spread over all partitions as well.
+    """
     fields = [f for f in points.schema if f.name in (*by, "point_id")]
     schema = T.StructType([*sorted(fields, key=lambda f: [*by, "point_id"].index(f.name)), *[T.StructField(n, T.DoubleType()) for n in SUMS]])
-    sent = in_blocks(points, by, radius)
-    return sent.groupBy(*by, *[f"_b{a}" for a in AXES]).applyInPandas(lambda rows: _sums_in_block(rows, by, radius), schema)
+    keys = [*by, *[f"_b{a}" for a in AXES]]
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = in_blocks(points, by, radius, cells).repartition(spread, *keys)
+    return sent.groupBy(*keys).applyInPandas(lambda rows: summed(rows, by, radius), schema)
 
 
 # --- cell halving ------------------------------------------------------------------------------

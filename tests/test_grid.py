@@ -253,3 +253,18 @@ def test_nearest_cuts_full_cells(spark, monkeypatch, metric):
     d2 = ((q[cols].to_numpy()[:, None] - t[cols].to_numpy()[None]) ** 2).sum(-1)
     assert (got.n_id.to_numpy() == t.point_id.to_numpy()[d2.argmin(1)]).all()
     assert len(held) == 2 and all(h.selectExpr("max(size(_rows))").first()[0] <= grid.LEAF_ROWS for h in held)
+
+
+def test_cells_of_medium_fill_need_no_halving(spark, monkeypatch):
+    """Cells above ``cell_rows`` gave ever larger joins of halved cells; now each meets its neighbours as a block of its own."""
+    p = cloud(12, n=300, copies=40, hot=500, clouds=2)
+    p[["x", "y"]] += 292600.0
+    df = frame(spark, p)
+    plain = grid.neighbour_sums(df, 0.6).toPandas().set_index(["cloud_id", "point_id"]).sort_index()
+    halved = []
+    monkeypatch.setattr(grid, "_dense_sums", lambda *a: halved.append(a))
+    got = grid.neighbour_sums(df, 0.6, cell_rows=100).toPandas().set_index(["cloud_id", "point_id"]).sort_index()
+    assert not halved and (got.n == plain.n).all()
+    assert np.allclose(got.to_numpy(), plain.to_numpy(), atol=1e-9)
+    for c, g in p.groupby("cloud_id"):
+        assert (got.loc[c].n.to_numpy() == pairs(g, 0.6).sum(1)).all()
