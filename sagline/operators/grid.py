@@ -23,6 +23,8 @@ from sagline.functions.geometry import real_points
 BY = ("cloud_id",)
 # Above this many points in one cell the radius operators change to cell halving.
 CELL_ROWS = 2_000
+# Above this many points in one cell a radius join's cells are half as wide, so that fewer pairs beyond the radius are compared.
+FINE_ROWS = 200
 # A pair of cells with at most this many point pairs is compared point by point.
 LEAF_PAIRS = 4_096
 # Cells are halved at most this many times.
@@ -77,30 +79,40 @@ def fullest_cell(points: DataFrame, by: Sequence[str], side: float) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
-def _adjacent(queries: DataFrame, by: Sequence[str], side: float) -> DataFrame:
-    """Query rows ``by..., q_id, qx, qy, qz`` repeated for the 27 cells around them."""
-    q = queries.withColumn("_o", F.explode(_offset_array(_offsets(1))))
-    return q.select(*by, "q_id", "qx", "qy", "qz", *[
+def _adjacent(queries: DataFrame, by: Sequence[str], radius: float, side: float, reach: int) -> DataFrame:
+    """Query rows ``by..., q_id, qx, qy, qz`` repeated for the cells around them that come within ``radius``."""
+    q = queries.withColumn("_o", F.explode(_offset_array(_offsets(reach))))
+    gaps = F.lit(0.0)
+    for a, o in zip(AXES, "ijk"):
+        at, low = F.col(f"q{a}"), (cell(f"q{a}", side) + F.col(f"_o.{o}")) * side
+        # Less what rounding can move a cell's border by.
+        gap = F.greatest(F.greatest(low - at, at - low - side) - F.abs(at) * 1e-15, F.lit(0.0))
+        gaps = gaps + gap * gap
+    return q.where(gaps <= radius * radius * (1.0 + 1e-9)).select(*by, "q_id", "qx", "qy", "qz", *[
         (cell(f"q{a}", side) + F.col(f"_o.{o}")).alias(f"k{a}") for a, o in zip(AXES, "ijk")])
 
 
 def radius_pairs(queries: DataFrame, targets: DataFrame, radius: float, by: Sequence[str],
-                 bucket_rows: int | None = None) -> DataFrame:
+                 bucket_rows: int | None = None, parts: int = 1) -> DataFrame:
     """``by..., q_id, n_id`` and both positions for all pairs within ``radius``.
 
-    ``queries`` has ``q_id, qx, qy, qz`` and ``targets`` ``n_id, nx, ny, nz``. With ``bucket_rows``
-    the targets of a full cell are dealt to several buckets, so that no task meets the whole cell.
+    ``queries`` has ``q_id, qx, qy, qz`` and ``targets`` ``n_id, nx, ny, nz``. A cell is the radius over ``parts`` wide.
+    With ``bucket_rows`` the targets of a full cell are dealt to several buckets, so that no task meets the whole cell.
     """
     keys = [*by, "kx", "ky", "kz"]
-    q = _adjacent(queries, by, radius)
-    t = targets.withColumns({f"k{a}": cell(f"n{a}", radius) for a in AXES})
+    # Wider by a hair, so that rounding cannot put two neighbours too many cells apart.
+    side = radius / parts * (1.0 + 1e-9)
+    q = _adjacent(queries, by, radius, side, parts)
+    t = targets.withColumns({f"k{a}": cell(f"n{a}", side) for a in AXES})
     if bucket_rows:
         full = t.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("_buckets"))
         full = session.sized(full)
         q = q.join(full, keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1))).drop("_buckets")
         t = t.join(full, keys).withColumn("_b", F.pmod(F.xxhash64("n_id"), F.col("_buckets")).cast("int")).drop("_buckets")
         keys.append("_b")
-    q, t = q.alias("q"), t.alias("t")
+    # The work is in the pairs, so few rows are spread over all partitions as well.
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, t = q.repartition(spread, *keys).alias("q"), t.repartition(spread, *keys).alias("t")
     near = _dist2("q", "n") <= radius * radius
     for k in keys:
         near = near & (F.col(f"q.{k}") == F.col(f"t.{k}"))
@@ -112,10 +124,10 @@ def radius_join(points: DataFrame, radius: float, by: Sequence[str] = BY, x: str
                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """``by..., q_id, n_id, dist2``: all ordered pairs within ``radius``, boundary and self included."""
     p = _xyz(points, by, x, y, z, "point_id")
-    dense = fullest_cell(p, by, radius) > cell_rows
+    fullest = fullest_cell(p, by, radius)
     q = p.select(*by, F.col("point_id").alias("q_id"), *[F.col(a).alias(f"q{a}") for a in AXES])
     t = p.select(*by, F.col("point_id").alias("n_id"), *[F.col(a).alias(f"n{a}") for a in AXES])
-    pairs = radius_pairs(q, t, radius, by, cell_rows if dense else None)
+    pairs = radius_pairs(q, t, radius, by, cell_rows if fullest > cell_rows else None, 2 if fullest > FINE_ROWS else 1)
     return pairs.select(*by, "q_id", "n_id", _dist2("q", "n").alias("dist2"))
 
 

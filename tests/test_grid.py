@@ -268,3 +268,31 @@ def test_cells_of_medium_fill_need_no_halving(spark, monkeypatch):
     assert np.allclose(got.to_numpy(), plain.to_numpy(), atol=1e-9)
     for c, g in p.groupby("cloud_id"):
         assert (got.loc[c].n.to_numpy() == pairs(g, 0.6).sum(1)).all()
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_radius_join_compares_few_pairs_beyond_the_radius(spark, hot):
+    """Full cells met all of the 27 around them, of which 16% are near; now they are halved and far ones are left out."""
+    p = cloud(13, n=300, copies=10, hot=hot)
+    p[["x", "y"]] += 292600.0
+    df = frame(spark, p).withColumns({a: F.round(a, 3) for a in "xyz"})
+    p[["x", "y", "z"]] = df.orderBy("point_id").select("x", "y", "z").toPandas()
+    got = grid.radius_join(df, 0.3).toPandas()
+    want = set(zip(*np.nonzero(pairs(p, 0.3))))
+    assert len(got) == len(want) and set(zip(got.q_id, got.n_id)) == want
+    q = df.select("cloud_id", F.col("point_id").alias("q_id"), *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    cells = grid._adjacent(q, ["cloud_id"], 0.3, 0.15, 2)
+    own = df.select("cloud_id", *[grid.cell(a, 0.15).alias(f"k{a}") for a in "xyz"])
+    assert cells.count() <= 125 * len(p) * 0.75
+    if hot:
+        assert len(want) / cells.join(own, ["cloud_id", "kx", "ky", "kz"]).count() > 0.24
+
+
+def test_quick_rounding_is_rounding(spark):
+    from checks.queries import quick_r, r
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.uniform(0, 0.01, 20000), rng.integers(0, 20000, 20000) / 2e6, rng.integers(1, 999, 200) * 1e7 + 0.1234565, [0.0, np.inf, np.nan]])
+    rows = spark.createDataFrame(pd.DataFrame({"v": v}))
+    assert rows.where(~quick_r("v").eqNullSafe(r("v"))).count() == 0
+    many = rows.selectExpr("v", "explode(sequence(1, 20)) i").selectExpr("v * i AS v")
+    assert many.where(~quick_r("v").eqNullSafe(r("v"))).count() == 0
