@@ -215,6 +215,20 @@ def test_ladders_halve_the_reads(spark, monkeypatch):
     assert len(reads) <= 8
 
 
+def test_a_search_broadcasts_no_more_rows_than_allowed(spark, monkeypatch):
+    """A wire has a row for each rung of the ladder; only the wires were counted."""
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or plain(df))
+    monkeypatch.setattr("sagline.session.BROADCAST_ROWS", 10)
+    t = np.tile(np.linspace(0, 60, 80), 4)
+    w = np.repeat(np.arange(4), 80)
+    z = np.array([300.0, 80.0, 900.0, 45.0])[w]
+    points = pd.DataFrame({"cloud_id": "c", "wire_id": w, "point_id": range(320), "x": t, "y": 0.0, "z": z * np.cosh((t - 25) / z) + 5})
+    got = catenary.fit_catenary(spark.createDataFrame(points)).toPandas().set_index("wire_id")
+    assert got.converged.all() and np.allclose(got.a[[0, 1, 2, 3]], [300, 80, 900, 45], rtol=1e-6)
+    assert sent and max(sent) <= 10
+
+
 @pytest.mark.parametrize("axis,degree", [("x", 2), ("along", 2), ("x", 1)])
 def test_residuals_of_very_good_fits(spark, axis, degree):
     """Noise of 1e-7 m on a curve of metres at projected coordinates, beside an ordinary group and one without noise."""
