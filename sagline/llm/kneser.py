@@ -4,9 +4,11 @@ Training texts are counted by tasks into blocks of distinct runs of ``order`` wo
 shards by the hash of the last word but one, so that a gram and all its endings of two words or more meet in one
 shard. Every shard merges its blocks and writes sorted hash arrays into the shared folder, for each length: grams
 with counts (shorter ones with the number of distinct words before them), contexts with their totals, and, dealt by
-the last word, words with their counts and the number of distinct words before them. Workers map these files into
-memory and look up all distinct grams of a batch in hash order, so that pages are read in sequence and shared by
-all workers of a machine. A text begins with as many begin marks as a context has words.
+the last word, words with their counts and the number of distinct words before them. Most grams count once and most
+contexts have one follower, once: of such grams only the hash is kept, and such contexts are left out, as a known
+word or gram without a context of its own has just that one. A large table keeps six bytes of a hash, the rest is its
+bucket. Workers map these files into memory and look up all distinct grams of a batch in hash order, so that pages are
+read in sequence and shared by all workers of a machine. A text begins with as many begin marks as a context has words.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from sagline.llm.shared import fresh_path, stored
 # Bytes of training text per shard of the model, and tokens counted or scored at a time.
 SHARD_BYTES = 32_000_000
 BLOCK_TOKENS = 2_500_000
+# Tables with fewer keys keep them whole; in the others a bucket has 4 to 32 keys.
+WHOLE_KEYS = 1 << 18
 # Words whose hashes a task remembers; beyond that it starts anew.
 KNOWN_WORDS = 300_000
 _U = np.uint64
@@ -154,9 +158,51 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{path}/{name}")
 
 
-def _save_values(folder: str, name: str, values: np.ndarray) -> None:
-    """Values in a byte, 255 for the few larger ones, whose places and values follow in a file of their own."""
-    flat = values.reshape(-1)
+def _packed_keys(key: np.ndarray, whole: int) -> np.ndarray:
+    """Bytes of sorted keys: their number, the bits of a bucket, where each bucket begins, and of each key the other bits
+    in four and two bytes; below ``whole`` keys there are no buckets and all eight bytes follow."""
+    n = len(key)
+    bits = max((n // 16).bit_length() - 1, 16) if n >= whole else 0
+    parts = [np.array([n, bits], "<u8"), key.astype("<u8")]
+    if bits:
+        rest = key & _U((1 << 64 - bits) - 1)
+        cuts = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
+        parts[1:] = [cuts.astype("<u4"), (rest >> _U(16)).astype("<u4"), (rest & _U(0xFFFF)).astype("<u2")]
+    return np.concatenate([x.view(np.uint8) for x in parts])
+
+
+def _places(packed: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key among packed ones, -1 for keys that are not there."""
+    n, bits = packed[:16].view("<u8").astype(int).tolist()
+    if not n or not len(key):
+        return np.full(len(key), -1)
+    if not bits:
+        keys = packed[16:].view("<u8")
+        at = np.minimum(np.searchsorted(keys, key), n - 1)
+        return np.where(keys[at] == key, at, -1)
+    edge = 16 + 4 * ((1 << bits) + 1)
+    cuts, high, low = packed[16:edge].view("<u4"), packed[edge:edge + 4 * n].view("<u4"), packed[edge + 4 * n:].view("<u2")
+    bucket, rest = (key >> _U(64 - bits)).astype(np.int64), key & _U((1 << 64 - bits) - 1)
+    h, l = (rest >> _U(16)).astype("<u4"), (rest & _U(0xFFFF)).astype("<u2")
+    at, end = cuts[bucket].astype(np.int64), cuts[bucket + 1].astype(np.int64)
+    to = end
+    for _ in range(int((to - at).max()).bit_length()):
+        middle = (at + to) >> 1
+        there = np.minimum(middle, n - 1)
+        x = high[there]
+        less = x < h
+        if len(same := np.flatnonzero(x == h)):
+            less[same] = low[there[same]] < l[same]
+        less &= at < to
+        at, to = np.where(less, middle + 1, at), np.where(less, to, middle)
+    there = np.minimum(at, n - 1)
+    return np.where((at < end) & (high[there] == h) & (low[there] == l), at, -1)
+
+
+def _save_table(folder: str, name: str, key: np.ndarray, values: np.ndarray, whole: int) -> None:
+    """Keys, and values in a byte, 255 for the few larger ones, whose places and values follow in a file of their own."""
+    _save(folder, f"{name}.key", _packed_keys(key, whole))
+    flat = np.append(values.reshape(-1), 0)
     place = np.flatnonzero(flat >= 255)
     _save(folder, f"{name}.small", np.minimum(flat, 255).astype(np.uint8))
     _save(folder, f"{name}.big", np.stack([np.append(place, -1), np.append(flat[place], 0)], 1).astype("<i8"))
@@ -205,7 +251,7 @@ def _frequencies(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _shard_of_grams(folder: str, shards: int, order: int):
+def _shard_of_grams(folder: str, shards: int, order: int, whole: int):
     """Merge a shard's blocks, write its grams and contexts of every length, pass on its words' counts by their own shard."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s, frequencies = int(rows["shard"].iloc[0]), []
@@ -214,11 +260,13 @@ def _shard_of_grams(folder: str, shards: int, order: int):
         del parts
         for k in range(order, 1, -1):
             key, grams, c = _merge(grams, c)
-            _save(folder, f"{_GRAMS}{k}-{s}.key", key)
-            _save_values(folder, f"{_GRAMS}{k}-{s}", c)
+            _save(folder, f"{_GRAMS}{k}-{s}.once", _packed_keys(key[c == 1], whole))
+            _save_table(folder, f"{_GRAMS}{k}-{s}", key[c > 1], c[c > 1], whole)
+            del key
             context, *stats = _sums(gram_keys(grams)[0], c, *((c == i if i < 3 else c >= 3).astype(np.int64) for i in (1, 2, 3)))
-            _save(folder, f"{_CONTEXTS}{k}-{s}.key", context)
-            _save_values(folder, f"{_CONTEXTS}{k}-{s}", np.column_stack(stats))
+            # Begin marks alone are no gram, so their context is always kept.
+            kept = (stats[0] > 1) | (context == gram_keys([np.array([BEGIN])] * k)[0])
+            _save_table(folder, f"{_CONTEXTS}{k}-{s}", context[kept], np.column_stack(stats)[kept], whole)
             frequencies = _frequencies(c) + frequencies
             if k == order:
                 word, count = _sums(grams[-1], c)
@@ -232,14 +280,13 @@ def _shard_of_grams(folder: str, shards: int, order: int):
     return run
 
 
-def _shard_of_words(folder: str):
+def _shard_of_words(folder: str, whole: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
         parts = [np.frombuffer(x, "<u8").reshape(3, -1) for x in rows["block"]]
         word, count, before = _sums(*np.concatenate(parts, 1))
-        _save(folder, f"{_WORDS}-{s}.key", word)
         count, before = count.astype(np.int64), before.astype(np.int64)
-        _save_values(folder, f"{_WORDS}-{s}", np.column_stack([count, before]))
+        _save_table(folder, f"{_WORDS}-{s}", word, np.column_stack([count, before]), whole)
         return pd.DataFrame([(s, int(count.sum()), len(word), int(before.sum()), _frequencies(before), int((before >= 3).sum()))],
                             columns=["shard", "tokens", "words", "pairs", "frequencies", "frequent"])
     return run
@@ -273,7 +320,7 @@ class Model:
     def _open(self, name: str, s: int, kind: str) -> np.ndarray:
         cache = self.__dict__.setdefault("_files", {})
         if (name, s) not in cache:
-            cache[name, s] = _mapped(self.folder, name.replace("*", str(s)), kind)
+            cache[name, s] = np.asarray(_mapped(self.folder, name.replace("*", str(s)), kind))
         return cache[name, s]
 
     def __getstate__(self) -> dict:
@@ -290,10 +337,11 @@ class Model:
             own = order[cuts[s]:cuts[s + 1]]
             if not len(own) or s not in self.full[_WORDS if table == _WORDS else _GRAMS]:
                 continue
-            keys = self._open(f"{table}-*.key", s, "<u8")
-            values = self._open(f"{table}-*.small", s, "u1").reshape(-1, width)
-            at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-            hit = keys[at] == key[own]
+            if table.startswith(_GRAMS):
+                out[own, 0] = _places(self._open(f"{table}-*.once", s, "u1"), key[own]) >= 0
+            at = _places(self._open(f"{table}-*.key", s, "u1"), key[own])
+            values = self._open(f"{table}-*.small", s, "u1")[:-1].reshape(-1, width)
+            hit = at >= 0
             place, found = at[hit], values[at[hit]].astype(np.int64)
             row, column = np.nonzero(found == 255)
             if len(row):
@@ -305,22 +353,28 @@ class Model:
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score (log10) of each encoded text."""
         grams = grams_of(texts, max(self.gram_discounts))
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
         count, before = self._find(_WORDS, 2, grams[-1], grams[-1]).T
         chance = (before - self.word_discounts[np.minimum(before, 3)]) / max(self.pairs, 1) + self.rest / (self.words + 1)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
+        c = count
         for k, d in sorted(self.gram_discounts.items()):
             context, key = gram_keys(grams[-k:])
             total, n1, n2, n3 = self._find(f"{_CONTEXTS}{k}", 4, grams[-2], context).T
+            # A context is the shorter gram that ends at the token before; if known but not kept, it has one follower, once.
+            known = np.append(False, c[:-1] > 0)
+            known[starts] = False
+            known &= total == 0
+            total, n1 = total + known, n1 + known
             c = self._find(f"{_GRAMS}{k}", 1, grams[-2], key)[:, 0]
             back = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
             chance = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1) + back * chance
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
         return (np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts),
                 np.add.reduceat(np.log10(chance), starts))
 
 
-def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, order: int = 2) -> Model:
+def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, order: int = 2, whole_keys: int = WHOLE_KEYS) -> Model:
     """A model of grams of up to ``order`` words.
 
     Count all of ``docs`` and write the model into the shared folder. Null texts count as empty: an end only.
@@ -333,12 +387,12 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, o
     shards = max(ceil(size / shard_bytes), 4)
     folder = fresh_path(spark, "kneser-ney")
     blocks = raw.mapInArrow(_counted(shards, order), "shard int, block binary")
-    passed = stored(blocks.groupBy("shard").applyInPandas(_shard_of_grams(folder, shards, order),
+    passed = stored(blocks.groupBy("shard").applyInPandas(_shard_of_grams(folder, shards, order, whole_keys),
                                                           "shard int, block binary, frequencies array<long>"), "word-blocks")
     with_grams = passed.where("shard < 0").select(-1 - F.col("shard"), "frequencies").collect()
     f = np.reshape(np.sum([r[1] for r in with_grams], 0) if with_grams else [0] * 4 * (order - 1), (order - 1, 4)).tolist()
     done = stored(passed.where("shard >= 0").select("shard", "block").groupBy("shard").applyInPandas(
-        _shard_of_words(folder), "shard int, tokens long, words long, pairs long, frequencies array<long>, frequent long"), "word-shards")
+        _shard_of_words(folder, whole_keys), "shard int, tokens long, words long, pairs long, frequencies array<long>, frequent long"), "word-shards")
     with_words = done.collect()
     tokens, words, pairs, frequent = (sum(r[c] for r in with_words) for c in ("tokens", "words", "pairs", "frequent"))
     g = np.sum([r["frequencies"] for r in with_words], 0) if with_words else [0] * 4

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -114,6 +115,35 @@ def test_kneser_ney_order_three(spark, shard_bytes):
         assert sum(chance((*context, w)) for (w,) in [*levels[1], (b"unseen",)]) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("whole", [1, 1 << 18])
+def test_kneser_ney_tables_are_small_and_whole(spark, whole):
+    """A rare gram takes its hash alone, a context with one follower, once, nothing; all of them are still scored as the plain model does."""
+    rng = random.Random(26)
+    texts = [" ".join(rng.choice("abcdefghijkl") + str(rng.randrange(40)) for _ in range(rng.randint(0, 90))) for _ in range(100)] + ["", "solo", "a1 a1 a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learned = [t for i, t in enumerate(texts) if crc32(str(i).encode()) % 5 != 1]
+    want, _, levels = plain_order_three(learned, texts)
+    model = kneser.train(docs.where(~kneser.held_out()), order=3, whole_keys=whole)
+    for r in kneser.score(docs, model).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+    if whole > 1:
+        files = Path(model.folder.removeprefix("file:")).iterdir()
+        assert sum(f.stat().st_size for f in files if not f.name.startswith("words")) < 20 * len(levels[3])
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(8)
+    key = rng.integers(0, 1 << 64, 400_000, np.uint64, endpoint=False)
+    key = np.unique(np.concatenate([key, key[:2000] ^ np.uint64(1), key[:2000] ^ np.uint64(0x8001), [np.uint64(0), np.uint64((1 << 64) - 1)]]))
+    other = np.concatenate([key[::7] ^ np.uint64(2), rng.integers(0, 1 << 64, 50_000, np.uint64)])
+    for n, whole in ((len(key), 1 << 18), (len(key), 1 << 30), (len(key), 1), (1, 1), (0, 1), (0, 0)):
+        packed = kneser._packed_keys(key[:n], whole)
+        assert (kneser._places(packed, key[:n]) == np.arange(n)).all()
+        assert (kneser._places(packed, other) == [{int(k): i for i, k in enumerate(key[:n])}.get(int(x), -1) for x in other]).all() if n < 2 else (
+            (kneser._places(packed, other) >= 0) == np.isin(other, key[:n])).all()
+    assert len(kneser._packed_keys(key, 1 << 18)) < 7 * len(key)
+
+
 def test_kneser_ney_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = kneser.train(docs.limit(0))
