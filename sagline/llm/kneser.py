@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from sagline.llm.shared import fresh_path, stored
 
-# Bytes of training text per shard of the model, and tokens counted or scored at a time.
+# Bytes of training text per shard of the model, and tokens counted at a time.
 SHARD_BYTES = 32_000_000
 BLOCK_TOKENS = 2_500_000
+# Tokens scored in one step; what is sorted and looked up is held for these alone.
+SCORE_TOKENS = 500_000
 # Tables with fewer keys keep them whole; in the others a bucket has 4 to 32 keys.
 WHOLE_KEYS = 1 << 18
 # Words whose hashes a task remembers; beyond that it starts anew.
@@ -66,19 +68,51 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return k * _U(0x9E3779B97F4A7C15)
 
 
-def grams_of(texts: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """The last ``order`` words, the oldest first, at every token of encoded texts; each text begins anew."""
-    last = np.concatenate(texts) if texts else np.zeros(0, _U)
-    sizes = np.array([len(t) for t in texts], np.int64)
+def grams_of(last: np.ndarray, sizes: np.ndarray, order: int, begin) -> list[np.ndarray]:
+    """The last ``order`` words, the oldest first, at every token of texts of the given sizes; each text begins anew."""
     place = np.arange(len(last)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = [last]
     for back in range(1, order):
-        before = np.full_like(last, BEGIN)
-        before[back:] = np.where(place[back:] >= back, last[:-back], BEGIN)
+        before = np.full_like(last, begin)
+        before[back:] = np.where(place[back:] >= back, last[:-back], begin)
         out.insert(0, before)
     return out
 
 
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a value for the first time."""
+    return np.append(True, x[1:] != x[:-1])[:len(x)]
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's number among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new, at = _new(x), np.empty(len(x), _U)
+    at[order] = np.cumsum(new) - 1
+    return x[new], at
+
+
+def _numbered_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number the distinct pairs of two arrays of small numbers: a place of each, and each place's number.
+
+    Sorting both with the place in one word takes a tenth of the time of sorting indices.
+    """
+    n, of_b, of_place = len(a), int(b.max()).bit_length(), len(a).bit_length()
+    if int(a.max()).bit_length() + of_b + of_place > 64:
+        _, first, at = np.unique(a << _U(of_b) | b, return_index=True, return_inverse=True)
+        return first, at.astype(_U)
+    x = np.sort((a << _U(of_b) | b) << _U(of_place) | np.arange(n, dtype=_U))
+    place = (x & _U((1 << of_place) - 1)).astype(np.int64)
+    new, at = _new(x >> _U(of_place)), np.empty(n, _U)
+    at[place] = np.cumsum(new) - 1
+    return place[new], at
+
+
 def gram_keys(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each gram's context and of the whole gram."""
     context = grams[0]
@@ -87,47 +121,80 @@ def gram_keys(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return context, mix(context, grams[-1])
 
 
-def _merge(grams: list[np.ndarray], c: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct grams in order of their hash: key, words, and count, of which each row is one if ``c`` is None."""
+def _merge(grams: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct grams in order of their hash: key, words, and count."""
     key = gram_keys(grams)[1]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(key))) if c is None else np.add.reduceat(c[order], first) if len(first) else c
-    return key[first], [g[order[first]] for g in grams], count.astype(np.int64)
+    first = np.flatnonzero(_new(key))
+    count = np.add.reduceat(c[order], first) if len(first) else c
+    return key[first], [g[order[first]] for g in grams], count
 
 
 def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order, and the sums of each of ``values``."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(_new(key))
     return [key[first], *[np.add.reduceat(v[order], first) if len(first) else v for v in values]]
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    return b"".join(x.astype("<u8").tobytes() for x in arrays)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers in planes of bytes, of which those with zeros alone take nothing once compressed."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _pack(grams: list[np.ndarray], c: np.ndarray) -> bytes:
-    """Grams in order of the last word but one and those before it: the words' distinct hashes, each gram's words as
-    places among them in planes of bytes, counts in a byte with 255 for the few larger ones, which follow; compressed."""
-    names, at = np.unique(np.concatenate(grams), return_inverse=True)
-    at = at.reshape(len(grams), -1).astype("<u4")
-    order = np.lexsort((at[-1], *at[:-1]))
-    at, c = np.ascontiguousarray(at[:, order]), c[order]
-    at[-2, 1:] = np.diff(at[-2])
-    planes = at.view(np.uint8).reshape(len(grams), -1, 4).transpose(0, 2, 1).tobytes()
+def _of_planes(body: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<u8").reshape(n)
+
+
+def _blob(word: np.ndarray, *values: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, and numbers for each; compressed."""
+    body = b"".join(map(_planes, [np.diff(word, prepend=_U(0)), *(x.astype(_U) for x in values)]))
+    return np.array([len(word), len(body)], "<u8").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _of_blob(blob: bytes) -> list[np.ndarray]:
+    n, size = np.frombuffer(blob, "<u8", 2).astype(int).tolist()
+    body = pa.decompress(blob[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    word, *values = [_of_planes(body, n, at) for at in range(0, size, 8 * n)]
+    return [np.cumsum(word, dtype=_U), *values]
+
+
+def _distinct(grams: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct grams of word numbers of so many bits, by the last word but one, those before it and the last; their counts."""
+    columns = [*grams[-2::-1], grams[-1]]
+    if bits * len(columns) <= 64:
+        x = columns[0].astype(_U)
+        for word in columns[1:]:
+            x <<= _U(bits)
+            x |= word
+        x.sort()
+        first = np.flatnonzero(_new(x))
+        x = x[first]
+        columns = [(x >> _U(bits * i) & _U((1 << bits) - 1)).astype(grams[0].dtype) for i in range(len(columns) - 1, -1, -1)]
+    else:
+        order = np.lexsort(columns[::-1])
+        x = [word[order] for word in columns]
+        first = np.flatnonzero(np.any([_new(word) for word in x], 0))
+        columns = [word[first] for word in x]
+    return [*columns[-2::-1], columns[-1]], np.diff(np.append(first, len(grams[0])))
+
+
+def _pack(names: np.ndarray, grams: list[np.ndarray], c: np.ndarray) -> bytes:
+    """Grams in order of the last word but one: the words' sorted hashes by their differences, each gram's words as places
+    among them, counts in a byte with 255 for the few larger ones, which follow; compressed."""
+    grams = [g.astype("<u4") for g in grams]
+    grams[-2] = np.diff(grams[-2], prepend=np.uint32(0))
     small, big = np.minimum(c, 255).astype(np.uint8), c[c >= 255]
-    body = planes + small.tobytes() + big.astype("<u8").tobytes()
-    return (np.array([len(names), len(c), len(big), len(body)], "<u8").tobytes() + names.tobytes()
-            + pa.compress(body, codec="zstd", asbytes=True))
+    body = _planes(np.diff(names, prepend=_U(0))) + b"".join(map(_planes, grams)) + small.tobytes() + big.astype("<u8").tobytes()
+    return np.array([len(names), len(c), len(big), len(body)], "<u8").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     words, n, big, size = np.frombuffer(blob, "<u8", 4).astype(int).tolist()
-    names = np.frombuffer(blob, "<u8", words, 32)
-    body = pa.decompress(blob[32 + 8 * words:], decompressed_size=size, codec="zstd", asbytes=True)
+    body = pa.decompress(blob[32:], decompressed_size=size, codec="zstd", asbytes=True)
+    names, body = np.cumsum(_of_planes(body, words), dtype=_U), memoryview(body)[8 * words:]
     planes = np.frombuffer(body, np.uint8, 4 * order * n).reshape(order, 4, n)
     at = planes.transpose(0, 2, 1).copy().view("<u4").reshape(order, n)
     at[-2] = np.cumsum(at[-2], dtype=np.uint32)
@@ -184,19 +251,28 @@ def _places(packed: np.ndarray, key: np.ndarray) -> np.ndarray:
     cuts, high, low = packed[16:edge].view("<u4"), packed[edge:edge + 4 * n].view("<u4"), packed[edge + 4 * n:].view("<u2")
     bucket, rest = (key >> _U(64 - bits)).astype(np.int64), key & _U((1 << 64 - bits) - 1)
     h, l = (rest >> _U(16)).astype("<u4"), (rest & _U(0xFFFF)).astype("<u2")
-    at, end = cuts[bucket].astype(np.int64), cuts[bucket + 1].astype(np.int64)
-    to = end
-    for _ in range(int((to - at).max()).bit_length()):
-        middle = (at + to) >> 1
-        there = np.minimum(middle, n - 1)
-        x = high[there]
-        less = x < h
-        if len(same := np.flatnonzero(x == h)):
-            less[same] = low[there[same]] < l[same]
-        less &= at < to
-        at, to = np.where(less, middle + 1, at), np.where(less, to, middle)
-    there = np.minimum(at, n - 1)
-    return np.where((at < end) & (high[there] == h) & (low[there] == l), at, -1)
+    begin, end = cuts[bucket].astype(np.int64), cuts[bucket + 1].astype(np.int64)
+    # Hashes are spread evenly, so a key is a few steps from its share of the bucket.
+    at = begin + ((rest >> _U(16)) * (end - begin).astype(_U) >> _U(48 - bits)).astype(np.int64)
+    go = np.flatnonzero(at < end)
+    while len(go := go[high[at[go]] < h[go]]):
+        at[go] += 1
+        go = go[at[go] < end[go]]
+    go = np.flatnonzero(at > begin)
+    while len(go := go[high[at[go] - 1] >= h[go]]):
+        at[go] -= 1
+        go = go[at[go] > begin[go]]
+    same = np.flatnonzero(at < end)
+    same = go = same[high[at[same]] == h[same]]
+    while len(go := go[low[at[go]] < l[go]]):
+        at[go] += 1
+        go = go[at[go] < end[go]]
+        go = go[high[at[go]] == h[go]]
+    same = same[at[same] < end[same]]
+    same = same[(high[at[same]] == h[same]) & (low[at[same]] == l[same])]
+    out = np.full(len(key), -1)
+    out[same] = at[same]
+    return out
 
 
 def _save_table(folder: str, name: str, key: np.ndarray, values: np.ndarray, whole: int) -> None:
@@ -225,11 +301,25 @@ def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
 def _counted(shards: int, order: int):
     """Blocks of distinct grams by shard of the last word but one."""
     def flush(texts: list[np.ndarray]) -> pa.RecordBatch:
-        _, grams, c = _merge(grams_of(texts, order), None)
-        shard = (grams[-2] % _U(shards)).astype(np.int64)
-        by = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-        rows = [(s, _pack([g[own] for g in grams], c[own])) for s in range(shards) if len(own := by[cuts[s]:cuts[s + 1]])]
+        last, sizes = _joined(texts)
+        texts.clear()
+        names, last = _numbered(last)
+        names = np.append(names, BEGIN)
+        # Words are numbered by their shard, so that sorted grams lie together by shard.
+        by = np.lexsort((names, names % _U(shards)))
+        names, number = names[by], np.empty(len(by), np.uint32)
+        number[by] = np.arange(len(by), dtype=np.uint32)
+        last = number[last]
+        grams, c = _distinct(grams_of(last, sizes, order, number[-1]), len(by).bit_length())
+        cuts = np.searchsorted(grams[-2], np.searchsorted(names % _U(shards), np.arange(shards + 1, dtype=_U)).astype(np.uint32))
+        place, rows = np.zeros(len(by), np.uint32), []
+        for s in range(shards):
+            own = slice(cuts[s], cuts[s + 1])
+            if cuts[s] < cuts[s + 1]:
+                used = np.unique(np.concatenate([g[own] for g in grams]))
+                used = used[np.argsort(names[used])]
+                place[used] = np.arange(len(used), dtype=np.uint32)
+                rows.append((s, _pack(names[used], [place[g[own]] for g in grams], c[own])))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                                           ["shard", "block"])
 
@@ -255,9 +345,13 @@ def _shard_of_grams(folder: str, shards: int, order: int, whole: int):
     """Merge a shard's blocks, write its grams and contexts of every length, pass on its words' counts by their own shard."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s, frequencies = int(rows["shard"].iloc[0]), []
-        parts = [_unpack(x, order) for x in rows["block"]]
-        grams, c = [np.concatenate([p[0][i] for p in parts]) for i in range(order)], np.concatenate([p[1] for p in parts])
-        del parts
+        sizes = [int(np.frombuffer(x, "<u8", 1, 8)[0]) for x in rows["block"]]
+        grams, c, end = [np.empty(sum(sizes), _U) for _ in range(order)], np.empty(sum(sizes), np.int64), 0
+        for x, n in zip(rows["block"], sizes):
+            part, c[end:end + n] = _unpack(x, order)
+            for whole_column, column in zip(grams, part):
+                whole_column[end:end + n] = column
+            end += n
         for k in range(order, 1, -1):
             key, grams, c = _merge(grams, c)
             _save(folder, f"{_GRAMS}{k}-{s}.once", _packed_keys(key[c == 1], whole))
@@ -283,8 +377,7 @@ def _shard_of_grams(folder: str, shards: int, order: int, whole: int):
 def _shard_of_words(folder: str, whole: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
-        parts = [np.frombuffer(x, "<u8").reshape(3, -1) for x in rows["block"]]
-        word, count, before = _sums(*np.concatenate(parts, 1))
+        word, count, before = _sums(*map(np.concatenate, zip(*map(_of_blob, rows["block"]))))
         count, before = count.astype(np.int64), before.astype(np.int64)
         _save_table(folder, f"{_WORDS}-{s}", word, np.column_stack([count, before]), whole)
         return pd.DataFrame([(s, int(count.sum()), len(word), int(before.sum()), _frequencies(before), int((before >= 3).sum()))],
@@ -327,49 +420,60 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_files"}
 
     def _find(self, table: str, width: int, dealt: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Values of ``key`` in the sorted arrays of a table, 0 where it has none; ``dealt`` chooses the shard."""
-        key, first, back = np.unique(key, return_index=True, return_inverse=True)
-        shard = (dealt[first] % _U(self.shards)).astype(np.int64)
-        order = np.lexsort((key, shard))
+        """Values of distinct keys in the sorted arrays of a table, 0 where it has none; ``dealt`` chooses the shard."""
         out = np.zeros((len(key), width), np.int64)
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        # By shard, and within it nearly in order of the hash; the rest of the word is the place.
+        of_shard, of_place = _U(self.shards.bit_length()), _U(len(key).bit_length())
+        order = np.sort(dealt % _U(self.shards) << _U(64) - of_shard | key >> of_shard >> of_place << of_place
+                        | np.arange(len(key), dtype=_U))
+        cuts = np.searchsorted(order >> _U(64) - of_shard, np.arange(self.shards + 1, dtype=_U))
+        order = (order & (_U(1) << of_place) - _U(1)).astype(np.int64)
         for s in range(self.shards):
             own = order[cuts[s]:cuts[s + 1]]
             if not len(own) or s not in self.full[_WORDS if table == _WORDS else _GRAMS]:
                 continue
             if table.startswith(_GRAMS):
-                out[own, 0] = _places(self._open(f"{table}-*.once", s, "u1"), key[own]) >= 0
+                once = _places(self._open(f"{table}-*.once", s, "u1"), key[own]) >= 0
+                out[own[once]] = 1
+                own = own[~once]
             at = _places(self._open(f"{table}-*.key", s, "u1"), key[own])
             values = self._open(f"{table}-*.small", s, "u1")[:-1].reshape(-1, width)
             hit = at >= 0
-            place, found = at[hit], values[at[hit]].astype(np.int64)
+            place, found = at[hit], values[at[hit]]
             row, column = np.nonzero(found == 255)
+            found = found.astype(np.int64)
             if len(row):
                 big = self._open(f"{table}-*.big", s, "<i8").reshape(-1, 2)
                 found[row, column] = big[np.searchsorted(big[:-1, 0], place[row] * width + column), 1]
             out[own[hit]] = found
-        return out[back]
+        return out
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and model score (log10) of each encoded text."""
-        grams = grams_of(texts, max(self.gram_discounts))
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        count, before = self._find(_WORDS, 2, grams[-1], grams[-1]).T
+        last, sizes = _joined(texts)
+        starts = np.cumsum(sizes) - sizes
+        words, word = _numbered(last)
+        values = self._find(_WORDS, 2, words, words)
+        count, before = values[word].T
         chance = (before - self.word_discounts[np.minimum(before, 3)]) / max(self.pairs, 1) + self.rest / (self.words + 1)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        c = count
+        # The distinct grams of one length: hash, last word and count; and the number of the one that ends at each token.
+        key, end, c, at = words, words, values[:, 0], word
         for k, d in sorted(self.gram_discounts.items()):
-            context, key = gram_keys(grams[-k:])
-            total, n1, n2, n3 = self._find(f"{_CONTEXTS}{k}", 4, grams[-2], context).T
-            # A context is the shorter gram that ends at the token before; if known but not kept, it has one follower, once.
-            known = np.append(False, c[:-1] > 0)
-            known[starts] = False
-            known &= total == 0
-            total, n1 = total + known, n1 + known
-            c = self._find(f"{_GRAMS}{k}", 1, grams[-2], key)[:, 0]
-            back = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-            chance = (c - d[np.minimum(c, 3)]) / np.maximum(total, 1) + back * chance
+            # A token's context is the shorter gram that ends at the token before, number 0 at a text's begin.
+            key = np.append(gram_keys([np.array([BEGIN])] * k)[0], key)
+            end = np.append(BEGIN, end)
+            total, n1, n2, n3 = self._find(f"{_CONTEXTS}{k}", 4, end, key).T
+            # A known one that the table leaves out has one follower, once.
+            once = np.append(False, c > 0) & (total == 0)
+            total, n1 = np.maximum(total + once, 1), n1 + once
+            back = np.where((n1 > 0) | (n2 > 0) | (n3 > 0), (d[1] * n1 + d[2] * n2 + d[3] * n3) / total, 1.0)
+            context = np.append(_U(0), at[:-1] + _U(1))
+            context[starts] = 0
+            first, at = _numbered_pairs(context, word)
+            key, end, dealt = mix(key[context[first]], last[first]), last[first], end[context[first]]
+            c = self._find(f"{_GRAMS}{k}", 1, dealt, key)[:, 0]
+            chance = (c - d[np.minimum(c, 3)])[at] / total[context] + back[context] * chance
         return (np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts),
                 np.add.reduceat(np.log10(chance), starts))
 
@@ -419,7 +523,7 @@ def _scored(handle):
                 texts.append(encode(t.as_py()))
                 rows.append((key.as_py(), held.as_py()))
                 count += len(texts[-1])
-                if count >= BLOCK_TOKENS:
+                if count >= SCORE_TOKENS:
                     yield flush()
                     rows, texts, count = [], [], 0
         if rows:

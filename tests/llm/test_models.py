@@ -144,6 +144,16 @@ def test_packed_keys():
     assert len(kneser._packed_keys(key, 1 << 18)) < 7 * len(key)
 
 
+@pytest.mark.parametrize("high", [9, 1 << 30])
+def test_numbers_of_grams_of_few_and_of_many_words(high):
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.integers(0, 9, 3000).astype(np.uint64) * np.uint64(high // 9) for _ in range(3))
+    first, at = kneser._numbered_pairs(a, b)
+    assert (a[first][at] == a).all() and (b[first][at] == b).all() and len(first) == len(set(zip(a, b)))
+    grams, count = kneser._distinct([a, b, c], high.bit_length())
+    assert Counter(dict(zip(zip(*grams), count))) == Counter(zip(a, b, c)) and (np.diff(grams[1].astype(int)) >= 0).all()
+
+
 def test_kneser_ney_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = kneser.train(docs.limit(0))
