@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sagline.llm import lines, simhash
 from sagline.llm.components import components
@@ -146,6 +147,20 @@ def test_short_lines_as_in_production(spark):
     assert sum(x.startswith("Copyright") for x in left) == 1
 
 
+def test_shingles_of_any_characters_and_each_pair_once(spark):
+    """Shingles are whole characters, also beyond 16 bits, and a member that meets its pivot in several bands is named once."""
+    texts = ["", "ab", "abcd", "aaaaaaaa", "é😀x😀é😀x😀y", "abcdefgh" * 40 + "é" * 90]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, line string")
+    got = {r["id"]: r["s"] for r in rows.select("id", lines.shingles(F.col("line")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        want = {t[k:k + 4] for k in range(max(len(t) - 3, 1))}
+        assert set(got[i]) == {xxhash.xxh64_intdigest(x.encode("utf-32-be"), 42) - (1 << 64 if xxhash.xxh64_intdigest(
+            x.encode("utf-32-be"), 42) >> 63 else 0) for x in want} and len(got[i]) == len(want)
+    near = spark.createDataFrame([(i, "the same long line of text with a number " * 3 + str(i), 1) for i in range(9)], "id long, line string, n long")
+    met = [tuple(r) for r in lines.buckets(near).collect()]
+    assert len(met) == len(set(met)) and {a for a, _ in met} == set(range(9))
+
+
 def test_drop_near_by_row(spark):
     once = "one two three four five six seven eight nine ten"
     rows = [(5, once), (5, once), (9, once), (None, once), (None, "only here without an id"), (None, "only here without an id"), (5, "another text of id five")]
