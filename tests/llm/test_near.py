@@ -161,6 +161,29 @@ def test_shingles_of_any_characters_and_each_pair_once(spark):
     assert len(met) == len(set(met)) and {a for a, _ in met} == set(range(9))
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_few_pairs_of_unlike_lines_reach_their_texts(spark, monkeypatch, small):
+    """Lines of few syllables meet by chance in many buckets; sketches rule them out, and no link is lost in small or large buckets."""
+    rng = random.Random(15)
+    part = ["the", "ing", "ou", "th", "er", "ea", "on", "and ", "re ", "ti ", "an ", ". "]
+    line = lambda n: "".join(rng.choice(part) for _ in range(n))
+    base = [line(rng.choice((12, 30, 60, 120))).strip() for _ in range(250)]
+    near = [x[:k] + rng.choice("xyz") + x[k + 1:] for x in base[:40] for k in (rng.randrange(len(x)),)]
+    family = [f"{base[200][:90]} number {i} of the same family of lines" for i in range(30)]
+    pool = sorted({*base, *near, *family})
+    compared = []
+    exact = lines.jaccard
+    monkeypatch.setattr(lines, "SMALL", small)
+    monkeypatch.setattr(lines, "jaccard", lambda pairs, *a: compared.append(pairs.count()) or exact(pairs, *a))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(pool)], "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.repeated_lines(docs).collect() if not r["dropped"]}
+    cut = {x: {x[i:i + 4] for i in range(max(len(x) - 3, 1))} for x in pool}
+    alike = {(a, b) for a in pool for b in pool if a < b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    component = groups(pool, lambda a, b: (a, b) in alike)
+    assert {pool[i] for i in got} == set(component.values())
+    assert sum(compared) < 3 * len(alike)
+
+
 def test_drop_near_by_row(spark):
     once = "one two three four five six seven eight nine ten"
     rows = [(5, once), (5, once), (9, once), (None, once), (None, "only here without an id"), (None, "only here without an id"), (5, "another text of id five")]
