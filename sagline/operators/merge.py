@@ -39,8 +39,10 @@ BY = ("cloud_id",)
 SCAN_ROWS = 1_000_000
 # A difference of means this close to a gate's limit is at the limit, which does not pass; rounding does not decide it.
 TIE = 1e-9
-# Clouds with more gates than this are never written as a graph; so many segments of each are paired to estimate them.
+# Clouds with more gates than this, or more for each segment, are never written as a graph: where each seed waits for most of those
+# before it, rounds would settle a few seeds each. So many segments of each cloud are paired to estimate its gates.
 GATE_ROWS = 20_000_000
+GATE_DEGREE = 100
 GATE_SAMPLE = 300
 # Candidates that a seed tests at once, at first.
 TEST_ROWS = 16
@@ -239,7 +241,7 @@ def _scan_order(points: DataFrame, seg: DataFrame, by: list[str], line: float, c
 
 
 def _crowded(seg: DataFrame, by: list[str], line: float, height: float, seed: int) -> DataFrame:
-    """Clouds that have more than ``GATE_ROWS`` gates, by the share of gates among pairs of a sample of their segments."""
+    """Clouds with more gates than ``GATE_ROWS`` or, for each segment, ``GATE_DEGREE``, by their share among pairs of a sample of segments."""
     every = F.ceil(F.col("_count") / GATE_SAMPLE)
     counts = seg.groupBy(*by).agg(F.count(F.lit(1)).alias("_count"))
     some = session.attach(seg, counts, by).where(F.pmod(F.xxhash64("seg_id"), every) == 0)
@@ -248,8 +250,9 @@ def _crowded(seg: DataFrame, by: list[str], line: float, height: float, seed: in
     off = F.abs(F.col("a_my") + F.col("a_slope") * (F.col("b_mx") - F.col("a_mx")) - F.col("b_my"))
     passes = (F.col("a_n") >= seed) & (off < line) & (F.abs(F.col("a_mz") - F.col("b_mz")) < height)
     met = a.join(b.drop("_count"), by).where("a_ord < b_ord")
-    met = met.groupBy(*by).agg((F.avg(F.coalesce(passes.cast("double"), F.lit(0.0))) * F.max("_count") * F.max("_count") / 2).alias("_gates"))
-    return session.cut_lineage(met.where(F.col("_gates") > GATE_ROWS).select(*by))
+    degree = F.avg(F.coalesce(passes.cast("double"), F.lit(0.0))) * F.max("_count") / 2
+    met = met.groupBy(*by).agg(degree.alias("_degree"), F.max("_count").alias("_count"))
+    return session.cut_lineage(met.where((F.col("_degree") > GATE_DEGREE) | (F.col("_degree") * F.col("_count") > GATE_ROWS)).select(*by))
 
 
 def _by_segment(points: pd.DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray, pd.DataFrame]:

@@ -221,3 +221,20 @@ def test_a_gate_at_its_limit_is_closed(spark):
     seg = spark.createDataFrame(rows, "cloud_id string, seg_id long, ord long, n long, mx double, my double, mz double, slope double")
     got = {(r["a"], r["b"]) for r in merge.merge_gate_join(seg, 0.05, 1.0).collect() if r["a"] == 0}
     assert got == {(0, 3)}
+
+
+def test_dense_cloud_of_few_segments_goes_without_rounds(spark, monkeypatch):
+    """Nearly all segments are candidates of each other and few are taken, so rounds would settle one seed each."""
+    rng, n = np.random.default_rng(5), 250
+    t = np.linspace(0, 5, 4)
+    rows = [pd.DataFrame({"cloud_id": "c", "seg_id": k, "x": t + rng.uniform(0, 50), "y": 0.0, "z": 10 + .01 * t ** 2 + rng.uniform(0, 3)}) for k in range(n)]
+    p = pd.concat(rows, ignore_index=True).assign(point_id=lambda d: range(len(d)))
+    df = spark.createDataFrame(p)
+    seg = session_cut(seg_ops.rank_segments(seg_ops.build_segments(df)))
+    want = sorted(map(tuple, merge.find_merges(seg, df, seed=3, curve=0.05).collect()))
+
+    def no_rounds(*_):
+        raise AssertionError("rounds over a dense graph")
+
+    monkeypatch.setattr(merge, "_ready_seeds", no_rounds)
+    assert sorted(map(tuple, merge.find_merges(seg, df, seed=3, curve=0.05, scan_rows=400).collect())) == want and 2 < len(want) < n // 2
