@@ -44,8 +44,10 @@ TIE = 1e-9
 GATE_ROWS = 20_000_000
 GATE_DEGREE = 100
 GATE_SAMPLE = 300
-# Candidates that a seed tests at once, at first.
+# Candidates that a seed, or seeds that a segment of more than ``SCAN_ROWS`` points, tests at once, at first.
 TEST_ROWS = 16
+# About so many points of such a segment rule seeds out before all are met.
+FEW_ROWS = 1000
 
 
 def segment_frames(points: DataFrame, by: Sequence[str] = BY, x: str = "x", y: str = "y", z: str = "z",
@@ -214,29 +216,98 @@ def _scan_run(points: pd.DataFrame, segs: pd.DataFrame, keys: list[str], line: f
     return out[[*keys, "into", "seg_id", "o", *FRAME, "slope", *KEEP]]
 
 
+def _large_order(segs: DataFrame, by: list[str], scan_rows: int) -> DataFrame:
+    """``segs`` with its ``run``: about ``scan_rows`` points of the order and one segment more at most, or one ``large`` segment alone."""
+    order = Window.partitionBy(*by).orderBy("o")
+    large = F.col("n") > max(scan_rows, 1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    segs = segs.withColumns({"large": large, "_left": F.sum(large.cast("int")).over(upto), "_n": F.sum(F.when(large, 0).otherwise(F.col("n"))).over(upto)})
+    place = ["_left", F.when(F.col("large"), -1).otherwise(F.floor((F.col("_n") - 1) / max(scan_rows, 1)))]
+    return segs.withColumn("run", F.dense_rank().over(Window.partitionBy(*by).orderBy(*place)) - 1).drop("_left", "_n")
+
+
+def _misses(points: DataFrame, tests: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., into, o, worst``: how far the points of a cloud's segment are off each curve of ``tests`` at most."""
+    p = session.attach(points.select(*by, "x", "y", "z"), tests, by)
+    u = (F.col("x") - F.col("mx")) * F.col("c") + (F.col("y") - F.col("my")) * F.col("s") - F.col("um")
+    miss = F.abs((F.col("q2") * u + F.col("q1")) * u + F.col("q0") + F.col("vm") - (F.col("z") - F.col("mz")))
+    return p.groupBy(*by, "into", "o").agg(F.max(miss).alias("worst"))
+
+
+def _takers(points: DataFrame, mine: DataFrame, held: DataFrame, by: list[str], line: float, curve: float, height: float) -> DataFrame:
+    """``by..., into``: the first of the seeds ``held`` that takes its cloud's segment in ``mine``, with the points left where they are."""
+    own = points.select(*by, "seg_id", "x", "y", "z").join(F.broadcast(mine.select(*by, "seg_id", F.col("n").alias("_all"))), [*by, "seg_id"])
+    to = mine.select(*by, *[F.col(c).alias(f"_{c}") for c in ("mx", "my", "mz")])
+    off = F.abs(F.col("my") + F.col("slope") * (F.col("_mx") - F.col("mx")) - F.col("_my"))
+    met = _curves(held.join(F.broadcast(to), by).where((off < line - TIE) & (F.abs(F.col("mz") - F.col("_mz")) < height - TIE)))
+    left = session.cut_lineage(met.where("q2 IS NOT NULL").select(*by, "into", "o", *FRAME, "um", "vm", "q2", "q1", "q0"))
+    # Its highest and lowest point and a few others rule most curves out.
+    some = own.where(F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("_all") / FEW_ROWS)) == 0).select(*by, "x", "y", "z")
+    ends = own.groupBy(*by).agg(*[f(F.struct("z", "x", "y")).alias(n) for f, n in ((F.min, "_low"), (F.max, "_high"))])
+    few = append_segments(some, *[ends.select(*by, f"{e}.x", f"{e}.y", f"{e}.z") for e in ("_low", "_high")])
+    key, found, width = [*by, "into"], [], TEST_ROWS
+    while not session.is_empty(left):
+        if not found:
+            left = session.cut_lineage(left.join(_misses(session.cut_lineage(few), left, by).where(F.col("worst") < curve), [*key, "o"], "left_semi"))
+        part = session.cut_lineage(left.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).where(F.col("_k") <= width).drop("_k"))
+        hit = _misses(own, part, by).where(F.col("worst") < curve).groupBy(*by).agg(F.min(F.struct("o", "into")).alias("h"))
+        found.append(session.cut_lineage(hit.select(*by, F.col("h.into").alias("into"))))
+        left = session.cut_lineage(left.join(part, key, "left_anti").join(found[-1], by, "left_anti"))
+        width *= 4
+    return append_segments(*found) if found else left.select(*key)
+
+
+def _take_large(points: DataFrame, mine: DataFrame, held: DataFrame | None, by: list[str], line: float, curve: float, height: float,
+                seed: int) -> tuple[DataFrame | None, DataFrame]:
+    """``by..., into, seg_id`` of the segments in ``mine``, one a cloud, that seeds take, and the seeds with what they took and those left."""
+    key = [*by, "into"]
+    fresh = mine.where((F.col("n") >= seed) & F.col("slope").isNotNull()).withColumn("into", F.col("seg_id"))
+    fresh = fresh.select(*key, "o", *FRAME, "slope", *[c.cast("double").alias(k) for c, k in zip(_profile(), KEEP)])
+    if held is None:
+        return None, session.cut_lineage(fresh)
+    hit = _takers(points, mine, held, by, line, curve, height)
+    added = hit.join(held.select(*key, *FRAME), key).join(mine.select(
+        *by, *[F.col(c).alias(f"_b{c[1]}") for c in ("mx", "my", "mz")], "n", *[M.name(e) for e in M.SPATIAL]), by)
+    d = F.expr("(_bx - mx) * c + (_by - my) * s").alias("_d")
+    added = added.select(*key, d, (F.col("_bz") - F.col("mz")).alias("_dz"), *_profile())
+    added = added.select(*key, *[F.expr(e).alias(f"_{n}") for n, e in _shifted("_d", "_dz").items()])
+    grown = held.join(added, key, "left").withColumns({n: F.col(n) + F.coalesce(f"_{n}", F.lit(0.0)) for n in KEEP})
+    kept = grown.select(*fresh.columns).unionByName(fresh.join(hit, by, "left_anti"))
+    return hit.join(mine.select(*by, "seg_id"), by), session.cut_lineage(kept)
+
+
 def _scan_order(points: DataFrame, seg: DataFrame, by: list[str], line: float, curve: float, height: float, seed: int,
                 scan_rows: int) -> DataFrame:
-    """Accepted pairs of whole clouds, in runs of about ``scan_rows`` points and one segment more at most, one after the other."""
+    """Accepted pairs of whole clouds, in runs of about ``scan_rows`` points and one segment more at most, one after the other.
+
+    A segment with more points is a run of its own; its sums are known, and its points are tested where they are."""
     schema = T.StructType([*[f for f in seg.schema if f.name in by], *[T.StructField(c, T.LongType()) for c in ("into", "seg_id", "o")],
                            *[T.StructField(c, T.DoubleType()) for c in (*FRAME, "slope", *KEEP)]])
     # The order is a window over one row per segment.
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
     segs = seg.select(*by, "seg_id", F.col("ord").cast("long").alias("o"), "n", *FRAME, "slope", F.lit(False).alias("held"))
-    segs = session.cut_lineage(segs.withColumn("run", F.floor((before - 1) / max(scan_rows, 1)).cast("int")))
-    runs = segs.agg(F.max("run")).first()[0]
-    found, held = [], None
-    for run in range(0 if runs is None else runs + 1):
-        mine = segs.where(F.col("run") == run).drop("run").withColumns({c: F.lit(None).cast("double") for c in KEEP if c != "n"})
-        rows = session.attach(points.select(*by, "seg_id", "x", "y", "z"), mine.select(*by, "seg_id"), [*by, "seg_id"], "left_semi")
-        if held is not None:
-            mine = mine.withColumn("n", F.col("n").cast("double")).unionByName(held.select(
-                *by, F.col("into").alias("seg_id"), "o", *FRAME, "slope", *KEEP, F.lit(True).alias("held")))
-        mine = mine.select(*[F.col(c).alias(c) for c in mine.columns])
-        out = rows.groupBy(*by).cogroup(mine.groupBy(*by)).applyInPandas(
-            lambda p, e: _scan_run(p, e, by, line, curve, height, seed), schema)
-        out = session.cut_lineage(out)
-        found.append(out.where(F.col("seg_id").isNotNull()).select(*by, "into", "seg_id"))
-        held = out.where(F.col("seg_id").isNull())
+    segs = session.cut_lineage(_large_order(segs, by, scan_rows))
+    runs = {r["run"]: (r["small"], r["large"]) for r in segs.groupBy("run").agg(F.max(~F.col("large")).alias("small"), F.max("large").alias("large")).collect()}
+    found, held = [seg.select(*by, F.col("seg_id").alias("into"), "seg_id").limit(0)], None
+    for run in sorted(runs):
+        small, large = runs[run]
+        if small:
+            mine = segs.where((F.col("run") == run) & ~F.col("large")).drop("run", "large").withColumns(
+                {c: F.lit(None).cast("double") for c in KEEP if c != "n"})
+            rows = session.attach(points.select(*by, "seg_id", "x", "y", "z"), mine.select(*by, "seg_id"), [*by, "seg_id"], "left_semi")
+            if held is not None:
+                mine = mine.withColumn("n", F.col("n").cast("double")).unionByName(held.select(
+                    *by, F.col("into").alias("seg_id"), "o", *FRAME, "slope", *KEEP, F.lit(True).alias("held")))
+            mine = mine.select(*[F.col(c).alias(c) for c in mine.columns])
+            out = rows.groupBy(*by).cogroup(mine.groupBy(*by)).applyInPandas(
+                lambda p, e: _scan_run(p, e, by, line, curve, height, seed), schema)
+            out = session.cut_lineage(out)
+            found.append(out.where(F.col("seg_id").isNotNull()).select(*by, "into", "seg_id"))
+            held = out.where(F.col("seg_id").isNull()).drop("seg_id")
+        if large:
+            mine = segs.where((F.col("run") == run) & F.col("large")).select(*by, "seg_id", "o")
+            mine = session.cut_lineage(mine.join(seg, [*by, "seg_id"]))
+            hit, held = _take_large(points, mine, held, by, line, curve, height, seed)
+            found += [] if hit is None else [session.cut_lineage(hit.select(*by, "into", "seg_id"))]
     return append_segments(*found)
 
 

@@ -238,3 +238,30 @@ def test_dense_cloud_of_few_segments_goes_without_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(merge, "_ready_seeds", no_rounds)
     assert sorted(map(tuple, merge.find_merges(seg, df, seed=3, curve=0.05, scan_rows=400).collect())) == want and 2 < len(want) < n // 2
+
+
+def test_large_segments_stay_out_of_tasks(spark, monkeypatch):
+    """Segments with more points than a task scans, taken or taking at any place of the order, give the plain loop."""
+    rng, sizes = np.random.default_rng(9), [12] * 30 + [150, 120, 200, 130]
+    rows = [pd.DataFrame({"cloud_id": c, "seg_id": s, "x": np.sort(rng.uniform(0, 50, n)), "y": rng.normal(0, .02, n), "z": 10 + rng.normal(0, .3, n)
+                          + (rng.random(n) < (.06 if n < 100 else .0)) * 6 + (s == 33) * 3}) for c in ("c", "d") for s, n in enumerate(sizes)]
+    p = pd.concat(rows, ignore_index=True).assign(point_id=lambda d: range(len(d)))
+    df = spark.createDataFrame(p).repartition(4)
+    order = rng.permutation(len(sizes))
+    seg = spark.createDataFrame([(c, int(s), int(o)) for c in ("c", "d") for o, s in enumerate(order)], "cloud_id string, seg_id long, ord long")
+    gates, limit = {"line": 0.5, "curve": 5.0, "height": 4.0}, 100
+    want = set()
+    for c, g in p.groupby("cloud_id"):
+        parts = {s: q[["x", "y", "z"]].to_numpy() for s, q in g.groupby("seg_id")}
+        want |= {(c, a, b) for a, v in plain_pass(parts, order, **gates).items() for b in v}
+    assert {sizes[b] > limit for _, _, b in want} == {True, False} and len({a for _, a, _ in want}) > 1
+    monkeypatch.setattr(merge, "GATE_ROWS", 100)
+    plain = merge._scan_run
+
+    def bounded(points, *rest):
+        assert len(points) <= 2 * limit
+        return plain(points, *rest)
+
+    monkeypatch.setattr(merge, "_scan_run", bounded)
+    got = [tuple(r) for r in merge.find_merges(seg, df, scan_rows=limit, **gates).select("cloud_id", "into", "seg_id").collect()]
+    assert len(got) == len(want) and set(got) == want
