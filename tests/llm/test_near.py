@@ -184,6 +184,23 @@ def test_few_pairs_of_unlike_lines_reach_their_texts(spark, monkeypatch, small):
     assert sum(compared) < 3 * len(alike)
 
 
+def test_rows_of_buckets_are_stored_for_a_turn_alone(spark, monkeypatch):
+    """Tables of large buckets, which grow faster than the input, are gone when the links are found."""
+    from pathlib import Path
+
+    from sagline.llm.shared import shared_dir
+
+    monkeypatch.setattr(lines, "SMALL", 2)
+    family = [f"the same long line of some words with a number {i} at its end and a few words more" for i in range(10, 20)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(family)], "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    links = lines.line_links(docs).collect()
+    assert len({x for r in links for x in (r["a"], r["b"])}) == len(family)
+    kinds = {p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before}
+    assert "line-signatures" in kinds and "line-buckets" not in kinds
+
+
 def test_drop_near_by_row(spark):
     once = "one two three four five six seven eight nine ten"
     rows = [(5, once), (5, once), (9, once), (None, once), (None, "only here without an id"), (None, "only here without an id"), (5, "another text of id five")]
